@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from brightloom.llm import lines, mixing, simhash
+from brightloom.llm import bpe, langid, lines, mixing, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_langid": langid.op4_langid,
+    "op5_bpe": bpe.op5_bpe,
     "op8_line_dedup": lines.op8_line_dedup,
 }
 
