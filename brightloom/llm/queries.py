@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from brightloom.llm import bpe, langid, lines, mixing, simhash
+from brightloom.llm import bpe, embeddings, langid, lines, mixing, simhash, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op4_langid": langid.op4_langid,
     "op5_bpe": bpe.op5_bpe,
+    "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_topk": topk.op9_topk,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op7_embedding_dedup": embeddings.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
