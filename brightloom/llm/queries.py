@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from brightloom.llm import bpe, embeddings, langid, lines, mixing, simhash, topk
+from brightloom.llm import bpe, chat, embeddings, langid, lines, mixing, pii, simhash, token_counts, topk
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_mixing": mixing.op2_mixing,
     "op3_simhash": simhash.op3_simhash,
     "op4_langid": langid.op4_langid,
     "op5_bpe": bpe.op5_bpe,
+    "op6_pii": pii.op6_pii,
     "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_topk": topk.op9_topk,
+    "op10_chat": chat.op10_chat,
+    "llm_token_counts_words": token_counts.token_counts_words,
 }
 
 ORACLE_SQL = {
@@ -19,4 +23,5 @@ ORACLE_SQL = {
     "op7_embedding_dedup": embeddings.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
+    "llm_token_counts_words": token_counts.WORDS_SQL,
 }
