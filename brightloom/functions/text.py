@@ -75,18 +75,36 @@ def title_key(title: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)[\s\W_]+", ""))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ngrams(text: Column, n: int) -> Column:
-    """All substrings of n characters in order; none if the text is shorter."""
-    spans = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, spans).otherwise(F.array().cast("array<string>"))
+    """All substrings of n characters in order, in linear time; none if the text is shorter."""
+    spans = lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    return F.when(F.length(text) >= n, bound(F.split(text, "", -1), spans)).otherwise(F.array().cast("array<string>"))
+
+
+def pieces(text: Column, n: int, size: int = 512) -> Column:
+    """Overlapping parts whose n-grams together are those of the text: ``size`` of them in each part at most."""
+    part = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - n) / size).cast("int")), lambda i: F.substr(t, i * size + 1, F.lit(size + n - 1)))
+    return bound(text, lambda t: F.when(F.length(t) >= n, part(t)).otherwise(F.array().cast("array<string>")))
+
+
+def bigrams(text: Column) -> Column:
+    return F.array_distinct(ngrams(text, 2))
+
 
+def bigram_dice(a: Column, b: Column, grams_a: Column | None = None, grams_b: Column | None = None) -> Column:
+    """Dice coefficient of the sets of character bigrams; texts under two characters must be equal.
 
-def bigram_dice(a: Column, b: Column) -> Column:
-    """Dice coefficient of the sets of character bigrams; texts under two characters must be equal."""
-    ga, gb = F.array_distinct(ngrams(a, 2)), F.array_distinct(ngrams(b, 2))
+    Sets computed once per row (``bigrams``) can be passed.
+    """
+    ga, gb = grams_a if grams_a is not None else bigrams(a), grams_b if grams_b is not None else bigrams(b)
+    ratio = lambda p: F.lit(2.0) * F.size(F.array_intersect(p["ga"], p["gb"])) / (F.size(p["ga"]) + F.size(p["gb"]))
     short = (F.length(a) < 2) | (F.length(b) < 2)
-    ratio = F.lit(2.0) * F.size(F.array_intersect(ga, gb)) / (F.size(ga) + F.size(gb))
-    return F.when(short, (a == b).cast("double")).otherwise(ratio)
+    return F.when(short, (a == b).cast("double")).otherwise(bound(F.struct(ga.alias("ga"), gb.alias("gb")), ratio))
 
 
 def sentence_lengths(text: Column) -> Column:
@@ -96,16 +114,14 @@ def sentence_lengths(text: Column) -> Column:
 
 
 def population_stddev(values: Column) -> Column:
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x) / n
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.sqrt(squares / n)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+    spread = lambda v, mean: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+    return bound(values, lambda v: bound(total(v) / F.size(v), lambda mean: F.sqrt(spread(v, mean) / F.size(v))))
 
 
 def rhythm_stddev(text: Column, min_sentences: int = 5) -> Column:
     """Population deviation of the sentence lengths, unrounded; null under ``min_sentences``."""
-    lengths = sentence_lengths(text)
-    return F.when(F.size(lengths) >= min_sentences, population_stddev(lengths))
+    return bound(sentence_lengths(text), lambda v: F.when(F.size(v) >= min_sentences, population_stddev(v)))
 
 
 def footnote_marks(text: Column) -> Column:

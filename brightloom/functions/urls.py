@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, urlencode, urlparse, urlunparse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from brightloom.functions.text import strip
 
@@ -54,13 +55,13 @@ def _exact(url: str | None) -> str | None:
     return urlunparse(parts._replace(query=urlencode(query), fragment=""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_url_exact(urls: pd.Series) -> pd.Series:
     """normalize_url with the query decoded and encoded again."""
     return urls.map(_exact, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_title(titles: pd.Series) -> pd.Series:
     """Entities decoded, compatibility forms composed (NFKC), white space folded."""
     return titles.map(lambda x: " ".join(unicodedata.normalize("NFKC", html.unescape(x or "")).split()))
@@ -123,7 +124,7 @@ def ipv4_is_public(address: Column) -> Column:
     return ~inside
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def address_is_public(addresses: pd.Series) -> pd.Series:
     """The same for addresses of both families; IPv4 mapped into IPv6 counts as IPv4."""
     import ipaddress

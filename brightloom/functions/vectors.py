@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,13 +33,13 @@ def truncated(a: Column, dims: int) -> Column:
     return l2_normalize(F.slice(a, 1, dims))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return vectors.map(lambda v: np.asarray(v, dtype="<f4").tobytes(), na_action="ignore")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def from_blob(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: np.frombuffer(b, dtype="<f4"), na_action="ignore")
 

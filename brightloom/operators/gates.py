@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
@@ -69,7 +70,7 @@ def _longest_common(a: str, b: str) -> int:
     return best
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact length of the longest common substring of two clean texts."""
     return pd.Series([_longest_common(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
@@ -78,12 +79,13 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
 def shared_ngrams(drafts: DataFrame, blocks: DataFrame, n: int = DEFAULTS.copyright_ngram) -> DataFrame:
     """(draft_id, hits, level): distinct n-grams of a draft found in any block; 2 are an issue, 1 is a warning.
 
-    n-grams are exploded and joined by their hash with both sides distinct, so no draft meets a block it shares
-    nothing with, and neither side is broadcast.
+    n-grams are cut from bounded parts of the texts, exploded and joined, so no draft meets a block it shares nothing
+    with; only the n-grams that are found in a block are made distinct.
     """
-    grams = lambda t, key: t.select(*key, F.explode(F.array_distinct(T.ngrams(T.norm(T.clean_text(F.col("text"))), n))).alias("g"))
+    parts = lambda t, key: t.select(*key, F.explode(T.pieces(T.norm(T.clean_text(F.col("text"))), n)).alias("part"))
+    grams = lambda t, key: parts(t, key).select(*key, F.explode(F.array_distinct(T.ngrams(F.col("part"), n))).alias("g"))
     block_grams = grams(blocks.where(F.length(T.norm(F.col("text"))) >= n), []).distinct()
-    hits = grams(drafts, ["draft_id"]).join(block_grams, "g", "left_semi").groupBy("draft_id").agg(F.count("*").alias("hits"))
+    hits = grams(drafts, ["draft_id"]).join(block_grams, "g", "left_semi").distinct().groupBy("draft_id").agg(F.count("*").alias("hits"))
     rows = drafts.select("draft_id").join(hits, "draft_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return rows.withColumn("level", F.when(F.col("hits") >= 2, "issue").when(F.col("hits") == 1, "warn").otherwise("pass"))
 
@@ -91,8 +93,10 @@ def shared_ngrams(drafts: DataFrame, blocks: DataFrame, n: int = DEFAULTS.copyri
 def topic_repeats(titles: DataFrame, recent: DataFrame, threshold: float = DEFAULTS.topic_dice) -> DataFrame:
     """(draft_id, recent_place, same, dice): the first recent title, by place, that equals a draft's title or resembles
     it. Both have author_id; an author's recent titles are few and bounded by the caller."""
-    pairs = titles.join(recent, "author_id").withColumn("_a", T.norm(F.col("title"))).withColumn("_b", T.norm(F.col("recent_title"))).where("_a <> '' AND _b <> ''")
-    scored = pairs.withColumn("same", F.col("_a") == F.col("_b")).withColumn("dice", T.bigram_dice(F.col("_a"), F.col("_b")))
+    left = titles.select("author_id", "draft_id", T.norm(F.col("title")).alias("_a")).where("_a <> ''").withColumn("_ga", T.bigrams(F.col("_a")))
+    right = recent.select("author_id", "place", T.norm(F.col("recent_title")).alias("_b")).where("_b <> ''").withColumn("_gb", T.bigrams(F.col("_b")))
+    pairs = left.join(right, "author_id")
+    scored = pairs.withColumn("same", F.col("_a") == F.col("_b")).withColumn("dice", T.bigram_dice(F.col("_a"), F.col("_b"), F.col("_ga"), F.col("_gb")))
     return scored.where(F.col("same") | (F.col("dice") >= threshold)).groupBy("draft_id").agg(F.min_by(F.struct(F.col("place").alias("recent_place"), "same", "dice"), "place").alias("m")).select("draft_id", "m.*")
 
 
@@ -113,7 +117,7 @@ def citation_issues(drafts: DataFrame, reading: DataFrame, minimum: int = 1) ->
     return own.join(bad, "draft_id", "left").select("draft_id", F.concat("issues", F.coalesce("more", F.array().cast("array<string>"))).alias("issues"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def closest_sentence(body: pd.Series, quote: pd.Series) -> pd.Series:
     """The sentence of at least 12 characters that resembles a quote most, if by over one half; else empty."""
     import re

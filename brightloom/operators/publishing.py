@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from brightloom.functions import text as T
 
@@ -82,7 +83,7 @@ def _markup(source: str | None) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def rendered_markdown(sources: pd.Series) -> pd.Series:
     """Markdown as HTML of a fixed set of elements; other markup stays visible text, links are http(s) or local only."""
     return sources.map(_markup)
@@ -156,7 +157,7 @@ def author_errors(document: str | None) -> list[str]:
     return errors
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def author_document_errors(documents: pd.Series) -> pd.Series:
     return documents.map(author_errors)
 

@@ -44,10 +44,10 @@ def _origins(threshold: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"item_id": [], "origin": []})
-        a, b = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (left, right))
+        a, b = (np.stack(x.to_numpy()).astype(np.float64) for x in (left["vec"], right["_vec"]))
         na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-        ia, ib = left["item_id"].to_numpy(), right["item_id"].to_numpy()
-        in_batch = right["in_batch"].to_numpy(dtype=bool)
+        ia, ib = left["item_id"].to_numpy(), right["_item_id"].to_numpy()
+        in_batch = right["_in_batch"].to_numpy(dtype=bool)
         found = np.full(len(a), np.iinfo(np.int64).max)
         for at in range(0, len(a), 512):
             cut = slice(at, at + 512)
@@ -80,7 +80,8 @@ def semantic_duplicates(candidates: DataFrame, pool: DataFrame, threshold: float
     left = batch.join(sizes, "direction").withColumn("a", place("na")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("item_id", "direction", "vec", "a", "b")
     right = both.join(sizes, "direction").withColumn("b", place("nb")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).select("item_id", "direction", "vec", "in_batch", "a", "b")
     keys = ["direction", "a", "b"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_origins(threshold), "item_id long, origin long")
+    right = right.select(*[F.col(c).alias(f"_{c}") for c in right.columns])  # the tables may be cut from one
+    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"_{c}" for c in keys])).applyInPandas(_origins(threshold), "item_id long, origin long")
     return found.groupBy("item_id").agg(F.min("origin").alias("duplicate_of"))
 
 

@@ -532,8 +532,10 @@ def _drafts(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "documents").select(F.col("doc_id").alias("draft_id"), "text", T.first_line(F.col("text")).alias("title"), F.col("lang").alias("author_id"))
 
 
-@query("""WITH n AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM documents), g AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 40) AS s FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS i FROM n)),
-b AS (SELECT DISTINCT substr(t, i::BIGINT, 40) AS s FROM (SELECT t, unnest(range(1, length(t) - 38)) AS i FROM (SELECT lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM benchmark)))
+@query("""WITH n AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM documents), c AS (SELECT lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM benchmark),
+p AS (SELECT doc_id, substr(t, (k * 500 + 1)::BIGINT, 539) AS t FROM (SELECT doc_id, t, unnest(range(0, length(t) // 500 + 1)) AS k FROM n)),
+g AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 40) AS s FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS i FROM p)),
+b AS (SELECT DISTINCT substr(t, i::BIGINT, 40) AS s FROM (SELECT t, unnest(range(1, length(t) - 38)) AS i FROM c))
 SELECT d.doc_id AS draft_id, count(b.s) AS hits, CASE WHEN count(b.s) >= 2 THEN 'issue' WHEN count(b.s) = 1 THEN 'warn' ELSE 'pass' END AS level
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN b ON b.s = g.s GROUP BY d.doc_id""")
 def shared_ngrams(spark: SparkSession, d: str) -> DataFrame:

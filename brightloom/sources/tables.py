@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from brightloom.functions import text as T
 from brightloom.functions import vectors as V
@@ -64,7 +65,7 @@ def _unescaped(field: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_field(fields: pd.Series) -> pd.Series:
     """A field of a dump's text format without its escapes; an unknown escape keeps its backslash."""
     return fields.map(_unescaped, na_action="ignore")
