@@ -43,7 +43,7 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
     """Seconds to wait by a Retry-After header: digits, or an HTTP date (not below 0); null for anything else."""
     v = strip(value)
     when = F.try_to_timestamp(F.regexp_replace(v, r"^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss zzz"))
-    delta = F.greatest(F.unix_timestamp(when) - F.unix_timestamp(now), F.lit(0))
+    delta = F.when(when.isNotNull(), F.greatest(F.unix_timestamp(when) - F.unix_timestamp(now), F.lit(0)))
     return F.when(v.rlike(r"^\d+$"), v.cast("long")).otherwise(delta)
 
 
