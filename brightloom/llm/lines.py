@@ -98,12 +98,22 @@ class LineRuns:
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    """Adds up the rows of equal hash; the batch that saw a line first keeps the mark."""
-    union = runs[0]
+    """Merge-joins runs, each of which holds a hash once, adding up the rows of equal hash; the batch that saw a line
+    first keeps the mark.
+
+    A full outer join and no group-by of a union: Spark 4.1 takes a union of bucketed tables for partitioned by hash
+    although it reads them unbucketed, and then leaves equal hashes apart.
+    """
+    merged = runs[0]
     for run in runs[1:]:
-        union = union.unionByName(run)
-    first = F.max_by("batch_id", F.col("is_new").cast("int")).alias("batch_id")
-    return union.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), first, F.max("is_new").alias("is_new"))
+        a, b = merged.alias("a"), run.alias("b")
+        either = F.coalesce("a.is_new", F.lit(False))
+        merged = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full_outer").select(
+            F.coalesce("a.h1", "b.h1").alias("h1"), F.coalesce("a.h2", "b.h2").alias("h2"),
+            (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.greatest("a.max_doc", "b.max_doc").alias("max_doc"),
+            F.when(either, F.col("a.batch_id")).otherwise(F.coalesce("b.batch_id", "a.batch_id")).alias("batch_id"), (either | F.coalesce("b.is_new", F.lit(False))).alias("is_new"),
+        )
+    return merged
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
