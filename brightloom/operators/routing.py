@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,8 @@ from brightloom.functions import vectors as V
 
 #: Rows of a direction that one task compares with another such part.
 PART = 4096
+#: Vectors that one task of a search keeps, and queries that it multiplies with them at once.
+SHARD_ROWS, QUERY_ROWS = 32_768, 512
 
 
 def embed_text(title: Column, body: Column, max_chars: int = DEFAULTS.embed_chars) -> Column:
@@ -130,14 +134,82 @@ def injected(ranked: DataFrame, picks: DataFrame) -> DataFrame:
     return ranked.select("item_id", "place", F.lit(None).cast("string").alias("flag")).unionByName(new.select("item_id", (F.col("_last") + F.col("pick")).alias("place"), F.lit("explore").alias("flag")))
 
 
-def ranked_matches(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _norms(a: np.ndarray) -> np.ndarray:
+    """Norms with the components added in order, so that equal vectors have equal norms to the last bit."""
+    return np.sqrt(np.add.accumulate(a * a, axis=1)[:, -1])
+
+
+def _units(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.divide(a, n[:, None], out=np.zeros_like(a), where=n[:, None] > 0)
+
+
+def _nearest(k: int):
+    def best(groups: dict, ids: np.ndarray, block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for dim, rows in block.groupby("dim", sort=False):
+            at, a, na, unit = groups.get(dim, (np.zeros(0, dtype=np.int64), None, None, None)) if dim > 0 else (np.zeros(0, dtype=np.int64), None, None, None)
+            if len(at):
+                q = np.stack(rows["vec"].to_numpy()).astype(np.float64)
+                nq = _norms(q)
+                about = _units(q, nq) @ unit.T
+            others = ids if not len(at) else np.delete(ids, at) if len(at) < k else ids[:0]
+            for i, name in enumerate(rows["id"]):
+                found, sims = np.zeros(0, dtype=np.int64), np.zeros(0)
+                if len(at):
+                    # products of matrices differ in the last bits from sums in order: those near the k-th are summed again
+                    near = np.flatnonzero(about[i] >= np.partition(about[i], -k)[-k] - 1e-9) if len(at) > k else np.arange(len(at))
+                    dots, norms = np.add.accumulate(a[near] * q[i], axis=1)[:, -1], na[near] * nq[i]
+                    sims = np.divide(dots, norms, out=np.zeros(len(near)), where=norms > 0)
+                    order = np.lexsort((ids[at[near]], -sims))[:k]
+                    found, sims = ids[at[near]][order], sims[order]
+                rest = np.sort(others)[: k - len(found)]
+                sim = pd.Series([*sims, *[None] * len(rest)], dtype=object)
+                yield pd.DataFrame({"query_id": name, "item_id": np.concatenate((found, rest)), "sim": sim})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, parts, groups, ids = None, [], None, None
+        for batch in batches:
+            marks = batch[["shard", "is_query"]].to_numpy(dtype=np.int64)
+            starts = np.concatenate(([0], np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, [len(batch)]))
+            for begin, end in zip(starts[:-1], starts[1:], strict=True):
+                number, is_query = marks[begin]
+                rows = batch.iloc[begin:end]
+                if number != shard:
+                    shard, parts, groups = number, [], None
+                if not is_query:
+                    parts.append(rows[["id", "dim", "vec"]])
+                    continue
+                if groups is None:
+                    if not parts:
+                        continue
+                    all_rows = pd.concat(parts, ignore_index=True)
+                    ids, groups, parts = all_rows["id"].to_numpy(dtype=np.int64), {}, []
+                    for dim, mine in all_rows.groupby("dim", sort=False):
+                        if dim > 0:
+                            a = np.stack(mine["vec"].to_numpy()).astype(np.float64)
+                            groups[dim] = (mine.index.to_numpy(), a, n := _norms(a), _units(a, n))
+                for at in range(0, len(rows), QUERY_ROWS):
+                    made = list(best(groups, ids, rows.iloc[at : at + QUERY_ROWS]))
+                    yield pd.concat(made, ignore_index=True)
+
+    return run
+
+
+def ranked_matches(queries: DataFrame, vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, item_id, sim, rank): the k most similar vectors of each query, ties by id.
 
-    A small set of queries is folded into one broadcast row, so the corpus is scanned once and never shuffled before
-    its partial top lists. For sets of queries that grow with the corpus use the blocked search over shards instead.
+    Vectors are dealt by a hash into shards of bounded size, and every query is sent to every shard: a task keeps one
+    shard as a matrix and streams the queries past it in blocks, giving each query's best k of the shard. So neither
+    side has to be small. Ids are whole numbers; rows without an id take no part. Similarities are sums in the order
+    of the components; a zero vector has 0. Vectors that are null, empty or not finite, and those of another length
+    than the query, have none (null) and come last.
     """
-    folded = queries.agg(F.collect_list(F.struct("query_id", "vec", V.norm(F.col("vec")).alias("n"))).alias("qs"))
-    rows = vectors.join(F.broadcast(folded)).select("item_id", "vec", V.norm(F.col("vec")).alias("n"), F.explode("qs").alias("q"))
-    scored = rows.select("q.query_id", "item_id", V.cosine(F.col("vec"), F.col("q.vec"), F.col("n"), F.col("q.n")).alias("sim"))
+    n = V.norm(F.col("vec"))
+    dim = F.when(n < float("inf"), F.size("vec")).otherwise(-1).alias("dim")  # null and NaN are not below it
+    shards = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // shard_rows))
+    side = lambda rows, name: rows.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("id"), dim, F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    left = side(vectors, "item_id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int")).withColumn("is_query", F.lit(0))
+    right = side(queries, "query_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(1))
+    dealt = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "is_query")
+    found = dealt.mapInPandas(_nearest(k), "query_id long, item_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

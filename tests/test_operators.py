@@ -80,6 +80,33 @@ def test_semantic_duplicates_as_loop(spark):
     assert {r.item_id: r.duplicate_of for r in got.collect()} == want
 
 
+def test_ranked_matches_as_loop(spark):
+    rng = random.Random(4)
+    vecs = [[rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(400)]
+    rows = spark.createDataFrame([*enumerate(vecs), (400, None), (401, [float("nan")] * 3), (402, [1.0])], "item_id long, vec array<float>")
+    queries = rows.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    pairs = rows.crossJoin(queries.select("query_id", F.col("vec").alias("q"))).where("query_id < 400 AND item_id < 400")
+    want = {}
+    for r in pairs.select("query_id", "item_id", V.cosine(F.col("vec"), F.col("q")).alias("sim")).collect():
+        want.setdefault(r.query_id, []).append((-r.sim, r.item_id))
+    ranked = routing.ranked_matches(queries, rows, 5, shard_rows=10)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan  # the queries are not folded into one row
+    got = {}
+    for r in ranked.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.item_id, r.sim))
+    assert sorted(got) == list(range(0, 401, 20))
+    assert {q: [(i, s) for _, i, s in sorted(x)] for q, x in got.items() if q < 400} == {q: [(i, -s) for s, i in sorted(x)[:5]] for q, x in want.items()}
+    assert [x[1:] for x in sorted(got[400])] == [(i, None) for i in range(5)]
+
+
+def test_cosine_topk_asks_a_twentieth(spark, data):
+    from brightloom.plans.catalog import QUERIES
+
+    ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
+    assert {r.query_id for r in QUERIES["cosine_topk_every20"](spark, data).collect()} == {i for i in ids if i % 20 == 0}
+
+
 def test_throttle_and_quota(spark):
     rows = spark.createDataFrame([("h", 0.0, 1), ("h", 0.0, 2), ("h", 0.0, 3), ("h", 10.0, 4)], "netloc string, at double, request_id long")
     got = {r.request_id: (r.wait, r.accepted) for r in limits.throttled(rows, gap_s=3.0, max_wait_s=4.0).collect()}
