@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bands of scores for each power of e, and ids of a block: how finely the rows of a group are dealt.
+BANDS, ID_BLOCK = 1024, 65_536
+
 
 def retrieval(ranked: DataFrame, positives: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """(query_id, n_positive, recall_k..., mrr): shares over all positives of a query, found or not."""
@@ -14,14 +17,48 @@ def retrieval(ranked: DataFrame, positives: DataFrame, ks: tuple[int, ...] = (5,
     )
 
 
+def _band(score: Column) -> Column:
+    """A whole number that never falls as the score rises: narrow near 0, of any scale; null without a score."""
+    size = F.floor(F.log1p(F.abs(score) * BANDS) * BANDS).cast("long")
+    return F.when(F.isnan(score), F.lit((1 << 63) - 1)).when(score < 0, -size - 1).otherwise(size)
+
+
+def preceding(counts: DataFrame, by: str, score: str, n: str, order: list[Column], down: bool = False) -> DataFrame:
+    """Adds ``before``: the sum of n over the earlier rows of the group in the order, which begins with the score.
+
+    A group is cut into bands of the score, so one with many scores is many tasks: rows add up within their band, and
+    sums of whole bands come from one small row each.
+    """
+    upto = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = counts.withColumn("_band", _band(F.col(score).cast("double")))
+    bands = rows.groupBy(F.col(by).alias("_by"), F.col("_band").alias("_b")).agg(F.sum(n).alias("_n"))
+    starts = bands.withColumn("_start", upto(Window.partitionBy("_by").orderBy(F.desc("_b") if down else F.asc("_b")), "_n")).drop("_n")
+    inside = rows.withColumn("_in", upto(Window.partitionBy(by, "_band").orderBy(*order), n))
+    joined = inside.join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_band").eqNullSafe(F.col("_b")))
+    return joined.withColumn("before", F.col("_start") + F.col("_in")).drop("_by", "_b", "_band", "_start", "_in")
+
+
+def ranked(rows: DataFrame, by: str, score: str, item_id: str) -> DataFrame:
+    """Adds ``rank`` from 1 by falling score, ties by id, to every row; (by, score, item_id, rank).
+
+    From counts per score and block of ids, so neither a large group nor many equal scores are one task.
+    """
+    rows = rows.select(by, score, item_id).withColumn("_block", F.floor(F.col(item_id) / ID_BLOCK))
+    keys = [by, score, "_block"]
+    counts = preceding(rows.groupBy(*keys).agg(F.count("*").alias("_n")), by, score, "_n", [F.desc(score), F.col("_block")], down=True)
+    counts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "before")
+    inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(item_id)))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return inside.join(counts, same[0] & same[1] & same[2]).select(by, score, item_id, (F.col("before") + F.col("_at")).alias("rank"))
+
+
 def auc(rows: DataFrame, score: str = "score", positive: str = "positive", by: str = "query_id") -> DataFrame:
     """(by, auc): probability that a positive scores above a negative, ties by half; null without both.
 
     From counts per distinct score, so equal scores of any number are one row.
     """
     counts = rows.groupBy(by, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    won = preceding(counts, by, score, "n", [F.asc(score)]).withColumn("won", F.col("p") * (F.col("before") + F.col("n") / 2.0))
     return won.groupBy(by).agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("auc"))
 
 

@@ -674,9 +674,13 @@ def fetch_round_plan(spark: SparkSession, d: str) -> DataFrame:
 # ---- evaluation ----
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _query_sims(spark: SparkSession, d: str) -> DataFrame:
     rows = routing.similarities(B.vectors(spark, d), B.query_vectors(spark, d))
-    return lists.top_per_group(rows.select(F.col("direction").alias("query_id"), "item_id", "sim"), ["query_id"], [F.desc("sim"), F.col("item_id")], 1_000_000)
+    return rows.select(F.col("direction").alias("query_id"), "item_id", "sim")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.ranked(_query_sims(spark, d), "query_id", "sim", "item_id")
 
 
 _RANKED = f"""{B.VECTORS}, {B.QUERY_VECTORS}, s AS (SELECT v.direction AS query_id, v.item_id, list_cosine_similarity(v.vec, q.vec) AS sim FROM vectors v JOIN query_vectors q USING (direction)),
@@ -695,7 +699,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_RANKED}, p AS (SELECT * FROM s WHERE item_id % 3 = 0), n AS (SELECT * FROM s WHERE item_id % 3 <> 0)
 SELECT p.query_id, sum(CASE WHEN p.sim > n.sim THEN 1.0 WHEN p.sim = n.sim THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS auc FROM p JOIN n USING (query_id) GROUP BY p.query_id""")
 def auc_by_query(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.auc(_ranked(spark, d).withColumn("positive", F.col("item_id") % 3 == 0), score="sim")
+    return evaluation.auc(_query_sims(spark, d).withColumn("positive", F.col("item_id") % 3 == 0), score="sim")
 
 
 @query()

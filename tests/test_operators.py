@@ -107,6 +107,37 @@ def test_cosine_topk_asks_a_twentieth(spark, data):
     assert {r.query_id for r in QUERIES["cosine_topk_every20"](spark, data).collect()} == {i for i in ids if i % 20 == 0}
 
 
+def test_evaluation_ranks_all_rows(spark, tmp_path):
+    import numpy as np
+
+    from brightloom.plans.catalog import QUERIES
+
+    n = 1_100_000  # item 0 is the query; the others fall in similarity, three by three alike
+    vec = F.array(F.lit(1.0), F.floor(F.col("id") / 3) / 1e4)
+    spark.range(n).select(F.col("id").alias("vec_id"), F.lit(7).alias("label"), vec.alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    ranks = np.arange(0, n, 3) + 1.0
+    got = QUERIES["recall_at_k"](spark, str(tmp_path)).collect()
+    assert [(r.query_id, r.n_positive, r.best) for r in got] == [(7, len(ranks), 1)]
+    assert abs(got[0].recall_5 * len(ranks) - 2) < 1e-6 and abs(got[0].recall_10 * len(ranks) - 4) < 1e-6
+    assert abs(QUERIES["mrr_by_query"](spark, str(tmp_path)).first().mrr / (1 / ranks).mean() - 1) < 1e-9
+    negatives = np.bincount(np.arange(n)[np.arange(n) % 3 > 0] // 3, minlength=len(ranks))
+    below = negatives[::-1].cumsum()[::-1] - negatives / 2
+    assert abs(QUERIES["auc_by_query"](spark, str(tmp_path)).first().auc / (below.sum() / len(ranks) / negatives.sum()) - 1) < 1e-12
+
+
+def test_ranked_as_window(spark):
+    from pyspark.sql import Window
+
+    from brightloom.operators import evaluation
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i * 30_000, rng.choice([None, float("nan"), 0.0, -0.5, 0.5, float("inf"), rng.uniform(-1, 1)])) for i in range(300)]
+    table = spark.createDataFrame(rows, "q string, item_id long, s double")
+    want = table.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "item_id")))
+    got = evaluation.ranked(table, "q", "s", "item_id")
+    assert {(r.q, r.item_id): r["rank"] for r in got.collect()} == {(r.q, r.item_id): r["rank"] for r in want.collect()}
+
+
 def test_throttle_and_quota(spark):
     rows = spark.createDataFrame([("h", 0.0, 1), ("h", 0.0, 2), ("h", 0.0, 3), ("h", 10.0, 4)], "netloc string, at double, request_id long")
     got = {r.request_id: (r.wait, r.accepted) for r in limits.throttled(rows, gap_s=3.0, max_wait_s=4.0).collect()}
