@@ -427,6 +427,14 @@ def semantic_dup_min_origin(spark: SparkSession, d: str) -> DataFrame:
     return routing.semantic_duplicates(v.where("item_id % 4 = 0"), v, threshold=0.3)
 
 
+@query(f"""WITH {B.VECTORS} SELECT c.item_id, min(p.item_id) AS duplicate_of FROM vectors c JOIN vectors p ON p.direction = c.direction AND p.item_id < c.item_id AND NOT contains(p.guid, '#v-')
+  WHERE list_cosine_similarity(c.vec, p.vec) >= 0.92 GROUP BY c.item_id""")
+def semantic_dup_all(spark: SparkSession, d: str) -> DataFrame:
+    """The duplicates of the whole table as one batch, at the production threshold."""
+    v = B.vectors(spark, d)
+    return routing.semantic_duplicates(v, v)
+
+
 def _scored_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = routing.similarities(B.vectors(spark, d), B.query_vectors(spark, d))
     return rows.withColumn("quality", (F.col("item_id") * 7 % 100).cast("int")).withColumn("passed", F.col("item_id") % 3 == 0)

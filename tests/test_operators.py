@@ -138,6 +138,15 @@ def test_ranked_as_window(spark):
     assert {(r.q, r.item_id): r["rank"] for r in got.collect()} == {(r.q, r.item_id): r["rank"] for r in want.collect()}
 
 
+def test_semantic_dup_all_finds_every_pair(spark, tmp_path):
+    from brightloom.plans.catalog import QUERIES
+
+    rows = [(1, 0, [1.0, 0.0, 0.0]), (2, 0, [1.0, 0.1, 0.0]), (3, 0, [1.0, 1.0, 0.0]), (4, 1, [1.0, 0.0, 0.0]), (5, 0, [0.0, 0.0, 1.0]), (7, 0, [0.0, 0.1, 1.0]), (9, 0, [0.0, 1.0, 0.0]), (10, 0, [0.0, 1.0, 0.1])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.item_id: r.duplicate_of for r in QUERIES["semantic_dup_all"](spark, str(tmp_path)).collect()}
+    assert got == {2: 1, 7: 5}  # 3 is too far, 4 is of another direction, 9 is a version of a page
+
+
 def test_throttle_and_quota(spark):
     rows = spark.createDataFrame([("h", 0.0, 1), ("h", 0.0, 2), ("h", 0.0, 3), ("h", 10.0, 4)], "netloc string, at double, request_id long")
     got = {r.request_id: (r.wait, r.accepted) for r in limits.throttled(rows, gap_s=3.0, max_wait_s=4.0).collect()}
