@@ -37,7 +37,13 @@ IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 INTL = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,5}){2,5}(?![0-9])"
 KINDS = {"email": EMAIL, "iban": IBAN, "card": CARD.replace(r"([ -])", "(?<sep>[ -])").replace(r"\1", r"\k<sep>"), "ssn": SSN, "date": DATE, "ipv4": IPV4, "phone": PHONE, "intl": INTL}
-ANY = "|".join(KINDS.values())
+#: Longest stretches from a place on, of which a value can be any part up to a border of its groups.
+STRETCHES = {"iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "intl": r"(?<![0-9+])\+[1-9](?:[ .-]?[0-9]){7,14}(?![0-9])"}
+#: What holds before and after a value of each kind.
+BORDERS = {
+    "iban": (r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"), "card": (r"(?<![0-9])", r"(?![0-9])"), "ssn": (r"(?<![0-9-])", r"(?![0-9-])"), "date": (r"(?<![0-9./-])", r"(?![0-9]|[./-][0-9])"),
+    "ipv4": (r"(?<![0-9.])", r"(?![0-9]|\.[0-9])"), "phone": (r"(?<![0-9+])", r"(?![0-9])"), "intl": (r"(?<![0-9+])", r"(?![0-9])"),
+}
 DAYS = 73_049
 FIRST_DAY = "1900-01-01"
 
@@ -197,25 +203,46 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
     return F.struct(kind.alias("kind"), made.alias("made"))
 
 
+def _valid(text: Column, name: str, key: str) -> Column:
+    """The distinct values of a kind that validate, wherever one begins, also within what fails; the longest first."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({STRETCHES.get(name, KINDS[name])}))"), F.lit(1)))
+    if name in STRETCHES:
+        ends = lambda m: F.filter(F.sequence(F.lit(8), F.length(m)), lambda n: F.substr(m, n + 1, F.lit(1)).rlike("^[ .-]?$"))
+        found = F.array_distinct(F.flatten(F.transform(found, lambda m: F.transform(ends(m), lambda n: F.substr(m, F.lit(1), n)))))
+    good = F.filter(found, lambda m: m.rlike(f"^(?:{KINDS[name]})$") & _RULES[name](m, key)[0])
+    return F.transform(F.array_sort(F.transform(good, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
+
+
+def _pattern(text: Column, key: str) -> Column:
+    """A pattern that finds the mail addresses and the valid values of a text, and nothing that fails its validation."""
+    kinds = [F.lit(EMAIL)]
+    for name, (before, after) in BORDERS.items():
+        quoted = F.transform(_valid(text, name, key), lambda v: F.concat(F.lit(r"\Q"), v, F.lit(r"\E")))
+        kinds.append(F.when(F.size(quoted) > 0, F.concat(F.lit(before + "(?:"), F.array_join(quoted, "|"), F.lit(")" + after))))
+    return F.concat_ws("|", *kinds)
+
+
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with replaced values in text; pii_kinds lists the kinds found, in the order of the text.
 
     Defined cases: a null text stays null and an empty one empty, with no kinds; texts are searched whole; rows that
     repeat a doc_id are handled each; of overlapping matches the leftmost counts, and at one place the first kind of
-    the table above that fits; values that fail their validation stay. Extra columns are carried along; a column named
+    the table above that fits, the longest that validates; what fails its validation stays and hides no value within
+    or behind it. Extra columns are carried along; a column named
     pii_kinds is replaced. An empty table gives an empty table.
     """
     text = F.col("text")
     may = text.rlike("[0-9@]")
-    parts = docs.withColumn("_found", F.when(may, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: pseudonym(m, key))))
-    between = F.split(text, ANY, -1)
+    parts = docs.withColumn("_any", F.when(may, _pattern(text, key)))
+    parts = parts.withColumn("_found", F.transform(F.regexp_extract_all(text, F.col("_any"), F.lit(0)), lambda m: pseudonym(m, key)))
+    between = F.split(text, F.col("_any"), -1)
     glued = F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("_found"), i)["made"], F.lit("")))), "")
     kinds = F.filter(F.transform("_found", lambda x: x["kind"]), lambda x: x.isNotNull())
     changed = F.size("_found") > 0
     return (
         parts.withColumn("text", F.when(changed, glued).otherwise(text))
         .withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
-        .drop("_found")
+        .drop("_found", "_any")
     )
 
 

@@ -169,6 +169,21 @@ def test_pii(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and out[5][0][4] == " "
 
 
+def test_pii_hidden_values(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "DE89 3704 0044 0532 0130 00"]
+    texts = [f"{i} {after}" for i in ibans for after in ("EUR", "IBAN", "2024", "A1 B2", "4111 1111 1111 1111", "or")]
+    texts += ["AB12 4111 1111 1111 1111", "1234 4111 1111 1111 1111", "call +49 30 1234 5678 12345 6789 now", "+4111111111111111", "ES91 2100 0418 4502 0005 1333 EUR"]
+    out = {r.doc_id: (r.text, r.pii_kinds) for r in pii.pseudonymised(docs_of(spark, texts)).collect()}
+    for i in range(18):
+        iban, after = ibans[i // 6], texts[i][len(ibans[i // 6]) :]
+        assert out[i][1] == (["iban", "card"] if "4111" in after else ["iban"]), texts[i]
+        made = out[i][0][: len(iban)].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in made[4:] + made[:4])) % 97 == 1 and made != iban.replace(" ", "")
+        assert out[i][0][len(iban) :] == after or "4111" in after
+    assert out[18][1] == out[19][1] == out[21][1] == ["card"] and out[18][0].startswith("AB12 4") and "4111 1111 1111 1111" not in out[18][0] + out[19][0]
+    assert out[20][1] == ["intl"] and "1234 5678" not in out[20][0] and out[22] == (texts[22], [])
+
+
 def test_pii_permutes(spark):
     n = spark.range(5 * 7).select(pii.feistel_pair(F.floor(F.col("id") / 7), F.col("id") % 7, 5, 7, "k", "t").alias("p")).select("p.*").collect()
     assert {tuple(r) for r in n} == set(itertools.product(range(5), range(7)))
