@@ -32,11 +32,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, mine: np.ndarray, k: int) -> tupl
     """(row, id, score) of the k best candidates of each row, ties to the smaller id; a row's own id is left out."""
     rows, found_ids, found = [], [], []
     own = ids[None, :] == mine[:, None]
-    kth = min(k, scores.shape[1]) + int(own.any())
+    scores = np.where(own, np.iinfo(np.int64).min, scores)  # all rows of the own id, however many, go before the selection
     for i in range(len(scores)):
         line = scores[i]
-        if kth < len(line):
-            floor = np.partition(line, len(line) - kth)[len(line) - kth]
+        if k < len(line):
+            floor = np.partition(line, len(line) - k)[len(line) - k]
             at = np.flatnonzero((line >= floor) & ~own[i])
         else:
             at = np.flatnonzero(~own[i])

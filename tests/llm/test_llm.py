@@ -218,6 +218,20 @@ def test_topk_as_brute_force(spark):
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_topk_repeated_query_id(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.round(rng.standard_normal((60, 6)), 1)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(0, (vectors[0] * 9).tolist())] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, vectors[0].tolist())], table.schema)
+    scores = np.floor(256 * vectors).astype(int) @ np.floor(256 * vectors[0]).astype(int)
+    want = sorted(range(1, 60), key=lambda j: (-scores[j], j))[:5]
+    ids, copies = np.array([0, 0, 0, *range(1, 60)]), np.concatenate((scores[[0, 0, 0]] * 9, scores[1:]))
+    row, vec, score = topk._best(copies[None, :], ids, np.array([0]), 5)
+    assert list(vec) == want and list(score) == [scores[j] for j in want]
+    assert [r.vec_id for r in topk.top_k(table, queries).orderBy("rank").collect()] == want
+
+
 def all_costs(roles):
     """Costs of all repairs of a short conversation, straight from the rules."""
     best = None
