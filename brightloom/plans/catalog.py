@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import dates as D
@@ -586,8 +586,12 @@ def length_and_style(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def echo_lengths(spark: SparkSession, d: str) -> DataFrame:
-    anchors = B.table(spark, d, "benchmark").select((F.col("item_id") % 200).alias("k"), gates.echo_source(F.col("text")).alias("a"))
-    rows = B.table(spark, d, "conversations").select("conv_id", "turn", T.clean_text(F.col("text")).alias("t"), (F.col("conv_id") % 40).alias("k"))
+    # the n-th conversation id modulo the number of anchors has the n-th anchor, so that each anchor is used; only ids are numbered in one task
+    items = B.table(spark, d, "benchmark")
+    places = items.select("item_id").distinct().select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("k"))
+    anchors = items.select("item_id", gates.echo_source(F.col("text")).alias("a")).join(places, "item_id")
+    count = places.agg(F.count("*").alias("_n"))
+    rows = B.table(spark, d, "conversations").select("conv_id", "turn", T.clean_text(F.col("text")).alias("t")).join(F.broadcast(count)).withColumn("k", F.pmod(F.col("conv_id").cast("long"), F.col("_n")))
     return rows.join(anchors, "k").select("conv_id", "turn", gates.longest_common("t", "a").alias("echo_max_chars"))
 
 

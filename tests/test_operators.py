@@ -184,6 +184,17 @@ def test_longest_common(spark):
     assert [r[0] for r in rows.select(gates.longest_common("a", "b")).collect()] == [4, 0, 0, 4]
 
 
+def test_echo_uses_every_anchor(spark, tmp_path):
+    from brightloom.plans.catalog import QUERIES
+
+    anchors = [(100 + i * 3, chr(0x4E00 + i) * (i + 1)) for i in range(90)]  # each shares only its own character
+    spark.createDataFrame(anchors, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    talk = "".join(text for _, text in anchors)
+    spark.createDataFrame([(i, 0, talk) for i in range(180)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["echo_lengths"](spark, str(tmp_path)).collect()
+    assert {r.conv_id: r.echo_max_chars for r in got} == {i: i % 90 + 1 for i in range(180)} and len(got) == 180
+
+
 def test_markup_escapes():
     out = _markup("# A <b>\n\n[x](javascript:alert(1)) [y](https://e.com)\n\n- one\n- two")
     assert "<b>" not in out and "javascript" not in out.replace("javascript:alert(1)", "") and 'href="https://e.com"' in out and out.count("<li>") == 2
