@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Families of language codes; a language that is not named forms a family of its own.
 FAMILIES = {
@@ -182,10 +183,20 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("lang_score", F.col("_lang.score")).drop("_lang")
 
 
+@F.pandas_udf(BooleanType())
+def _lettered(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: len(trigrams(x)) > 0).astype(bool)
+
+
 def recognised(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with their columns as they are; those predicted ``und`` go."""
-    out = predicted(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text")), train(docs))
-    return out.where(F.col("lang_pred") != UNKNOWN).select("_doc.*")
+    """The documents whose language can be told, with their columns as they are; those without letters (and null texts) go.
+
+    If there is no labelled row to learn from, nothing can be told of any language: then documents with letters stay.
+    """
+    model, rows = train(docs), docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))
+    if model.langs:
+        return predicted(rows, model).where(F.col("lang_pred") != UNKNOWN).select("_doc.*")
+    return rows.where(_lettered(F.col("text").cast("string"))).select("_doc.*")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

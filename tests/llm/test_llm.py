@@ -122,6 +122,11 @@ def test_langid(spark, data):
     assert langid.train(spark.createDataFrame([], DOCS)).predict("text") == ("und", 0.0)
 
 
+def test_recognised_without_labels(spark):
+    docs = docs_of(spark, [None, "", "12 34", "some plain words", "déjà vu"]).withColumn("lang", F.lit(None).cast("string"))
+    assert {(r.doc_id, r.text) for r in langid.recognised(docs).collect()} == {(None, "a row without id"), (3, "some plain words"), (4, "déjà vu")}
+
+
 def test_lines_as_brute_force(spark):
     line = "This very line is longer than forty code points, surely"
     texts = [None, "", line, f" {line.upper()} \nown", f"{line}\n{line}\nb", f"x\n{line}\r", line, "short\nshort", "\n\n"]
