@@ -127,12 +127,16 @@ def latency_per_item(calls: DataFrame) -> DataFrame:
 
 
 def score_summary(scores: DataFrame, sizes: list[int]) -> DataFrame:
-    """Count, mean and upper median of relevance by band and bucket of body length."""
+    """Count, mean and upper median of relevance by band and bucket of body length, from counts per distinct relevance."""
     bucket = F.lit(None).cast("int")
     for size in sorted(sizes):
         bucket = F.when(F.col("chars") >= size, size).otherwise(bucket)
-    rows = scores.withColumn("bucket", bucket)
-    return rows.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.avg("relevance").alias("mean"), F.try_element_at(F.array_sort(F.collect_list("relevance")), (F.floor(F.count("relevance") / 2) + 1).cast("int")).alias("median"))
+    counts = scores.withColumn("bucket", bucket).groupBy("band", "bucket", "relevance").agg(F.count("*").alias("_n"), F.count("relevance").alias("_known"))
+    group = Window.partitionBy("band", "bucket")
+    upto, total = F.sum("_known").over(group.orderBy("relevance")), F.sum("_known").over(group)
+    rows = counts.withColumn("_mid", F.when(upto > F.floor(total / 2), F.col("relevance")))
+    mean = F.try_divide(F.sum(F.col("relevance") * F.col("_n")).cast("double"), F.sum("_known"))
+    return rows.groupBy("band", "bucket").agg(F.sum("_n").alias("n"), mean.alias("mean"), F.min("_mid").alias("median"))
 
 
 def null_profile(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -96,29 +96,30 @@ def explore_pool(rows: DataFrame, percentile: float = DEFAULTS.explore_percentil
     return rows.join(cuts, "direction").where((~F.coalesce("passed", F.lit(True))) & (F.coalesce("quality", F.lit(0)) >= floor) & (F.col("sim") <= F.col("cut")))
 
 
-def _mmr(quota: int, weight: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sim", "item_id"], kind="stable").reset_index(drop=True)
-        vectors = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        norms = np.sqrt((vectors * vectors).sum(axis=1))
-        unit = np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0)
-        sim, closest, left, order = rows["sim"].to_numpy(), np.zeros(len(rows)), np.ones(len(rows), dtype=bool), []
-        for _ in range(min(quota, len(rows))):
-            score = np.where(left, -weight * sim - (1 - weight) * closest, -np.inf)
-            best = int(np.argmax(score))
-            order.append(best)
-            left[best] = False
-            near = unit @ unit[best]
-            closest = near if len(order) == 1 else np.maximum(closest, near)
-        return pd.DataFrame({"direction": rows["direction"].iloc[order], "item_id": rows["item_id"].iloc[order], "pick": range(1, len(order) + 1)})
-
-    return run
-
-
 def explore_picks(rows: DataFrame, quota: int = DEFAULTS.explore_quota, weight: float = DEFAULTS.explore_mmr_lambda, direction_type: str = "string", **limits) -> DataFrame:
-    """(direction, item_id, pick): greedy picks far from the query and from each other (maximal marginal relevance)."""
-    pool = explore_pool(rows, **limits).where("vec IS NOT NULL").select("direction", "item_id", "sim", "vec")
-    return pool.groupBy("direction").applyInPandas(_mmr(quota, weight), f"direction {direction_type}, item_id long, pick int")
+    """(direction, item_id, pick): greedy picks far from the query and from each other (maximal marginal relevance).
+
+    Each pick is a round over the pool wherever it lies: the best row of each part, then of all parts. Only the picks
+    so far, ``quota`` vectors a direction, come to the driver and go out again. Ties go to the smaller similarity,
+    then to the smaller id.
+    """
+    spark = rows.sparkSession
+    pool = explore_pool(rows, **limits).where("vec IS NOT NULL").select("direction", "item_id", "sim", "vec", V.norm(F.col("vec")).alias("_n")).persist()
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema}
+    schema = f"direction {kinds['direction']}, item_id {kinds['item_id']}, pick int, vec {kinds['vec']}, n double"
+    picks = []
+    for at in range(1, quota + 1):
+        chosen = spark.createDataFrame(picks, schema).groupBy("direction").agg(F.collect_list(F.struct("item_id", "vec", "n")).alias("_picks"))
+        left = pool.join(F.broadcast(chosen), "direction", "left").where(~F.coalesce(F.exists("_picks", lambda p: p["item_id"] == F.col("item_id")), F.lit(False)))
+        near = F.coalesce(F.array_max(F.transform("_picks", lambda p: V.cosine(F.col("vec"), p["vec"], F.col("_n"), p["n"]))), F.lit(0.0))
+        score = -weight * F.col("sim") - (1 - weight) * near
+        best = left.groupBy("direction").agg(F.max(F.struct(score.alias("score"), (-F.col("sim")).alias("sim"), (-F.col("item_id")).alias("id"), "vec", "_n")).alias("b"))
+        found = [(r["direction"], -r["b"]["id"], at, r["b"]["vec"], r["b"]["_n"]) for r in best.collect()]
+        if not found:
+            break
+        picks += found
+    pool.unpersist()
+    return spark.createDataFrame([p[:3] for p in picks], f"direction {direction_type}, item_id long, pick int")
 
 
 def explore_settings(directions: DataFrame) -> DataFrame:

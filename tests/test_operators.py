@@ -147,6 +147,35 @@ def test_semantic_dup_all_finds_every_pair(spark, tmp_path):
     assert got == {2: 1, 7: 5}  # 3 is too far, 4 is of another direction, 9 is a version of a page
 
 
+def test_explore_picks_as_loop(spark):
+    rng = random.Random(8)
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    rows = [(i, "d%d" % (i % 2), rng.uniform(-1, 1), [rng.uniform(-1, 1) for _ in range(4)], 60, False) for i in range(80)]
+    table = spark.createDataFrame(rows, "item_id long, direction string, sim double, vec array<double>, quality int, passed boolean")
+    want = set()
+    for d in ("d0", "d1"):
+        left, taken = [r for r in rows if r[1] == d], []
+        for at in range(1, 5):
+            near = lambda r: max((sum(x * y for x, y in zip(unit(r[3]), unit(p[3]))) for p in taken), default=0.0)  # noqa: B023, E731
+            best = max(left, key=lambda r: -0.3 * r[2] - 0.7 * near(r))  # noqa: B023
+            left.remove(best)
+            taken.append(best)
+            want.add((d, best[0], at))
+    picks = routing.explore_picks(table, quota=4, percentile=100)
+    assert set(map(tuple, picks.collect())) == want
+    assert "FlatMapGroupsInPandas" not in picks._jdf.queryExecution().optimizedPlan().toString()
+    assert routing.explore_picks(table.limit(0)).count() == 0
+
+
+def test_score_summary(spark):
+    from brightloom.operators import ledger
+
+    rows = spark.createDataFrame([("a", 10, 5), ("a", 20, 9), ("a", 30, 7), ("a", 40, 7), ("a", 600, None), ("b", 0, 3)], "band string, chars int, relevance int")
+    out = ledger.score_summary(rows, [0, 500])
+    assert {(r.band, r.bucket): (r.n, r["mean"], r.median) for r in out.collect()} == {("a", 0): (4, 7.0, 7), ("a", 500): (1, None, None), ("b", 0): (1, 3.0, 3)}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_throttle_and_quota(spark):
     rows = spark.createDataFrame([("h", 0.0, 1), ("h", 0.0, 2), ("h", 0.0, 3), ("h", 10.0, 4)], "netloc string, at double, request_id long")
     got = {r.request_id: (r.wait, r.accepted) for r in limits.throttled(rows, gap_s=3.0, max_wait_s=4.0).collect()}
