@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import ASCII_SPACE, LOWER, UPPER, stored
+from brightloom.llm.common import LOWER, UPPER, dealt, packed, stored, unpacked
 from brightloom.llm.components import connected_components
 from brightloom.llm.tiles import tiled
 
@@ -53,8 +53,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(total * 2 > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, *more) -> DataFrame:
+    """(doc_id, fp, *more): the fingerprint as a signed 64-bit number."""
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             values = np.fromiter((fingerprint(x) for x in batch), dtype=np.uint64, count=len(batch))
             yield pd.Series(values.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), of(F.col("text").cast("string")).alias("fp"), *more)
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -134,8 +134,8 @@ def close_groups(values: np.ndarray) -> np.ndarray:
     return root
 
 
-def _small_links(values: np.ndarray, reps: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of buckets of at most SMALL rows: each row is compared with its r-th successor, for r = 1, 2, ..."""
+def _small_links(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links, as positions, of buckets of at most SMALL rows: each row meets its r-th successor, for r = 1, 2, ..."""
     ends = np.repeat(start + size, size)
     at = np.concatenate([np.arange(s, s + k) for s, k in zip(start, size, strict=True)]) if len(start) else np.zeros(0, dtype=np.int64)
     links = []
@@ -144,26 +144,27 @@ def _small_links(values: np.ndarray, reps: np.ndarray, start: np.ndarray, size:
         if not len(at):
             break
         near = close_pairs(values[at], values[at + r])
-        links.append((reps[at[near]], reps[at[near] + r]))
+        links.append((at[near], at[near] + r))
     return links
 
 
 def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links (src, dst) of the buckets of one partition, which come sorted by bucket."""
+    """Links (src_rep, src_fp, dst_rep, dst_fp) of the buckets of one partition, which come sorted by bucket."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        values, reps = rows["fp"].to_numpy(dtype=np.int64).view(np.uint64), rows["rep"].to_numpy(dtype=np.int64)
+        prints, reps = rows["fp"].to_numpy(dtype=np.int64), rows["rep"].to_numpy(dtype=np.int64)
+        values = prints.view(np.uint64)
         ids = rows[["table", "key", "left_chunk", "right_chunk"]].to_numpy(dtype=np.int64)
         start = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1))
         size = np.diff(np.append(start, len(rows)))
         small = (size > 1) & (size <= SMALL)
-        links = _small_links(values, reps, start[small], size[small])
+        links = _small_links(values, start[small], size[small])
         for s, k in zip(start[size > SMALL], size[size > SMALL], strict=True):
             root = close_groups(np.ascontiguousarray(values[s : s + k]))
-            moved = root != np.arange(k)
-            links.append((reps[s : s + k][moved], reps[s : s + k][root[moved]]))
-        src, dst = (np.concatenate([x[i] for x in links]) if links else np.zeros(0, dtype=np.int64) for i in (0, 1))
-        return pd.DataFrame({"src": np.maximum(src, dst), "dst": np.minimum(src, dst)}).drop_duplicates()
+            moved = np.flatnonzero(root != np.arange(k))
+            links.append((s + moved, s + root[moved]))
+        src, dst = (np.concatenate([x[i] for x in links]).astype(np.int64) if links else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        return pd.DataFrame({"src_rep": reps[src], "src_fp": prints[src], "dst_rep": reps[dst], "dst_fp": prints[dst]}).drop_duplicates()
 
     rest = None
     for batch in batches:
@@ -180,38 +181,55 @@ def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links(classes: DataFrame, tile: int = TILE) -> DataFrame:
-    """(src, dst) between the representatives ``rep`` of distinct fingerprints ``fp``: the same components as all links."""
+    """(src, dst), each struct(rep, fp), between rows of ``classes`` (rep, fp): the same components as all links.
+
+    A fingerprint ``fp`` comes once; its ``rep``, the smallest doc_id that has it, may stand for others as well.
+    """
     tables = list(combinations(range(len(RANGES)), len(RANGES) - RADIUS))
     masks = [sum(((1 << RANGES[i][1]) - 1) << RANGES[i][0] for i in kept) for kept in tables]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
     keyed = classes.select("fp", "rep", F.explode(keys).alias("at")).select("fp", "rep", "at.table", "at.key")
     ids = ["table", "key", "left_chunk", "right_chunk"]
-    dealt = tiled(keyed, ["table", "key"], "fp", tile).repartition(*ids).sortWithinPartitions(*ids)
-    return dealt.select("fp", "rep", *ids).mapInPandas(_bucket_links, "src long, dst long")
+    tiles = tiled(keyed, ["table", "key"], "fp", tile).repartition(*ids).sortWithinPartitions(*ids)
+    found = tiles.select("fp", "rep", *ids).mapInPandas(_bucket_links, "src_rep long, src_fp long, dst_rep long, dst_fp long")
+    ends = [F.struct(F.col(f"{x}_rep").alias("rep"), F.col(f"{x}_fp").alias("fp")).alias(x) for x in ("src", "dst")]
+    return found.select(*ends)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; see op3_simhash for the definition."""
+    """(doc_id, fp, component_id, component_fp) for every row of docs; see op3_simhash for the definition.
+
+    component_fp, the fingerprint of the group's first class, tells groups apart that begin at the same repeated id.
+    """
     prints = stored(fingerprints(docs), "fingerprints")
     classes = stored(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
     edges = stored(links(classes), "fingerprint-links")
-    moved = connected_components(edges).where("node <> component")
-    final = classes.join(moved, classes["rep"] == moved["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(final, prints["fp"] == final["_fp"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    moved = connected_components(edges).where("node <> component").select(F.col("node.fp").alias("moved_fp"), F.col("component"))
+    first = F.coalesce("component", F.struct("rep", "fp"))
+    final = classes.join(moved, F.col("fp") == F.col("moved_fp"), "left").select(F.col("fp").alias("class_fp"), first.alias("first"))
+    named = lambda name: F.when(F.col("doc_id").isNotNull(), F.col("first").getField(name))
+    return prints.join(final, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", named("rep").alias("component_id"), named("fp").alias("component_fp"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their group; see op3_simhash.
+    """One document of each group stays, of the smallest doc_id; see op3_simhash.
 
-    Rows without doc_id are kept. Of rows that repeat a doc_id one stays.
+    Defined cases: rows without doc_id are kept. Rows that repeat a doc_id are told apart by their fingerprints, and
+    each stays or goes with its own group; of several rows of a group that have its smallest doc_id, the one of the
+    smallest fingerprint and text hash stays. Extra columns are carried along, whatever their names. An empty table
+    gives an empty table.
     """
-    groups = stored(near_groups(docs), "near-groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    groups = stored(near_groups(docs), "near-groups").where("doc_id IS NOT NULL")
+    repeated = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    gone = groups.where("doc_id <> component_id").select("doc_id").unionByName(repeated).distinct()
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    kept = unpacked(rows.join(gone, "doc_id", "left_anti"), docs)
+    if repeated.isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    again = rows.join(repeated, "doc_id", "left_semi").select("row", "doc_id", F.col("row.text").alias("text"))
+    again = fingerprints(again, "row", F.xxhash64("text").alias("h")).join(groups.distinct(), ["doc_id", "fp"]).where("doc_id = component_id")
+    return kept.unionByName(unpacked(again.groupBy("component_id", "component_fp").agg(F.min_by("row", F.struct("fp", "h")).alias("row")), docs))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,5 +239,5 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeat a doc_id are rows of their own in one group if their texts agree. A row without doc_id gets its fingerprint
     and a null component_id, and takes part in no group. Extra columns are not read. An empty table gives no rows.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return near_groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
