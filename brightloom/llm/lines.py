@@ -1,10 +1,11 @@
 """Line dedup over a growing corpus: levelled sorted runs of line hashes.
 
 A run holds, sorted by hash, a row for each distinct line of one or more batches: its two 64-bit hashes, the
-number of documents that hold it and the largest id among them. A new batch is aggregated to such rows, merge-
-anti-joined with the runs (which tells the lines never seen before) and written as a run of level 0. When a
-level holds ``fanout`` runs they are merged into one run of the next level. Runs are bucketed and sorted tables:
-merging or joining them shuffles no run again.
+number of documents that hold it and the largest id among them. A new batch is aggregated to such rows and merge-
+anti-joined with the runs: lines never seen before are new in the batch's run, the others are additions to lines of
+older runs. When a level holds ``fanout`` runs they are merged into one run of the next level. Totals are the new
+lines of all runs, each of which is in one run only, with the additions summed up. Runs are bucketed and sorted
+tables: merging or joining them shuffles no run again.
 
 All work here is DataFrame operations.
 """
@@ -16,9 +17,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.llm.common import ascii_lower, ascii_strip, fresh_path, scratch, stored
+from brightloom.llm.common import Manifest, ascii_lower, ascii_strip, dealt, fresh_path, packed, removed, stored, unpacked
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
+RUN = "h1 BIGINT, h2 BIGINT, n_docs BIGINT, max_doc BIGINT, is_new BOOLEAN"
 
 
 def text_lines(text: Column) -> Column:
@@ -40,66 +42,114 @@ def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of one corpus, in the shared folder. Committing a batch id twice changes nothing."""
+    """The runs of one corpus, in a folder of the shared storage; a second object on the folder sees the same runs.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.root = fresh_path(spark, "line-runs")
-        self.levels: list[list[DataFrame]] = []
-        self.done: set[str] = set()
+    A row of a run is a line hash with the documents that its batches add to it. Those of a hash that no older run holds
+    have ``is_new``: so each line of the corpus is new in exactly one run, and all other rows are additions to it.
+    Committing a batch id twice changes nothing. Two writers at once: one gets a ``Conflict`` and can commit again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.root = spark, path or fresh_path(spark, "line-runs")
+        self.manifest, self.made = Manifest(spark, self.root), set()
+        number, state = self.manifest.read()
+        self.fanout = state.get("fanout", fanout)
+        self.buckets = state.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _state(self) -> tuple[int, dict]:
+        number, state = self.manifest.read()
+        return number, state or {"fanout": self.fanout, "buckets": self.buckets, "done": [], "levels": []}
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        """A run: one file a bucket, sorted by hash."""
+    def _write(self, rows: DataFrame) -> str:
+        """A run: one file a bucket, with the additions first, then the new lines, both sorted by hash."""
         name = f"line_run_{uuid.uuid4().hex}"
         (
-            rows.repartition(self.buckets, "h1", "h2")
-            .write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+            rows.select("h1", "h2", "n_docs", "max_doc", "is_new").repartition(self.buckets, "h1", "h2")
+            .write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("is_new", "h1", "h2")
             .option("path", f"{self.root}/{name}").saveAsTable(name)
         )
+        self.made.add(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        """A run as a bucketed table, which this session's catalog may not know yet."""
+        if name not in self.made:
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({RUN}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (is_new, h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'"
+            )
+            self.made.add(name)
         return self.spark.table(name)
 
-    def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.made.discard(name)
+            removed(self.spark, f"{self.root}/{name}")
+
+    def runs(self) -> list[str]:
+        """Names of the runs, the oldest batches first."""
+        return [name for level in reversed(self._state()[1]["levels"]) for name in level]
+
+    def committed(self) -> list[str]:
+        return self._state()[1]["done"]
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows whose (h1, h2) no run holds."""
-        for run in self.runs():
-            lines = lines.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        """The rows whose (h1, h2) no run holds as a line, by merge joins with the runs."""
+        for name in self.runs():
+            lines = lines.join(self._run(name).where("is_new").select("h1", "h2"), ["h1", "h2"], "left_anti")
         return lines
 
-    def add(self, batch_id: str, lines: DataFrame) -> None:
-        """Commits the (doc_id, h1, h2) rows of a batch: those lines no run holds are marked as first seen here."""
-        if batch_id in self.done:
-            return
-        own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"), F.lit(batch_id).alias("batch_id"))
+    def add(self, batch_id: str, lines: DataFrame) -> bool:
+        """Commits the (doc_id, h1, h2) rows of a batch: its unseen lines are new in its run, the others additions."""
+        number, state = self._state()
+        if batch_id in state["done"]:
+            return False
+        own = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         if self.runs():
-            own = stored(own, "batch-lines")
-            first = self.unseen(own).withColumn("is_new", F.lit(True))
-            known = own.join(first.select("h1", "h2"), ["h1", "h2"], "left_anti").withColumn("is_new", F.lit(False))
-            own = first.unionByName(known)
+            path = fresh_path(self.spark, "batch-lines")
+            own.write.parquet(path)
+            own = self.spark.read.schema("h1 long, h2 long, n_docs long, max_doc long").parquet(path)
+            fresh = self.unseen(own.select("h1", "h2")).withColumn("is_new", F.lit(True))
+            name = self._write(own.join(fresh, ["h1", "h2"], "left").withColumn("is_new", F.coalesce("is_new", F.lit(False))))
+            removed(self.spark, path)
         else:
-            own = own.withColumn("is_new", F.lit(True))
-        self._place(0, self._write(own))
-        self.done.add(batch_id)
-
-    def _place(self, level: int, run: DataFrame) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            merged = self._write(merge_runs(self.levels[level]))
-            self.levels[level] = []
-            self._place(level + 1, merged)
+            name = self._write(own.withColumn("is_new", F.lit(True)))
+        levels, merged, at = [list(x) for x in state["levels"]] or [[]], [], 0
+        levels[0].append(name)
+        while len(levels[at]) >= self.fanout:
+            merged += levels[at]
+            whole = self._write(merge_runs([self._run(x) for x in levels[at]]))
+            levels[at], at = [], at + 1
+            levels += [[]] if at == len(levels) else []
+            levels[at].append(whole)
+        self.manifest.write(number, state | {"done": [*state["done"], batch_id], "levels": levels})
+        self._forget(merged)
+        return True
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, max_doc) over all batches."""
-        return merge_runs(self.runs())
+        """(h1, h2, n_docs, max_doc) over all batches: every run's new lines with all the additions to them."""
+        names, keys = self.runs(), ["h1", "h2"]
+        if not names:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, max_doc long")
+        # read by path: Spark 4.1 takes a union of bucketed tables for dealt by hash although it reads them unbucketed
+        rows = self.spark.read.schema(RUN).parquet(*[f"{self.root}/{name}" for name in names])
+        more = rows.where("NOT is_new").groupBy(*keys).agg(F.sum("n_docs").alias("more"), F.max("max_doc").alias("max_more"))
+        out = None
+        for name in names:
+            joined = self._run(name).where("is_new").join(more, keys, "left")
+            part = joined.select(*keys, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "max_more").alias("max_doc"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def drop(self) -> None:
+        """Deletes the runs and their folder."""
+        self._forget(self.runs())
+        removed(self.spark, self.root)
 
 
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
-    """Merge-joins runs, each of which holds a hash once, adding up the rows of equal hash; the batch that saw a line
-    first keeps the mark.
+    """Merge-joins runs, each of which holds a hash once, adding up the rows of equal hash; a line new in one of them
+    is new in the merged run.
 
     A full outer join and no group-by of a union: Spark 4.1 takes a union of bucketed tables for partitioned by hash
     although it reads them unbucketed, and then leaves equal hashes apart.
@@ -107,11 +157,10 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
     merged = runs[0]
     for run in runs[1:]:
         a, b = merged.alias("a"), run.alias("b")
-        either = F.coalesce("a.is_new", F.lit(False))
         merged = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full_outer").select(
             F.coalesce("a.h1", "b.h1").alias("h1"), F.coalesce("a.h2", "b.h2").alias("h2"),
             (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"), F.greatest("a.max_doc", "b.max_doc").alias("max_doc"),
-            F.when(either, F.col("a.batch_id")).otherwise(F.coalesce("b.batch_id", "a.batch_id")).alias("batch_id"), (either | F.coalesce("b.is_new", F.lit(False))).alias("is_new"),
+            (F.coalesce("a.is_new", F.lit(False)) | F.coalesce("b.is_new", F.lit(False))).alias("is_new"),
         )
     return merged
 
@@ -131,8 +180,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     for n in range(batches):
         runs.add(f"batch-{n}", lines.where(F.col("batch") == n).drop("batch"))
     common = stored(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "common-lines")
+    runs.drop()
     lost = lines.join(common, ["h1", "h2"]).where("doc_id < max_doc")
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+    drops = stored(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops")), "dropped-lines")
+    removed(spark, path)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -140,27 +192,24 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Defined cases: a null or empty text is one empty line and stays as it is. Rows that repeat a doc_id count as
     separate documents and lose the same lines. A row without doc_id counts towards the number of documents and
-    keeps all its lines. Extra columns are carried along; columns named text_n_lines or text_n_dropped are replaced.
-    An empty table gives an empty table.
+    keeps all its lines. Extra columns are carried along, whatever their names; columns named text_n_lines or
+    text_n_dropped are replaced. An empty table gives an empty table.
     """
-    drops = dropped_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min_chars, min_docs, batches)
-    drops = drops.select(F.col("doc_id").alias("_lost_id"), F.col("drops").alias("_drops"))
-    joined = docs.join(drops, F.col("doc_id") == F.col("_lost_id"), "left")
-    lines = text_lines(F.col("text"))
+    own, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    drops = dropped_lines(docs.select(own, text), min_chars, min_docs, batches)
+    lines, loses = text_lines(F.col("text")), F.col("drops").isNotNull()
     lowered = F.split(F.coalesce(ascii_lower(F.col("text")), F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_drops"), line_hash(F.get(F.col("_lowered"), i))) | (F.length(ascii_strip(line)) < min_chars))
-    return (
-        joined.withColumn("text_n_lines", F.size(lines).cast("long"))
-        .withColumn("_lowered", F.when(F.col("_drops").isNotNull(), lowered))
-        .withColumn("_kept", F.when(F.col("_drops").isNotNull(), kept))
-        .withColumn("text_n_dropped", F.when(F.col("_drops").isNull(), 0).otherwise(F.col("text_n_lines") - F.size("_kept")).cast("long"))
-        .withColumn("text", F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-        .drop("_lost_id", "_drops", "_lowered", "_kept")
-    )
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("drops"), line_hash(F.get(F.col("lowered"), i))) | (F.length(ascii_strip(line)) < min_chars))
+    found = packed(docs, own, text).join(drops, "doc_id", "left").withColumn("lowered", F.when(loses, lowered)).withColumn("kept", F.when(loses, kept))
+    n_lines = F.size(lines).cast("long")
+    return unpacked(
+        found, docs, text=F.when(loses, F.array_join("kept", "\n")).otherwise(F.col("text")),
+        text_n_lines=n_lines, text_n_dropped=F.when(loses, n_lines - F.size("kept")).otherwise(F.lit(0)).cast("long"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = dedup_lines(docs)
     return out.select("doc_id", F.col("text_n_lines").alias("n_lines"), F.col("text_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
