@@ -2,14 +2,15 @@
 
 A batch is a table of changes: upserts (a new or revised text) and deletes. It is turned into signed rows against the
 ledger of what each document counts now: an insert adds +n, a delete adds the document's -n, a revision adds both.
-Signed rows are summed per (source, lang, tokenizer) and committed as the batch's own folder of the rollup, beside its
+Signed rows are summed per (source, lang, tokenizer) and written as the batch's own folder of the rollup, beside its
 ledger rows. Totals are sums over committed folders, so they are additive and hot sources are summed before any
-shuffle. A batch is committed by one small marker written last: a batch that was lost half way is written again, and
-a batch that comes twice changes nothing.
+shuffle. A batch is committed by one entry of a manifest, written last: a batch that was lost half way is written
+again, and a batch that comes twice changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm import bpe
-from brightloom.llm.common import fresh_path
+from brightloom.llm.common import Manifest, dealt, fresh_path, removed
 
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_docs long"
 TOTALS = "source string, lang string, tokenizer string, n_tokens long, n_docs long"
 KEYS = ["source", "lang", "tokenizer"]
+#: Folders of a rollup that are summed up into one.
+COMPACT_AFTER = 16
 
 
 def word_counts(docs: DataFrame, version: str = "words-1") -> DataFrame:
@@ -44,89 +47,115 @@ def bpe_counts(docs: DataFrame, version: str = "byte_bpe_50k", path: str | None
 
 
 class TokenRollup:
-    """The rollup in one folder of the shared storage; a second object on the same folder sees the same batches."""
+    """The rollup in one folder of the shared storage; a second object on the same folder sees the same batches.
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "token-rollup")
+    Its manifest names the committed batches and the folders whose rows count. Two writers at once: the second to
+    commit gets a ``Conflict``, nothing of it counts, and it can commit again. Every ``compact_after`` batches the
+    folders are summed up into one.
+    """
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+    def __init__(self, spark: SparkSession, path: str | None = None, compact_after: int = COMPACT_AFTER):
+        self.spark, self.path, self.compact_after = spark, path or fresh_path(spark, "token-rollup"), compact_after
+        self.manifest = Manifest(spark, self.path)
 
-    def _list(self, path: str) -> list[str]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+    def _state(self) -> tuple[int, dict]:
+        number, state = self.manifest.read()
+        return number, state or {"batches": [], "folders": []}
 
     def committed(self) -> list[str]:
         """Ids of the committed batches."""
-        return self._list(f"{self.path}/commits")
+        return self._state()[1]["batches"]
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{batch}" for batch in self.committed()]
+    def _read(self, folders: list[str], kind: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{folder}/{kind}" for folder in folders]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self) -> DataFrame:
-        """The ledger: what each document counts now, a row for each (doc_id, source, lang, tokenizer) of any weight."""
-        rows = self._read("ledger", LEDGER).groupBy("doc_id", *KEYS)
-        return rows.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs")).where("n_docs <> 0 OR n_tokens <> 0")
+    def current(self, of: DataFrame | None = None) -> DataFrame:
+        """The ledger: what each document counts now, a row for each (doc_id, source, lang, tokenizer) of any weight.
+
+        With ``of`` (doc_id) only of those documents: the others are left out before anything is summed up.
+        """
+        rows = self._read(self._state()[1]["folders"], "ledger", LEDGER)
+        return _summed(rows if of is None else rows.join(of, "doc_id", "left_semi"), ["doc_id", *KEYS])
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of the groups that hold documents now."""
-        sums = self._read("totals", TOTALS).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 OR n_tokens <> 0")
+        return _summed(self._read(self._state()[1]["folders"], "totals", TOTALS), KEYS).select(*KEYS, "n_docs", "n_tokens")
 
     def signed(self, upserts: DataFrame | None, deletes: DataFrame | None) -> DataFrame:
         """The signed rows of a batch. A revision replaces a document's count under the same tokenizer version."""
-        parts = []
+        parts, gone = [], []
         if upserts is not None:
             fresh = upserts.select(F.col("doc_id").cast("long").alias("doc_id"), *KEYS, "n_tokens")
             parts.append(fresh.groupBy("doc_id", *KEYS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")))
         if self.committed():
-            now = self.current()
-            gone = []
             if upserts is not None:
                 changed = upserts.select(F.col("doc_id").cast("long").alias("doc_id"), "tokenizer").distinct()
-                gone.append(now.join(changed, ["doc_id", "tokenizer"], "left_semi"))
+                gone.append(self.current(changed.select("doc_id").distinct()).join(changed, ["doc_id", "tokenizer"], "left_semi"))
             if deletes is not None:
-                ids = deletes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-                dropped = now.join(ids, "doc_id", "left_semi")
+                dropped = self.current(deletes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
                 gone.append(dropped.join(changed, ["doc_id", "tokenizer"], "left_anti") if gone else dropped)
-            for old in gone:
-                parts.append(old.select("doc_id", *KEYS, (-F.col("n_tokens")).alias("n_tokens"), (-F.col("n_docs")).alias("n_docs")))
+        for old in gone:
+            parts.append(old.select("doc_id", *KEYS, (-F.col("n_tokens")).alias("n_tokens"), (-F.col("n_docs")).alias("n_docs")))
         rows = parts[0] if parts else self.spark.createDataFrame([], LEDGER)
         for part in parts[1:]:
             rows = rows.unionByName(part)
         return rows.select("doc_id", *KEYS, "n_tokens", "n_docs")
 
+    def _put(self, signed: DataFrame) -> str:
+        """Writes ledger rows and their sums as a folder, which counts once a commit names it."""
+        folder = f"part-{uuid.uuid4().hex}"
+        signed.write.parquet(f"{self.path}/{folder}/ledger")
+        rows = self._read([folder], "ledger", LEDGER)
+        rows.groupBy(*KEYS).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs")).write.parquet(f"{self.path}/{folder}/totals")
+        return folder
+
     def commit(self, batch_id: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Applies a batch once. ``upserts`` has (doc_id, source, lang, tokenizer, n_tokens), ``deletes`` (doc_id).
 
         Returns False, and does nothing, if the batch is committed already. A document in both counts as revised.
         """
-        if batch_id in self.committed():
+        number, state = self._state()
+        if batch_id in state["batches"]:
             return False
-        self.signed(upserts, deletes).write.mode("overwrite").parquet(f"{self.path}/ledger/{batch_id}")
-        rows = self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger/{batch_id}")
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/totals/{batch_id}")
-        self.spark.createDataFrame([(batch_id,)], "batch_id string").coalesce(1).write.mode("overwrite").json(f"{self.path}/commits/{batch_id}")
+        folder = self._put(self.signed(upserts, deletes))
+        self.manifest.write(number, {"batches": [*state["batches"], batch_id], "folders": [*state["folders"], folder]})
+        if len(state["folders"]) + 1 > self.compact_after:
+            self.compact()
         return True
 
+    def compact(self) -> None:
+        """Sums the folders up into one; documents that no longer count leave the ledger."""
+        number, state = self._state()
+        whole = self._put(self.current())
+        self.manifest.write(number, state | {"folders": [whole]})
+        for folder in state["folders"]:
+            removed(self.spark, f"{self.path}/{folder}")
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    sums = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"))
+    return sums.where("n_docs <> 0 OR n_tokens <> 0")
+
 
 def _count_changes(spark: SparkSession, sf_dir: str, counter) -> DataFrame:
-    """Loads all documents as one batch, takes those labelled toxic down in a second, and sends both again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
-    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id")
+    """Loads all documents, revises those of low quality (without their digits) and takes the toxic ones down.
+
+    The three batches are sent twice over.
+    """
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    poor = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
     rollup = TokenRollup(spark)
     for _ in range(2):
         rollup.commit("load", upserts=counter(docs))
-        rollup.commit("takedown", deletes=toxic)
+        rollup.commit("revise", upserts=counter(poor.withColumn("text", F.regexp_replace("text", "[0-9]", ""))))
+        rollup.commit("takedown", deletes=labels.where("toxic = 1").select("doc_id"))
     return rollup.totals()
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after the documents were loaded and those labelled toxic were deleted; both batches arrive twice.
+    """Totals after all documents were loaded, those of low quality revised and the toxic ones deleted, each batch twice.
 
     Defined cases: a null text has no tokens but counts as a document; a null source or lang is a group of its own; a
     null doc_id is counted and cannot be deleted or revised; rows that repeat a doc_id in one batch add up, and go
@@ -141,7 +170,11 @@ def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORDS_SQL = r"""
+WITH revised AS (
+  SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN regexp_replace(text, '[0-9]', '', 'g') ELSE text END AS text
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+)
 SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs,
        sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens
-FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source, lang
+FROM revised GROUP BY source, lang
 """
