@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from brightloom.llm.common import dealt, packed, unpacked
+
 #: Families of language codes; a language that is not named forms a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy", "yi"),
@@ -33,10 +35,10 @@ FAMILIES = {
     "semitic": ("ar", "he"),
 }
 BITS = 14
-#: Labelled rows per language that training reads, on average; a sample by a hash of doc_id.
-SAMPLE_PER_LANGUAGE = 1500
-#: Languages that training reads, the most frequent first; with the above it bounds the sample.
-MAX_LANGUAGES = 400
+#: Distinct labelled rows (by doc_id and text) that training reads, on average: per language, and of all languages.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 60_000
+#: More languages than that are an error: the model would no longer be a few MB. All that are there are learned.
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Factor of the relative frequencies, cost of a violated margin, passes over the sample.
 SCALE, COST, PASSES = 16.0, 1.0, 12
@@ -125,16 +127,23 @@ class Model:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits the machines on about ``per_language`` labelled rows of each language that are not held out."""
+    """Fits the machines on about ``per_language`` labelled rows of each language that are not held out.
+
+    Every language that occurs is learned; over MAX_LANGUAGES distinct labels are a ValueError. Rows are drawn by a
+    hash of doc_id and text, and rows that repeat both count once, so repeated or null ids can't swell the sample.
+    """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} distinct values")
+    per_language = min(per_language, SAMPLE_ROWS / max(1, len(counts)))
     langs = sorted(r["lang"] for r in counts)
     machines = _machines(langs)
     width = 1 << BITS
     if not machines:
         return Model(langs, [], np.zeros((width, 0), dtype=np.float32), np.zeros(0))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.col("row_key"), F.lit(1 << 30)) / float(1 << 30)
     sides = {x: [(i, lang_side) for i, (_, yes, no) in enumerate(machines) for lang_side, part in ((1, yes), (-1, no)) if x in part] for x in langs}
     takes = F.create_map(*[x for lang, at in sides.items() for x in (F.lit(lang), F.array(*[F.struct(F.lit(i).alias("machine"), F.lit(y).alias("side")) for i, y in at]))])
 
@@ -143,18 +152,20 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         found = [np.unique(trigrams(x), return_counts=True) for x in texts]
         return pd.DataFrame({"grams": [g.astype(np.int32) for g, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
 
-    # bounded by per_language and MAX_LANGUAGES: about per_language rows a language in each machine's group
-    sample = labelled.where(chance < share[F.col("lang")]).select("doc_id", "lang", features(F.col("text").cast("string")).alias("f"))
-    dealt = sample.select("doc_id", "f.grams", "f.counts", F.explode(takes[F.col("lang")]).alias("at")).select("doc_id", "grams", "counts", "at.machine", "at.side")
+    # bounded by SAMPLE_ROWS: about per_language rows a language in each machine's group
+    rows = labelled.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.lit(5), "text").alias("row_key"))
+    drawn = rows.where(chance < share[F.col("lang")]).groupBy("lang", "row_key").agg(F.max("text").alias("text"))
+    sample = drawn.select("row_key", "lang", features(F.col("text")).alias("f"))
+    sides_of = sample.select("row_key", "f.grams", "f.counts", F.explode(takes[F.col("lang")]).alias("at")).select("row_key", "grams", "counts", "at.machine", "at.side")
     weights, offsets = np.zeros((width, len(machines)), dtype=np.float32), np.zeros(len(machines))
-    for row in dealt.groupBy("machine").applyInPandas(_fit, "machine int, weights binary, intercept double").collect():
+    for row in sides_of.groupBy("machine").applyInPandas(_fit, "machine int, weights binary, intercept double").collect():
         weights[:, row["machine"]], offsets[row["machine"]] = np.frombuffer(row["weights"], dtype="<f4"), row["intercept"]
     return Model(langs, machines, weights, offsets)
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     """A linear support vector machine with squared hinge loss, by dual coordinate descent over the rows of a sample."""
-    rows = rows.sort_values("doc_id", kind="stable")
+    rows = rows.sort_values(["row_key", "side"], kind="stable")
     side = rows["side"].to_numpy(dtype=np.float64)
     at = [np.append(g, 1 << BITS).astype(np.int64) for g in rows["grams"]]
     value = [np.append(SCALE * n / max(1, n.sum()), 1.0) for n in rows["counts"]]
@@ -171,7 +182,10 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and lang_score; only the text is read. The model (a few hundred kB) is broadcast."""
+    """docs with lang_pred and lang_score, which replace columns of these names; only the text is read.
+
+    The model is broadcast: 64 kB a machine, of which there is one for each family and for each pair within one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -179,8 +193,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame([shared.value.predict(x) for x in batch], columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_lang", of(F.col("text").cast("string")))
-    return found.withColumn("lang_pred", F.col("_lang.lang_pred")).withColumn("lang_score", F.col("_lang.score")).drop("_lang")
+    found = packed(docs, of(F.col("text").cast("string")).alias("found"))
+    return unpacked(found, docs, lang_pred=F.col("found.lang_pred"), lang_score=F.col("found.score"))
 
 
 @F.pandas_udf(BooleanType())
@@ -189,14 +203,17 @@ def _lettered(texts: pd.Series) -> pd.Series:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with their columns as they are; those without letters (and null texts) go.
+    """The documents whose language can be told, with the predicted one as their ``lang``; the others go.
 
-    If there is no labelled row to learn from, nothing can be told of any language: then documents with letters stay.
+    Defined cases: null texts and those without letters have no language and go. If there is no labelled row to learn
+    from, nothing can be told of any language: then documents with letters stay as they are. Rows that repeat a
+    doc_id, or have none, are told each. Extra columns are carried along; an empty table gives an empty table.
     """
-    model, rows = train(docs), docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"))
-    if model.langs:
-        return predicted(rows, model).where(F.col("lang_pred") != UNKNOWN).select("_doc.*")
-    return rows.where(_lettered(F.col("text").cast("string"))).select("_doc.*")
+    model, rows = train(docs), packed(docs, F.col("text").cast("string").alias("text"))
+    if not model.langs:
+        return unpacked(rows.where(_lettered(F.col("text"))), docs)
+    told = predicted(rows, model).where(F.col("lang_pred") != UNKNOWN)
+    return unpacked(told, docs, lang=F.col("lang_pred").cast(docs.schema["lang"].dataType))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +223,6 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     was there to learn from. Rows that repeat a doc_id are predicted each; a null doc_id is not held out. Texts are
     scored whole. Extra columns are not read. Ties between languages go to the last one in alphabetical order.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     out = predicted(docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
