@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.llm.common import dealt, packed, unpacked
+
 #: Shares of the sources are their row counts to this power: 1 keeps the corpus as it is, 0 gives equal shares.
 ALPHA = 0.5
 EPOCHS = 1.0
@@ -56,20 +58,20 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
 
 
 def replicated(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """Adds (mix_copy, mix_key) and gives each document once per copy."""
+    """(row, mix_copy, mix_key): each document, as the struct ``row``, once per copy."""
     parts = F.greatest(F.ceil(F.col("rate") / F.lit(MAX_MEAN)), F.lit(1)).cast("int")
-    table = rates.select(F.col("source").alias("_source"), parts.alias("_parts"), poisson_cdf(F.col("rate") / parts).alias("_cdf"))
+    table = rates.select(F.col("source").alias("of"), parts.alias("parts"), poisson_cdf(F.col("rate") / parts).alias("cdf"))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draw = lambda total, j: total + F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), j.cast("string"), doc)))
-    one = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
-    many = F.aggregate(F.sequence(F.lit(1), F.col("_parts") - 1), F.lit(0), draw)
-    joined = docs.join(table, docs["source"].eqNullSafe(table["_source"]))
-    counted = joined.withColumn("_u", uniform(F.lit(seed), F.lit("0"), doc)).withColumn("_n", one + F.when(F.col("_parts") > 1, many).otherwise(0))
-    copies = counted.where("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), doc, F.col("mix_copy").cast("string")))
-    return copies.withColumn("mix_key", key).drop("_source", "_parts", "_cdf", "_u", "_n")
+    doc = F.col("doc")
+    draw = lambda total, j: total + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), j.cast("string"), doc)))
+    one = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("u")))
+    many = F.aggregate(F.sequence(F.lit(1), F.col("parts") - 1), F.lit(0), draw)
+    rows = packed(docs, F.col("source").alias("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc"))
+    joined = rows.join(table, F.col("source").eqNullSafe(F.col("of")))
+    counted = joined.withColumn("u", uniform(F.lit(seed), F.lit("0"), doc)).withColumn("n", one + F.when(F.col("parts") > 1, many).otherwise(0))
+    copies = counted.where("n > 0").select("row", "doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("mix_copy"))
+    return copies.select("row", "mix_copy", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), doc, F.col("mix_copy").cast("string"))).alias("mix_key"))
 
 
 def shuffled(copies: DataFrame) -> DataFrame:
@@ -84,11 +86,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     draw the same number of copies each; texts are never read; extra columns are carried along, columns named
     mix_copy or mix_key are replaced; an empty table, and weights that sum to nothing, give an empty table.
     """
-    return shuffled(replicated(docs, source_rates(docs, weights, alpha, epochs), seed))
+    copies = shuffled(replicated(docs, source_rates(docs, weights, alpha, epochs), seed))
+    return unpacked(copies, docs, mix_copy=F.col("mix_copy"), mix_key=F.col("mix_key"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text"))
     out = mixed(docs)
     return out.select("doc_id", "source", "mix_copy", "mix_key", "lang", "n_chars", "text")
 

@@ -24,11 +24,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.llm.common import dealt, packed, unpacked
+
 ROUNDS = 8
 #: Callers pass a secret of their own.
 KEY = "pseudonym-key-1"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -228,24 +230,18 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     Defined cases: a null text stays null and an empty one empty, with no kinds; texts are searched whole; rows that
     repeat a doc_id are handled each; of overlapping matches the leftmost counts, and at one place the first kind of
     the table above that fits, the longest that validates; what fails its validation stays and hides no value within
-    or behind it. Extra columns are carried along; a column named
-    pii_kinds is replaced. An empty table gives an empty table.
+    or behind it. A mail name begins at a letter or digit that follows none. Extra columns are carried along, whatever
+    their names; a column named pii_kinds is replaced. An empty table gives an empty table.
     """
     text = F.col("text")
-    may = text.rlike("[0-9@]")
-    parts = docs.withColumn("_any", F.when(may, _pattern(text, key)))
-    parts = parts.withColumn("_found", F.transform(F.regexp_extract_all(text, F.col("_any"), F.lit(0)), lambda m: pseudonym(m, key)))
-    between = F.split(text, F.col("_any"), -1)
-    glued = F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("_found"), i)["made"], F.lit("")))), "")
-    kinds = F.filter(F.transform("_found", lambda x: x["kind"]), lambda x: x.isNotNull())
-    changed = F.size("_found") > 0
-    return (
-        parts.withColumn("text", F.when(changed, glued).otherwise(text))
-        .withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
-        .drop("_found", "_any")
-    )
+    parts = packed(docs, text.cast("string").alias("text")).withColumn("any", F.when(text.rlike("[0-9@]"), _pattern(text, key)))
+    parts = parts.withColumn("found", F.transform(F.regexp_extract_all(text, F.col("any"), F.lit(0)), lambda m: pseudonym(m, key)))
+    between = F.split(text, F.col("any"), -1)
+    glued = F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("found"), i)["made"], F.lit("")))), "")
+    kinds = F.filter(F.transform("found", lambda x: x["kind"]), lambda x: x.isNotNull())
+    return unpacked(parts, docs, text=F.when(F.size("found") > 0, glued).otherwise(text), pii_kinds=F.coalesce(kinds, F.array().cast("array<string>")))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return pseudonymised(docs).select("doc_id", F.size("pii_kinds").cast("long").alias("n_pii"), F.array_join("pii_kinds", ",").alias("pii_kinds"), "text")
