@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens that a Python worker remembers before it starts anew.
-MEMO = 600_000
+from brightloom.llm.common import dealt
+
+#: Pre-tokens that a Python worker remembers before it starts anew, and the most characters of one: about 100 MB.
+MEMO, MEMO_CHARS = 600_000, 48
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -156,9 +158,10 @@ class Codec(dict):
         at = self.whole.index(token)
         ids = [self.rank_of[at]] if at >= 0 else merge_bytes(token, self.ranks)
         found = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = found
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[piece] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -191,8 +194,8 @@ def share(spark: SparkSession, path: str | None = None, pattern: str | None = No
     return spark.sparkContext.broadcast(_TABLES[name])
 
 
-def with_token_ids(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): ids as little-endian 32-bit numbers, decoded as the bytes they stand for.
+def with_token_ids(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n_tokens, ids, decoded): ids as little-endian 32-bit numbers, decoded as the bytes they stand for.
 
     Defined cases: a null or empty text has no tokens; texts of any length are encoded whole; rows that repeat a
     doc_id are encoded each; a null doc_id stays null; extra columns are not read; an empty table gives no rows.
@@ -206,10 +209,10 @@ def with_token_ids(docs: DataFrame, path: str | None = None, pattern: str | None
                 part = batch.iloc[at : at + 500]
                 ids = [codec.encode(x) for x in part["text"]]
                 decoded = [codec.decode(x) for x in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded})
+                yield pd.DataFrame({"doc_id": part["doc_id"], **{c: part[c] for c in keep}, "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in keep])
+    return rows.mapInPandas(run, ", ".join(["doc_id long", *[f"{c} string" for c in keep], "n_tokens long, ids binary, decoded binary"]))
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -225,10 +228,10 @@ def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """For the pipeline: ids of every document with the digests of both directions."""
-    return with_token_ids(docs).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """For the pipeline: ids of every document with the digests of both directions; lang and source go along."""
+    return with_token_ids(docs, keep=("lang", "source")).select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return with_token_ids(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
