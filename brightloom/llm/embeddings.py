@@ -60,7 +60,7 @@ def hash_keys(classes: DataFrame, bits: int, tables: int, seed: int = SEED) -> D
                 keys[i] = k
         return pd.DataFrame({"keys": keys, "vector": [np.asarray(v, dtype="<f4").tobytes() for v in vectors]})
 
-    return classes.withColumn("_h", of("embedding")).select("rep", "label", "weight", F.size("embedding").alias("dim"), "_h.keys", "_h.vector")
+    return classes.withColumn("hashed", of("embedding")).select("rep", "mark", "label", "weight", F.size("embedding").alias("dim"), "hashed.keys", "hashed.vector")
 
 
 def _tile_links(threshold: float):
@@ -71,7 +71,7 @@ def _tile_links(threshold: float):
         n_left, n = int(own.sum()), len(rows)
         vectors, norms = _unit(rows["vector"])
         keys = np.stack(rows["keys"].to_numpy())[:, :table]
-        reps, weights = rows["rep"].to_numpy(dtype=np.int64), rows["weight"].to_numpy(dtype=np.int64)
+        reps, marks, weights = (rows[c].to_numpy(dtype=np.int64) for c in ("rep", "mark", "weight"))
         first_b = 0 if left == right else n_left
         counts, linked = np.zeros(n, dtype=np.int64), np.zeros((n, n), dtype=bool)
         for a in range(0, n_left, CHUNK):
@@ -88,28 +88,28 @@ def _tile_links(threshold: float):
                 counts[first_b:] += weights[a:b] @ near
                 linked[first_b:, a:b] = linked[a:b, first_b:].T
         root = np.full(n, -1)
-        for i in np.argsort(reps, kind="stable"):
+        for i in np.lexsort((marks, reps)):
             if root[i] < 0:
                 root[i], frontier = i, np.array([i])
                 while len(frontier):
                     frontier = np.flatnonzero(linked[frontier].any(axis=0) & (root < 0))
                     root[frontier] = i
-        out = pd.DataFrame({"rep": reps, "found": counts, "root": reps[root]})
-        return out[(out["found"] > 0) | (out["rep"] != out["root"])]
+        out = pd.DataFrame({"rep": reps, "mark": marks, "found": counts, "root_rep": reps[root], "root_mark": marks[root]})
+        return out[(out["found"] > 0) | (root != np.arange(n))]
 
     return run
 
 
 def link_tiles(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
-    """(rep, found, root) of every tile: links counted for rep there, and the smallest rep that it reaches there."""
+    """(rep, mark, found, root_rep, root_mark) of every tile: links counted for a class there, and the smallest class
+    that it reaches there. A class is named by its smallest id and, as ids may repeat, a hash."""
     bits, tables = shape_of(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, threshold, recall, bucket)
     hashed = stored(hash_keys(classes, bits, tables), "vector-keys")
-    keyed = hashed.select("rep", "label", "dim", F.posexplode("keys").alias("table", "key"))
+    keyed = hashed.select("rep", "mark", "label", "dim", F.posexplode("keys").alias("table", "key"))
     ids = ["label", "dim", "table", "key"]
-    dealt = tiled(keyed, ids, "rep", tile)
-    with_vectors = dealt.join(hashed.select("rep", "weight", "keys", "vector"), "rep")
+    with_vectors = tiled(keyed, ids, "mark", tile).join(hashed.select("rep", "mark", "weight", "keys", "vector"), ["rep", "mark"])
     groups = with_vectors.groupBy(*ids, "left_chunk", "right_chunk")
-    return groups.applyInPandas(_tile_links(threshold), "rep long, found long, root long")
+    return groups.applyInPandas(_tile_links(threshold), "rep long, mark long, found long, root_rep long, root_mark long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -123,12 +123,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<float>").alias("embedding"))
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
     hashes = [F.xxhash64("embedding").alias("e1"), F.xxhash64(F.lit(9), "embedding").alias("e2")]
+    mark = F.xxhash64("label", "e1", "e2").alias("mark")
     usable = usable.select("*", *hashes)
-    classes = stored(usable.groupBy("label", "e1", "e2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "vector-classes")
-    tiles = stored(link_tiles(classes.select("label", "rep", "weight", "embedding"), threshold, recall), "vector-links")
-    counts = tiles.groupBy(F.col("rep").alias("_rep")).agg(F.sum("found").alias("found"))
-    moved = connected_components(tiles, "rep", "root").where("node <> component")
-    final = classes.select("label", "e1", "e2", "rep", "weight").join(counts, F.col("rep") == F.col("_rep"), "left").join(moved, F.col("rep") == F.col("node"), "left")
+    classes = stored(usable.groupBy("label", "e1", "e2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")).select("*", mark), "vector-classes")
+    tiles = stored(link_tiles(classes.select("label", "rep", "mark", "weight", "embedding"), threshold, recall), "vector-links")
+    counts = tiles.groupBy("rep", "mark").agg(F.sum("found").alias("found"))
+    ends = [F.struct(F.col(f"{x}rep").alias("rep"), F.col(f"{x}mark").alias("mark")).alias(name) for x, name in (("", "src"), ("root_", "dst"))]
+    moved = connected_components(tiles.select(*ends)).where("node <> component").select("node.rep", "node.mark", F.col("component.rep").alias("component"))
+    final = classes.select("label", "e1", "e2", "rep", "mark", "weight").join(counts, ["rep", "mark"], "left").join(moved, ["rep", "mark"], "left")
     final = final.select("label", "e1", "e2", (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     good = usable.select("vec_id", "label", "e1", "e2").join(final, ["label", "e1", "e2"]).select("vec_id", "n_links", "component_id")
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("embedding")) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))

@@ -7,11 +7,12 @@ k of the shard. The lists are merged in levels, FAN shards at a time, so no grou
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm.common import stored
@@ -23,9 +24,11 @@ SHARD_ROWS, QUERY_ROWS, FAN = 32_768, 512, 16
 EXACT = float(2**53)
 
 
-def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component, as long."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
+def quantised(vectors: pd.Series, scale: int = SCALE) -> np.ndarray:
+    """floor(scale * x) of every component, as long; cut to a size at which no inner product leaves the longs."""
+    rows = np.stack(vectors.to_numpy()).astype(np.float64)
+    most = float(math.isqrt((2**62) // rows.shape[1]))
+    return np.clip(np.floor(rows * float(scale)), -most, most).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +50,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, mine: np.ndarray, k: int) -> tupl
     return np.concatenate(rows), np.concatenate(found_ids), np.concatenate(found)
 
 
-def _search(k: int):
+def _search(k: int, scale: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, parts, matrix, ids = None, [], None, None
         for batch in batches:
@@ -56,7 +59,7 @@ def _search(k: int):
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 dim, number, is_query = marks[a]
                 rows = batch.iloc[a:b]
-                numbers = np.stack(rows["q"].to_numpy()).astype(np.int64)
+                numbers = quantised(rows["q"], scale)
                 if (dim, number) != shard:
                     shard, parts, matrix = (dim, number), [], None
                 if not is_query:
@@ -87,19 +90,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     Both tables have (vec_id, embedding). Defined cases: rows with a null vec_id, and vectors that are null, empty or
     hold null or non-finite components, take no part on either side; a vector of another length is no candidate of a
     query. A row is no candidate of a query of its own vec_id. Rows that repeat a vec_id are candidates each; a
-    repeated query is answered once. Fewer than k candidates give fewer rows. Ties go to the smaller vec_id. Extra
+    repeated query is answered once, for its smallest vector. Components beyond sqrt(2^62 / length) after scaling are
+    cut to that. Fewer than k candidates give fewer rows. Ties go to the smaller vec_id. Extra
     columns are not read.
     """
     ok = F.col("vec_id").isNotNull() & finite(F.col("embedding"))
-    pick = [F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), quantised(F.col("embedding"), scale).alias("q")]
+    pick = [F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.col("embedding").alias("q")]
     candidates = stored(vectors.where(ok).select(*pick), "candidates")
     n = candidates.count()
     shards = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-n // shard_rows))
     left = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int")).withColumn("is_query", F.lit(0))
-    asked = queries.where(ok).select(*pick).dropDuplicates(["vec_id"])
+    asked = queries.where(ok).select(*pick).groupBy("vec_id").agg(F.min(F.struct("dim", "q")).alias("x")).select("vec_id", "x.dim", "x.q")
     right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(1))
-    dealt = left.unionByName(right).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "is_query")
-    found = dealt.select("vec_id", "dim", "q", "shard", "is_query").mapInPandas(_search(k), "query_id long, shard int, vec_id long, score long")
+    placed = left.unionByName(right).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "is_query")
+    found = placed.select("vec_id", "dim", "q", "shard", "is_query").mapInPandas(_search(k, scale), "query_id long, shard int, vec_id long, score long")
     while True:
         found = found.withColumn("shard", F.floor(F.col("shard") / FAN).cast("int"))
         best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
