@@ -1,7 +1,8 @@
 """A corpus pipeline over the documents table: language ID, line dedup, near-dedup, mixing and tokenizing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's rows to the shared
-folder and reads them back as the next one's documents.
+folder and reads them back as the next one's documents. Extra columns are carried along up to the last stage,
+whatever their names, repeated rows are rows of their own, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,34 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brightloom.llm import bpe, langid, lines, mixing, simhash
-from brightloom.llm.common import stored
+from brightloom.llm.common import only, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others (null text, no letters) go."""
+    """Documents whose language can be told, with that language as ``lang``; the others (null text, no letters) go."""
     return langid.recognised(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them repeat; n_chars follows the text."""
+    """Documents without the lines that many of them repeat; n_chars follows the text. A document that loses all its
+    lines stays, with an empty text."""
     out = lines.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return only(out, docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
+    """One document, that with the smallest doc_id, of each group of near copies; rows without doc_id stay."""
     return simhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources, in a global random order."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Documents repeated to the target weights of their sources, in a global random order; a null source is one of its own."""
+    return only(mixing.mixed(docs), docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digests of ids and of the decoded bytes."""
+    """Token ids of every document with its language and source, and the digests of ids and of the decoded bytes; a null
+    text has no tokens."""
     return bpe.encoded(docs)
 
 
