@@ -195,15 +195,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     keeps all its lines. Extra columns are carried along, whatever their names; columns named text_n_lines or
     text_n_dropped are replaced. An empty table gives an empty table.
     """
-    own, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    drops = dropped_lines(docs.select(own, text), min_chars, min_docs, batches)
-    lines, loses = text_lines(F.col("text")), F.col("drops").isNotNull()
-    lowered = F.split(F.coalesce(ascii_lower(F.col("text")), F.lit("")), "\n", -1)
+    own = F.col("doc_id").cast("long").alias("doc_id")
+    drops = dropped_lines(docs.select(own, F.col("text").cast("string").alias("text")), min_chars, min_docs, batches)
+    text = F.col("row").getField("text").cast("string")  # not a column beside the row: the join would shuffle it twice
+    lines, loses = text_lines(text), F.col("drops").isNotNull()
+    lowered = F.split(F.coalesce(ascii_lower(text), F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("drops"), line_hash(F.get(F.col("lowered"), i))) | (F.length(ascii_strip(line)) < min_chars))
-    found = packed(docs, own, text).join(drops, "doc_id", "left").withColumn("lowered", F.when(loses, lowered)).withColumn("kept", F.when(loses, kept))
+    # the same join at every size: a broadcast of few drops would spare the shuffle in small tables only
+    found = packed(docs, own).join(drops.hint("merge"), "doc_id", "left").withColumn("lowered", F.when(loses, lowered)).withColumn("kept", F.when(loses, kept))
     n_lines = F.size(lines).cast("long")
     return unpacked(
-        found, docs, text=F.when(loses, F.array_join("kept", "\n")).otherwise(F.col("text")),
+        found, docs, text=F.when(loses, F.array_join("kept", "\n")).otherwise(text),
         text_n_lines=n_lines, text_n_dropped=F.when(loses, n_lines - F.size("kept")).otherwise(F.lit(0)).cast("long"),
     )
 
