@@ -193,7 +193,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in texts:
             yield pd.DataFrame([shared.value.predict(x) for x in batch], columns=["lang_pred", "score"])
 
-    found = packed(docs, of(F.col("text").cast("string")).alias("found"))
+    # not deterministic for the optimizer, which else predicts twice where a filter reads the prediction
+    found = packed(docs, of.asNondeterministic()(F.col("text").cast("string")).alias("found"))
     return unpacked(found, docs, lang_pred=F.col("found.lang_pred"), lang_score=F.col("found.score"))
 
 
