@@ -207,7 +207,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     edges = stored(links(classes), "fingerprint-links")
     moved = connected_components(edges).where("node <> component").select(F.col("node.fp").alias("moved_fp"), F.col("component"))
     first = F.coalesce("component", F.struct("rep", "fp"))
-    final = classes.join(moved, F.col("fp") == F.col("moved_fp"), "left").select(F.col("fp").alias("class_fp"), first.alias("first"))
+    # stored, so that the join below reads two shuffles and a fingerprint of very many documents is split
+    final = stored(classes.join(moved, F.col("fp") == F.col("moved_fp"), "left").select(F.col("fp").alias("class_fp"), first.alias("first")), "fingerprint-groups")
     named = lambda name: F.when(F.col("doc_id").isNotNull(), F.col("first").getField(name))
     return prints.join(final, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", named("rep").alias("component_id"), named("fp").alias("component_fp"))
 
