@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = r"(?U)\s+"
 #: Ends of sentences, for the rhythm statistics and for the first sentence.
@@ -12,10 +16,22 @@ FIRST_END = "[。！？；!?]"
 FOOTNOTE_LINE = r"(?m)^\[\^[^\]]+\]:.*$"
 FOOTNOTE_MARK = r"\[\^([^\]]+)\]"
 FOOTNOTE_DEF = r"(?m)^\[\^(\d+)\]:[ \t]*\[条目[ \t]*(\d+)\][ \t]*(.*)$"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 CJK = r"[一-鿿]"
 KANA = r"[぀-ヿ]"
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """The compatibility form; Spark has no such function."""
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
+def variant_kind(value: Column) -> Column:
+    """Type of a JSON value: string, boolean, void (JSON null), a number's type, or null if there is none."""
+    return F.lower(F.regexp_extract(F.schema_of_variant(value), "^[A-Za-z]+", 0))
+
+
 def or_default(value: Column, default) -> Column:
     """``value or default``: zero and the empty string count as missing too."""
     lit = F.lit(default)
@@ -51,6 +67,11 @@ def clean_text(text: Column) -> Column:
     return squeeze(strip_footnotes(text))
 
 
+def nfkc_norm(text: Column) -> Column:
+    """``norm`` of the compatibility form (NFKC): full-width and half-width spellings become equal."""
+    return norm(nfkc(text))
+
+
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
@@ -140,10 +161,11 @@ def footnote_defs(text: Column) -> Column:
     return F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda later: later["k"] == r["k"]))
 
 
-def break_delimiters(text: Column, tags: tuple[str, ...] = ("document", "untrusted")) -> Column:
-    """Puts a zero-width space into the closing and opening tags that frame untrusted text."""
+def break_delimiters(text: Column, tags: tuple[str, ...] = ("document",)) -> Column:
+    """Puts a zero-width space into the tags that frame untrusted text: before the end of a closing one, behind the
+    name of an opening one. Only the exact spelling of the frame is touched."""
     for tag in tags:
-        text = F.regexp_replace(text, f"(?i)<(/?{tag})", "<​$1")
+        text = F.replace(F.replace(text, F.lit(f"</{tag}>"), F.lit(f"</{tag}​>")), F.lit(f"<{tag}"), F.lit(f"<{tag}​"))
     return text
 
 
@@ -162,10 +184,16 @@ def html_text(html: Column, max_chars: int = 100_000) -> Column:
     return F.substring(fold(F.regexp_replace(html, r"<[^>]+>", " ")), 1, max_chars)
 
 
-def article_title(text: Column) -> Column:
-    """The first markdown heading or else the first line that is not blank."""
-    heading = F.regexp_extract(text, r"(?m)^#{1,3}[ \t]+(.+?)[ \t]*$", 1)
-    return F.when(heading != "", heading).otherwise(strip(F.regexp_extract(text, r"(?m)^[ \t]*(\S.*)$", 1)))
+def article_title(text: Column, longest: int = 40) -> Column:
+    """The first line that is not blank but for heading marks, without footnote marks.
+
+    A longer one is a sentence: it is cut before the first pause within ``longest`` characters, or at that length.
+    """
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END, -1), lambda x: strip(F.regexp_replace(strip(x), "^#+", "")))
+    first = strip(F.regexp_replace(F.get(F.filter(lines, lambda x: x != ""), 0), FOOTNOTE_MARK, ""))
+    head = F.substring(first, 1, longest)
+    cut = F.regexp_extract(head, "^([^。：；！？，]*)[。：；！？，]", 1)
+    return F.coalesce(F.when(F.length(first) <= longest, first).when(head.rlike("[。：；！？，]"), cut).otherwise(head), F.lit("（无题）"))
 
 
 def escape_tags(body: Column) -> Column:

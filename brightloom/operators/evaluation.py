@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brightloom.functions import vectors as V
+
 #: Bands of scores for each power of e, and ids of a block: how finely the rows of a group are dealt.
 BANDS, ID_BLOCK = 1024, 65_536
 
@@ -38,18 +40,18 @@ def preceding(counts: DataFrame, by: str, score: str, n: str, order: list[Column
     return joined.withColumn("before", F.col("_start") + F.col("_in")).drop("_by", "_b", "_band", "_start", "_in")
 
 
-def ranked(rows: DataFrame, by: str, score: str, item_id: str) -> DataFrame:
-    """Adds ``rank`` from 1 by falling score, ties by id, to every row; (by, score, item_id, rank).
+def ranked(rows: DataFrame, by: str, score: str, item_id: str, *keep: str) -> DataFrame:
+    """Adds ``rank`` from 1 by falling score, ties by id, to every row; (by, score, item_id, *keep, rank).
 
     From counts per score and block of ids, so neither a large group nor many equal scores are one task.
     """
-    rows = rows.select(by, score, item_id).withColumn("_block", F.floor(F.col(item_id) / ID_BLOCK))
+    rows = rows.select(by, score, item_id, *keep).withColumn("_block", F.floor(F.col(item_id) / ID_BLOCK))
     keys = [by, score, "_block"]
     counts = preceding(rows.groupBy(*keys).agg(F.count("*").alias("_n")), by, score, "_n", [F.desc(score), F.col("_block")], down=True)
     counts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "before")
     inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(item_id)))
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    return inside.join(counts, same[0] & same[1] & same[2]).select(by, score, item_id, (F.col("before") + F.col("_at")).alias("rank"))
+    return inside.join(counts, same[0] & same[1] & same[2]).select(by, score, item_id, *keep, (F.col("before") + F.col("_at")).alias("rank"))
 
 
 def auc(rows: DataFrame, score: str = "score", positive: str = "positive", by: str = "query_id") -> DataFrame:
@@ -63,9 +65,14 @@ def auc(rows: DataFrame, score: str = "score", positive: str = "positive", by: s
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: str, item_id: str, minimum: int = 3) -> DataFrame:
-    """(by, n, rho): correlation of ordinal ranks, ties by id; null under ``minimum`` rows."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(c, item_id)).cast("double")
-    return rows.select(by, rank(x).alias("rx"), rank(y).alias("ry")).groupBy(by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).select(by, "n", F.when(F.col("n") >= minimum, F.col("rho")).alias("rho"))
+    """(by, n, rho): correlation of ordinal ranks, ties by id; null under ``minimum`` rows.
+
+    Ranks come from counts (``ranked``), so a large group is many tasks.
+    """
+    up = rows.select(by, item_id, (-F.col(x).cast("double")).alias("_x"), (-F.col(y).cast("double")).alias("_y"))
+    first = ranked(up, by, "_x", item_id, "_y").withColumnRenamed("rank", "rx")
+    both = ranked(first, by, "_y", item_id, "rx").select(by, F.col("rx").cast("double").alias("rx"), F.col("rank").cast("double").alias("ry"))
+    return both.groupBy(by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).select(by, "n", F.when(F.col("n") >= minimum, F.col("rho")).alias("rho"))
 
 
 def agreement(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
@@ -104,11 +111,30 @@ def labelled_cascade(rows: DataFrame, classes: list[tuple[str, Column, int]], se
     kind = F.lit(None).cast("string")
     for name, condition, _ in reversed(classes):
         kind = F.when(condition, name).otherwise(kind)
-    w = Window.partitionBy("class").orderBy(F.xxhash64(F.col(item_id), F.lit(seed)), item_id)
+    w = Window.partitionBy("class").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(item_id).cast("string"))), item_id)
     want = F.create_map(*[x for name, _, n in classes for x in (F.lit(name), F.lit(n))])
     return rows.withColumn("class", kind).where("class IS NOT NULL").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= want[F.col("class")]).drop("_n")
 
 
+def pair_similarities(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(kind, a, b, sim) of the gold pairs (kind, a, b) both of whose items have a vector: products of unit vectors."""
+    side = lambda name: vectors.select(F.col("item_id").alias(name), F.col("vec").alias(f"_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("kind", "a", "b", V.dot(F.col("_a"), F.col("_b")).alias("sim"))
+
+
+def roll_up(rows: DataFrame, by: list[str], means: list[str], latency: str) -> DataFrame:
+    """Means over the values that are there, to three places, and the median latency, of each group; null without any."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 3).alias(c) for c in means], F.expr(f"percentile({latency}, 0.5)").alias(f"median_{latency}"))
+
+
+def module_status(reports: DataFrame) -> DataFrame:
+    """(module, total, killed, survived, other, score) of mutation runs (module, status); no score without decided ones."""
+    done = F.count_if(F.col("status") == "killed"), F.count_if(F.col("status") == "survived")
+    return reports.groupBy("module").agg(
+        F.count("*").alias("total"), done[0].alias("killed"), done[1].alias("survived"), (F.count("*") - done[0] - done[1]).alias("other"), F.try_divide(done[0].cast("double"), (done[0] + done[1]).cast("double")).alias("score")
+    )
+
+
 def gold_labels(scores: DataFrame) -> DataFrame:
     """(item_id, scores): a map from brief to the last score of the item for it."""
     last = scores.groupBy("item_id", "brief").agg(F.max_by("score", "score_id").alias("score"))

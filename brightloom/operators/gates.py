@@ -11,6 +11,10 @@ from pyspark.sql.types import IntegerType, StringType
 
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
+from brightloom.functions import urls as U
+
+# fixed value: what stands for a memory module without entries
+NO_MEMORY = "（暂无记录）"
 
 
 def length_issue(text: Column, low: int = 0, high: int = 10**9) -> Column:
@@ -76,6 +80,20 @@ def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_longest_common(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+def echo_hits(drafts: DataFrame, anchors: DataFrame, n: int = DEFAULTS.echo_min_chars) -> DataFrame:
+    """(draft_id, anchor_id, echo_max_chars) of the drafts (draft_id, author_id, text) that repeat a run of at least n
+    characters of an anchor (author_id, anchor_id, text) of their author.
+
+    Shared n-grams, cut from bounded parts and joined, find the pairs on the JVM; only those are measured in Python.
+    """
+    parts = lambda t, text: F.explode(T.pieces(text, n)).alias("part")
+    left = drafts.select("draft_id", "author_id", T.clean_text(F.col("text")).alias("t"))
+    right = anchors.select("anchor_id", "author_id", echo_source(F.col("text")).alias("a"))
+    grams = lambda t, key, text: t.select(*key, parts(t, F.col(text))).select(*key, F.explode(F.array_distinct(T.ngrams(F.col("part"), n))).alias("g")).distinct()
+    pairs = grams(left, ["draft_id", "author_id"], "t").join(grams(right, ["anchor_id", "author_id"], "a"), ["author_id", "g"]).select("draft_id", "anchor_id").distinct()
+    return pairs.join(left.select("draft_id", "t"), "draft_id").join(right.select("anchor_id", "a"), "anchor_id").select("draft_id", "anchor_id", longest_common("t", "a").alias("echo_max_chars"))
+
+
 def shared_ngrams(drafts: DataFrame, blocks: DataFrame, n: int = DEFAULTS.copyright_ngram) -> DataFrame:
     """(draft_id, hits, level): distinct n-grams of a draft found in any block; 2 are an issue, 1 is a warning.
 
@@ -100,6 +118,42 @@ def topic_repeats(titles: DataFrame, recent: DataFrame, threshold: float = DEFAU
     return scored.where(F.col("same") | (F.col("dice") >= threshold)).groupBy("draft_id").agg(F.min_by(F.struct(F.col("place").alias("recent_place"), "same", "dice"), "place").alias("m")).select("draft_id", "m.*")
 
 
+def gate_verdicts(drafts: DataFrame, gates: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(draft_id, passed, issues, warns): one verdict of each draft over all gates, in the gates' order.
+
+    A gate is a table (draft_id, level, message) with level ``issue`` or ``warn``; drafts without a row passed it.
+    """
+    found = None
+    for place, (name, rows) in enumerate(gates):
+        part = rows.where(F.col("level").isin("issue", "warn")).select("draft_id", F.lit(place).alias("at"), "level", F.concat(F.lit(f"{name}:"), F.col("message")).alias("message"))
+        found = part if found is None else found.unionByName(part)
+    none = F.array().cast("array<string>")
+    listed = lambda level: F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct("at", "message")))), lambda x: x["message"])
+    joined = drafts.select("draft_id")
+    if found is not None:
+        joined = joined.join(found.groupBy("draft_id").agg(listed("issue").alias("issues"), listed("warn").alias("warns")), "draft_id", "left")
+    else:
+        joined = joined.withColumn("issues", none).withColumn("warns", none)
+    rows = joined.withColumn("issues", F.coalesce("issues", none)).withColumn("warns", F.coalesce("warns", none))
+    return rows.select("draft_id", (F.size("issues") == 0).alias("passed"), "issues", "warns")
+
+
+def decision_check(answer: Column) -> Column:
+    """The decision of a writer's JSON, write or skip; null if it is neither."""
+    said = F.lower(T.strip(F.try_variant_get(F.try_parse_json(T.json_block(answer)), "$.decision", "string")))
+    return F.when(said.isin("write", "skip"), said)
+
+
+def score_message(direction: Column, item_id: Column, title: Column, body: Column, url: Column, published: Column, chars: int = DEFAULTS.score_body_chars) -> Column:
+    """The message by which an item is scored: its direction, domain and day, and the item framed as a document."""
+    safe = lambda c: T.break_delimiters(F.coalesce(c, F.lit("")))
+    some = lambda c, none: F.coalesce(F.nullif(c, F.lit("")), F.lit(none))
+    return F.concat(
+        F.lit("【方向】"), direction, F.lit("\n【来源域名】"), some(U.netloc(url), "未知"), F.lit("\n【发布日期】"), F.coalesce(F.date_format(published, "yyyy-MM-dd"), F.lit("未知")),
+        F.lit('\n<document id="'), item_id.cast("string"), F.lit('">\n【标题】'), safe(title), F.lit("\n【正文】\n"), some(safe(F.substring(T.strip(body), 1, chars)), "（无正文）"), F.lit("\n</document>"),
+    )
+
+
 def citation_issues(drafts: DataFrame, reading: DataFrame, minimum: int = 1) -> DataFrame:
     """(draft_id, issues): marks without definition, definitions without mark, unknown items, empty or wrong quotes.
 
@@ -167,11 +221,17 @@ def prune_ratio(before: Column, after: Column) -> Column:
 
 
 def fill_placeholders(template: Column, values: dict[str, Column]) -> Column:
+    """The template with each ``{name}`` that is given replaced; other braces stay."""
     for name, value in values.items():
-        template = F.replace(template, F.lit("{{" + name + "}}"), F.coalesce(value, F.lit("")))
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
     return template
 
 
+def memory_texts(modules: DataFrame, memory: DataFrame, n: int) -> DataFrame:
+    """(author_id, module, text) of every configured module: its rendered memory, or the text for an empty one."""
+    return modules.select("author_id", "module").join(render_memory(memory, n), ["author_id", "module"], "left").fillna(NO_MEMORY, ["text"])
+
+
 def render_memory(memory: DataFrame, n: int) -> DataFrame:
     """(author_id, module, text): dated bullets of the n newest entries, newest first."""
     w = Window.partitionBy("author_id", "module").orderBy(F.desc("created_at"), F.desc("entry_id"))
@@ -181,6 +241,16 @@ def render_memory(memory: DataFrame, n: int) -> DataFrame:
 
 
 def render_reading_set(rows: DataFrame, chars: int = DEFAULTS.reading_body_chars) -> DataFrame:
-    """(author_id, text): numbered entries in order, bodies cut."""
-    entry = F.concat(F.lit("[条目 "), F.col("item_id").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring(F.coalesce("content_text", F.lit("")), 1, chars))
+    """(author_id, text): entries (place, item_id, title, url, published_at, relevance, content_text) in order.
+
+    Each is framed as a document of its id; titles and bodies, cut at ``chars``, can't close or open a frame.
+    """
+    safe = lambda c: T.break_delimiters(F.coalesce(c, F.lit("")))
+    some = lambda c, none: F.coalesce(F.nullif(c, F.lit("")), F.lit(none))
+    number = F.col("item_id").cast("string")
+    entry = F.concat(
+        F.lit('<document id="'), number, F.lit('">\n【条目 '), number, F.lit("】"), safe(F.col("title")), F.lit("\n来源: "), some(F.col("url"), "未知"), F.lit(" | 发布: "),
+        F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("未知")), F.lit(" | 相关分: "), F.col("relevance").cast("string"),
+        F.lit("\n正文: "), some(safe(F.substring(T.strip(F.col("content_text")), 1, chars)), "（无正文）"), F.lit("\n</document>"),
+    )
     return rows.groupBy("author_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", entry.alias("e")))), lambda x: x["e"]), "\n\n").alias("text"))

@@ -29,10 +29,13 @@ def snapshot(boards: DataFrame, contribute: int = DEFAULTS.hot_keywords_per_plat
 
 
 def heat(extra: Column) -> Column:
-    """The number in ``info``, else in ``hover``, of a topic's JSON; booleans and texts without number are none."""
+    """The number in ``info``, else in ``hover``, of a topic's JSON: one of JSON or a whole text that is a number.
+
+    Booleans, and texts with anything beside the number, have none.
+    """
     def number(name: str) -> Column:
-        raw = F.get_json_object(extra, f"$.{name}")
-        return F.when(~raw.isin("true", "false"), F.regexp_extract(raw, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"))
+        raw = T.strip(F.get_json_object(extra, f"$.{name}"))
+        return F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), raw.try_cast("double"))
 
     return F.coalesce(number("info"), number("hover"))
 
@@ -59,8 +62,17 @@ def keywords(topics: DataFrame, order: list[str], limit: int = 15, by: list[str]
 
 
 def keyword_input(topics: DataFrame, per_platform: int = DEFAULTS.hot_keywords_per_platform) -> DataFrame:
-    """(platform, text): a line for each of the first topics, with the heat where known."""
-    line = F.concat(F.col("title"), F.coalesce(F.concat(F.lit(" ("), heat(F.col("extra")).cast("string"), F.lit(")")), F.lit("")))
+    """(platform, text): a line for each of the first topics of a platform, with the text of its heat where there is one.
+
+    The heat is what ``info`` says or else ``hover``, in 40 characters; empty texts, zeros, false and null say nothing.
+    """
+    def said(name: str) -> Column:
+        value, kind = F.try_variant_get(F.try_parse_json("extra"), f"$.{name}", "string"), T.variant_kind(F.try_variant_get(F.try_parse_json("extra"), f"$.{name}", "variant"))
+        nothing = (kind == "void") | (value == "") | ((kind == "boolean") & (value == "false")) | (~kind.isin("string", "boolean") & (value.try_cast("double") == 0))
+        return F.when(~F.coalesce(nothing, F.lit(False)), F.when(kind == "boolean", "True").otherwise(value))
+
+    shown = F.coalesce(F.concat(F.lit(" ("), F.substring(F.coalesce(said("info"), said("hover")), 1, 40), F.lit(")")), F.lit(""))
+    line = F.concat(F.lit("["), F.col("platform"), F.lit("#"), F.col("rank").cast("string"), F.lit("] "), F.col("title"), shown)
     top = topics.where(F.col("rank") <= per_platform)
     return top.groupBy("platform").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 

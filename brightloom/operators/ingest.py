@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import difflib
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
 from brightloom.functions import urls as U
+from brightloom.storage import stored
 
 # fixed values: ordered patterns of instructions aimed at a model, with their rule ids
 INJECTION_RULES = (
@@ -37,10 +44,27 @@ def rule_reason(title: Column, body: Column, published: Column, now: Column, *,
     return reason
 
 
+#: Words of which a text must hold one for a rule to apply: a search for a few literals spares most pattern runs.
+HINTS = {
+    "ignore_previous_instructions_zh": ("忽略",), "ignore_previous_instructions_en": ("disregard", "ignore", "forget"), "reveal_credentials": ("key", "secret", "密钥", "凭据", "credential", "password", "token"),
+    "developer_mode_override": ("进入", "启用", "开启", "jailbreak", "越狱模式"), "system_prompt_extraction": ("系统提示词", "系统指令", "system"),
+}
+#: Letters that patterns without case take for i, s or k although their lower case is another one.
+ODD_CASE = "[\u0130\u0131\u017f\u212a]"
+
+
 def injection_reason(title: Column, body: Column) -> Column:
     """The first injection rule that the title or the body meets, or null."""
     joined = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(body, F.lit("")))
-    return F.coalesce(*[F.when(joined.rlike(f"(?U){pattern}"), F.lit(f"injection_pattern:{name}")) for name, pattern in INJECTION_RULES])
+
+    def first(x: Column) -> Column:
+        found = []
+        for name, pattern in INJECTION_RULES:
+            may = reduce(lambda a, b: a | b, [F.contains(x["low"], F.lit(word)) for word in HINTS[name]]) | x["odd"]
+            found.append(F.when(may & x["text"].rlike(f"(?U){pattern}"), F.lit(f"injection_pattern:{name}")))
+        return F.coalesce(*found)
+
+    return T.bound(F.struct(joined.alias("text"), F.lower(joined).alias("low"), joined.rlike(ODD_CASE).alias("odd")), first)
 
 
 def keyword_reason(title: Column, body: Column, words: list[str]) -> Column:
@@ -62,10 +86,12 @@ def exact_origins(items: DataFrame, key: list[str], item_id: str = "item_id") ->
     """Adds duplicate_of: the smallest id of the same key, for rows that are not it. Rows with a null key have none.
 
     An aggregate and a join rather than a window: a key that a third of all rows share is summed up before the shuffle.
+    The keys, often hashes of whole texts, are computed once and stored; only the ids of duplicates meet the rows again.
     """
-    first = items.where(F.col(key[-1]).isNotNull()).groupBy(*key).agg(F.min(item_id).alias("_origin"))
-    joined = items.join(first, key, "left")
-    return joined.withColumn("duplicate_of", F.when(F.col(item_id) > F.col("_origin"), F.col("_origin"))).drop("_origin")
+    keys = stored(items.where(F.col(key[-1]).isNotNull()).select(item_id, *key), "origin-keys")
+    first = keys.groupBy(*key).agg(F.min(item_id).alias("_origin"), F.count("*").alias("_n")).where("_n > 1")
+    later = keys.join(first, key).where(F.col(item_id) > F.col("_origin")).groupBy(item_id).agg(F.min("_origin").alias("duplicate_of"))
+    return items.join(later, item_id, "left")
 
 
 def new_entries(entries: DataFrame, known: DataFrame, position: str = "position") -> DataFrame:
@@ -76,27 +102,38 @@ def new_entries(entries: DataFrame, known: DataFrame, position: str = "position"
 
 
 def classified(entries: DataFrame, known: DataFrame, now: Column, *, first_ingest: bool = False, blacklist: list[str] | None = None, max_age_days: int | None = None) -> DataFrame:
-    """One class for each feed entry: inserted, dup_blocked, rule_rejected, failed or archived, and the reason.
+    """One class for each feed entry, inserted, dup_blocked, rule_rejected, failed or archived, with reason and status.
 
     ``entries`` has (source_id, direction, position, guid, url, title, content_text, published_at, fingerprint);
-    ``known`` has (source_id, direction, guid, fingerprint). On a first import rules run without the age limit, and
-    what is older than the first window is archived. A known fingerprint of the direction makes a row a duplicate.
+    ``known`` has (source_id, direction, guid, fingerprint). An entry whose guid the source has, or has had earlier in
+    the feed, is blocked and not written. One whose fingerprint the direction has, from ``known`` or from a row written
+    before it (by source, then position), is written with fetch_status DUP, whatever the rules say, and counts as
+    inserted. On a first import rules run without the age limit, and what is older than the first window is archived.
     """
-    w = Window.partitionBy("source_id", "guid").orderBy("position")
     guids = known.select("source_id", "guid", F.lit(True).alias("_old")).distinct()
     prints = known.where("fingerprint IS NOT NULL").select("direction", "fingerprint", F.lit(True).alias("_dup")).distinct()
-    rows = entries.withColumn("_n", F.row_number().over(w)).join(guids, ["source_id", "guid"], "left").join(prints, ["direction", "fingerprint"], "left")
+    first_guid = entries.groupBy("source_id", "guid").agg(F.min("position").alias("_first"))
+    rows = entries.join(first_guid, ["source_id", "guid"], "left").join(guids, ["source_id", "guid"], "left").join(prints, ["direction", "fingerprint"], "left")
+    blank = F.coalesce("guid", F.lit("")) == ""
+    rows = rows.withColumn("_blocked", ~blank & ((F.col("position") > F.col("_first")) | F.coalesce("_old", F.lit(False))))
+    place = F.struct("source_id", "position")
+    written = rows.where(~blank & ~F.col("_blocked") & F.col("fingerprint").isNotNull()).groupBy("direction", "fingerprint").agg(F.min(place).alias("_origin"))
+    rows = rows.join(written, ["direction", "fingerprint"], "left")
+    copied = F.coalesce(F.col("_dup") | (place > F.col("_origin")), F.lit(False))
     reason = rule_reason(F.col("title"), F.col("content_text"), F.col("published_at"), now, blacklist=blacklist, max_age_days=max_age_days, ignore_expiry=first_ingest)
     age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))
     archived = F.lit(first_ingest) & (age > DEFAULTS.first_ingest_days * 86400)
     kind = (
-        F.when(F.coalesce("guid", F.lit("")) == "", "failed")
-        .when((F.col("_n") > 1) | F.col("_old") | F.col("_dup"), "dup_blocked")
+        F.when(blank, "failed")
+        .when(F.col("_blocked"), "dup_blocked")
+        .when(F.col("_copied"), "inserted")
         .when(F.col("_reason").isNotNull(), "rule_rejected")
         .when(archived, "archived")
         .otherwise("inserted")
     )
-    return rows.withColumn("_reason", reason).withColumn("class", kind).withColumn("reason", F.when(F.col("class") == "rule_rejected", F.col("_reason"))).drop("_n", "_old", "_dup", "_reason")
+    status = F.when(F.col("class").isin("failed", "dup_blocked"), None).when(F.col("_copied"), "DUP").when(F.col("class") == "rule_rejected", "REJECTED_RULED").when(F.col("class") == "archived", "ARCHIVED").otherwise("FETCHED")
+    marked = rows.withColumn("_reason", reason).withColumn("_copied", copied).withColumn("class", kind).withColumn("reason", F.when(F.col("class") == "rule_rejected", F.col("_reason")))
+    return marked.withColumn("fetch_status", status).drop("_first", "_old", "_dup", "_blocked", "_origin", "_copied", "_reason")
 
 
 def ingest_ledger(entries: DataFrame, by: str = "source_id") -> DataFrame:
@@ -150,7 +187,8 @@ def enriched(entries: DataFrame, pages: DataFrame) -> DataFrame:
     full = pages.select(F.col("url").alias("_u"), F.col("full_text").alias("_full"))
     joined = entries.join(full, entries["url"] == full["_u"], "left")
     better = (F.length(T.strip(F.col("_full"))) > F.length(T.strip(F.coalesce("content_text", F.lit(""))))) & (F.col("url") != F.coalesce("page_url", F.lit("")))
-    return joined.withColumn("content_text", F.when(better, F.col("_full")).otherwise(F.col("content_text"))).withColumn("enriched", F.coalesce(better, F.lit(False))).drop("_u", "_full")
+    marked = joined.withColumn("enriched", F.coalesce(better, F.lit(False)))
+    return marked.withColumn("content_text", F.when(F.col("enriched"), F.col("_full")).otherwise(F.col("content_text"))).drop("_u", "_full")
 
 
 def entry_body(content: Column, summary: Column, description: Column) -> Column:
@@ -165,6 +203,59 @@ def duplicate_title_groups(items: DataFrame, item_id: str = "item_id") -> DataFr
     return keyed.groupBy("title_key").agg(F.count("*").alias("n"), F.min(item_id).alias("first_id")).where("n > 1")
 
 
+@F.pandas_udf(DoubleType())
+def resemblance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching characters over all characters, by longest matching blocks."""
+    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def with_resemblance(pairs: DataFrame, items: DataFrame, least: float, item_id: str = "item_id") -> DataFrame:
+    """The pairs (a, b, ...) whose normalized titles resemble each other by ``least`` at least, with the ``ratio``."""
+    side = lambda name: items.select(F.col(item_id).alias(name), T.title_key(F.col("title")).alias(f"_{name}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("ratio", resemblance("_a", "_b"))
+    return rows.where(F.col("ratio") >= least).drop("_a", "_b")
+
+
+def _fuzzy_tile(threshold: float, difference: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, left, right = key
+        rows = rows.sort_values("rep").drop_duplicates("rep")
+        names, reps, sizes = rows["key"].tolist(), rows["rep"].tolist(), rows["key"].str.len().to_numpy()
+        side = rows["chunk"].to_numpy()
+        letters = np.zeros((len(names), 64), dtype=np.int16)
+        for i, name in enumerate(names):
+            np.add.at(letters[i], [ord(c) % 64 for c in name], 1)
+        found = []
+        for i, name in enumerate(names):
+            # no more characters can match than two titles have in common, in any order
+            common = 2 * np.minimum(letters[i], letters[i + 1 :]).sum(axis=1) / (sizes[i] + sizes[i + 1 :])
+            near = (common >= threshold) & (np.abs(sizes[i] - sizes[i + 1 :]) <= difference)
+            if left != right:
+                near &= side[i + 1 :] != side[i]
+            for j in np.flatnonzero(near) + i + 1:
+                ratio = difflib.SequenceMatcher(None, name, names[j]).ratio()
+                if ratio >= threshold:
+                    found.append((reps[i], reps[j], ratio))
+        return pd.DataFrame(found, columns=["a", "b", "ratio"])
+
+    return run
+
+
+def fuzzy_title_pairs(items: DataFrame, threshold: float = 0.82, width: int = 12, difference: int = 10, low: int = 8, high: int = 120, tile: int = 512, item_id: str = "item_id") -> DataFrame:
+    """(a, b, ratio): different titles of a length bucket that resemble each other; a title stands for its smallest id.
+
+    Titles count without blanks and punctuation, those of ``low`` to ``high`` characters, and only pairs whose lengths
+    differ by ``difference`` at most. A bucket is cut into chunks; a task compares two chunks and gives matches only.
+    """
+    keys = items.select(item_id, T.title_key(F.col("title")).alias("key")).where(F.length("key").between(low, high))
+    rows = keys.groupBy("key").agg(F.min(item_id).alias("rep")).withColumn("bucket", F.floor(F.length("key") / width).cast("int"))
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
+    placed = rows.join(F.broadcast(sizes), "bucket")  # at most high / width buckets
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("bucket", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "rep", "key")
+    return placed.groupBy("bucket", "left", "right").applyInPandas(_fuzzy_tile(threshold, difference), "a long, b long, ratio double")
+
+
 def title_pairs(items: DataFrame, max_df: int = 6, min_shared: int = 2, item_id: str = "item_id") -> DataFrame:
     """(a, b, shared): titles that share at least ``min_shared`` rare words (in at most ``max_df`` titles).
 
@@ -178,10 +269,13 @@ def title_pairs(items: DataFrame, max_df: int = 6, min_shared: int = 2, item_id:
 
 
 def http_outcome(status: Column, error: Column) -> Column:
-    """Class of a response: not_modified, rate_limited, ok, redirect, fatal, retryable or semantic; error without one."""
+    """Class of a response: not_modified, rate_limited, ok, redirect, fatal, retryable or semantic; error without one.
+
+    Redirects are tried again like what is retryable (429, 500, 502, 503, 504); fatal ones are the vendor's account.
+    """
     return (
         F.when(status.isNull(), "error").when(status == 304, "not_modified").when(status == 429, "rate_limited").when(status.between(200, 299), "ok")
-        .when(status.between(300, 399), "redirect").when(status.isin(401, 402, 403), "fatal").when(status.isin(408, 425) | (status >= 500), "retryable").otherwise("semantic")
+        .when(status.between(300, 399), "redirect").when(status.isin(401, 402, 403), "fatal").when(status.isin(500, 502, 503, 504), "retryable").otherwise("semantic")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
 from brightloom.functions import urls as U
+from brightloom.operators.evaluation import ID_BLOCK, preceding
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -74,12 +75,17 @@ def rescore_candidates(items: DataFrame, scores: DataFrame, version: int, scope:
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds a batch number from 0 for every ``size`` rows in order, from counts per range: no single task sorts all rows."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.col("before") + F.col("_at") - F.col("first")
-    return ranged.join(F.broadcast(before.select("_p", "before", "first")), "_p").withColumn("batch", F.floor(place / size).cast("long")).drop("_p", "_at", "before", "first")
+    """Adds a batch number from 0 for every ``size`` rows in the order of a whole number; equal ones in any order.
+
+    From counts of rows per block of numbers: blocks are numbered within themselves, and what comes before a block is
+    a running sum over one row each, so no task sorts all rows and nothing depends on how they are spread.
+    """
+    block = F.floor(F.col(order) / F.lit(ID_BLOCK)).alias("_block")
+    sizes = rows.groupBy(block).agg(F.count("*").alias("_n"), F.lit(0).alias("_all"))
+    before = preceding(sizes, "_all", "_block", "_n", [F.col("_block")]).select(F.col("_block").alias("_b"), "before")
+    inside = rows.withColumn("_block", block).withColumn("_at", F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1)
+    joined = inside.join(before, F.col("_block").eqNullSafe(F.col("_b")))
+    return joined.withColumn("batch", F.floor((F.col("before") + F.col("_at")) / size).cast("long")).drop("_block", "_b", "_at", "before")
 
 
 def visible_articles(articles: DataFrame, authors: DataFrame) -> DataFrame:
@@ -87,6 +93,52 @@ def visible_articles(articles: DataFrame, authors: DataFrame) -> DataFrame:
     return articles.where("public").join(authors.where("visible").select("author_id", F.col("name").alias("author_name")), "author_id")
 
 
+def article_list(articles: DataFrame, authors: DataFrame, author_id: int | None = None, bookmarked: bool | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of articles, newest first, with the author's name, the number of citations and the total of the filter."""
+    rows = articles.join(authors.select("author_id", F.col("name").alias("author_name")), "author_id")
+    if author_id is not None:
+        rows = rows.where(F.col("author_id") == author_id)
+    if bookmarked is not None:
+        rows = rows.where(F.col("bookmarked") == bookmarked)
+    total = rows.agg(F.count("*").alias("total"))
+    cited = F.coalesce(F.nullif(F.size("citations"), F.lit(-1)), F.lit(0)).alias("citations")
+    shown = page(rows.select("article_id", "author_id", "author_name", "title", "bookmarked", cited), [F.desc("article_id")], limit, offset, clamp=200)
+    return shown.join(F.broadcast(total))
+
+
+def article_reaction_counts(articles: DataFrame, reactions: DataFrame, viewer: str) -> DataFrame:
+    """(article_id, likes, dislikes, viewer_reacted) of every article; a visitor has one row an article, and comments
+    are no reactions."""
+    mine = F.max(F.when((F.col("visitor") == viewer) & F.col("verdict").isin("like", "dislike"), F.col("verdict")))
+    counts = reactions.groupBy("article_id").agg(F.count_if(F.col("verdict") == "like").alias("likes"), F.count_if(F.col("verdict") == "dislike").alias("dislikes"), mine.alias("viewer_reacted"))
+    return articles.select("article_id").join(counts, "article_id", "left").fillna(0, ["likes", "dislikes"])
+
+
+def task_list(tasks: DataFrame, authors: DataFrame, kind: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest tasks of a kind with the name of the payload's author, and the article of a writing task.
+
+    The page is cut before the names are looked up; an author_id that is no whole number has no name.
+    """
+    rows = (tasks if kind is None else tasks.where(F.col("kind") == kind)).orderBy(F.desc("task_id")).limit(max(1, min(limit, 200)))
+    member = lambda name: F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "long")
+    rows = rows.withColumn("author_id", member("author_id")).withColumn("article_id", F.when(F.col("kind") == "write", member("article_id")))
+    return rows.join(authors.select("author_id", F.col("name").alias("author_name")), "author_id", "left")
+
+
+def memory_counts(memory: DataFrame) -> DataFrame:
+    """(author_id, module, n) of memory entries."""
+    return memory.groupBy("author_id", "module").agg(F.count("*").alias("n"))
+
+
+def explore_rows(items: DataFrame, scores: DataFrame, vectors: DataFrame, sources: DataFrame, model_version: str) -> DataFrame:
+    """What exploration picks from: fetched items that are no duplicates, with an OK score, a vector of the model and
+    the name of their source. The narrow sides are filtered before the joins."""
+    rows = items.where("fetch_status = 'FETCHED' AND duplicate_of IS NULL").drop("direction")
+    rows = rows.join(scores.where("status = 'OK'").select("item_id", "direction", "relevance", "quality", "passed"), "item_id")
+    rows = rows.join(vectors.where(F.col("model_version") == model_version).select("item_id", "vec"), "item_id")
+    return rows.join(sources.select("source_id", F.col("name").alias("source_name")), "source_id")
+
+
 def unscored_entries(items: DataFrame, scores: DataFrame, tasks: DataFrame, now: Column, limit: int = 10) -> DataFrame:
     """Newest items without an OK score in any direction, if a scoring task failed within 24 hours; else none."""
     failed = tasks.where((F.col("kind") == "score") & (F.col("status") == "FAILED") & (F.col("updated_at") >= now - F.expr("INTERVAL 24 HOURS"))).limit(1).select(F.lit(1).alias("_any"))
@@ -113,12 +165,31 @@ def public_list(items: DataFrame, scores: DataFrame, directions: DataFrame, limi
 
 
 def score_check(answer: Column) -> Column:
-    """struct(relevance, quality, band, reason, ok) of a model's JSON: whole numbers 0-100, a known band, a reason."""
-    j = F.from_json(T.json_block(answer), "relevance_score string, quality_score string, band string, reason string")
-    number = lambda c: F.when(c.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).try_cast("int"))
-    relevance, quality, reason = number(j["relevance_score"]), number(j["quality_score"]), T.strip(j["reason"])
-    ok = relevance.between(0, 100) & quality.between(0, 100) & j["band"].isin("high", "mid", "low") & (reason != "")
-    return F.struct(relevance.alias("relevance"), quality.alias("quality"), j["band"].alias("band"), F.substring(reason, 1, 300).alias("reason"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    """struct(relevance, quality, band, reason, ok) of a model's JSON: scores 0-100, a known band, a reason.
+
+    Scores are numbers, of which the fraction is cut off, or whole numbers as text; the band counts without case and
+    outer blanks; reasons are cut at 300 characters.
+    """
+    json = F.try_parse_json(T.json_block(answer))
+    member = lambda name: F.try_variant_get(json, f"$.{name}", "variant")
+    text = lambda name: F.when(T.variant_kind(member(name)) == "void", "None").otherwise(F.try_variant_get(json, f"$.{name}", "string"))
+
+    def number(name: str) -> Column:
+        kind, raw = T.variant_kind(member(name)), T.strip(F.try_variant_get(json, f"$.{name}", "string"))
+        whole = F.when(raw.rlike(r"^[+-]?\d+$"), raw.try_cast("long"))
+        return F.when(kind == "string", whole).when(kind == "boolean", (raw == "true").cast("long")).when(kind != "void", F.try_variant_get(json, f"$.{name}", "double").try_cast("long"))
+
+    relevance, quality, band, reason = number("relevance"), number("quality"), F.lower(T.strip(text("band"))), T.strip(text("reason"))
+    ok = relevance.between(0, 100) & quality.between(0, 100) & band.isin("high", "mid", "low") & (reason != "")
+    return F.struct(relevance.alias("relevance"), quality.alias("quality"), band.alias("band"), F.substring(reason, 1, 300).alias("reason"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def score_rows(attempts: DataFrame) -> DataFrame:
+    """Score rows of attempts (item_id, direction, threshold, answer): OK and whether the relevance reaches the
+    threshold, or FAILED without scores if the answer does not hold up. Every attempt gives a row."""
+    rows = attempts.withColumn("s", score_check(F.col("answer")))
+    own = lambda name: F.when(F.col("s.ok"), F.col(f"s.{name}")).alias(name)
+    return rows.select("item_id", "direction", F.when(F.col("s.ok"), "OK").otherwise("FAILED").alias("status"), own("relevance"), own("quality"), own("band"), own("reason"), F.when(F.col("s.ok"), F.col("s.relevance") >= F.col("threshold")).alias("passed"))
 
 
 def prefilter_route(verdict: Column, confidence: Column, upgrade: float = DEFAULTS.upgrade_confidence) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brightloom.config import DEFAULTS
 from brightloom.functions import dates as D
+from brightloom.operators.evaluation import preceding
 
 
 def usage_summary(usage: DataFrame) -> DataFrame:
@@ -108,10 +109,13 @@ def last_success(tasks: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def collective_sentinel(rounds: DataFrame, ratio: float = DEFAULTS.sentinel_ratio, streak: int = DEFAULTS.sentinel_rounds) -> DataFrame:
-    """Rounds (round_id, enabled, degraded) with ``alert``: over the ratio for so many rounds in a row."""
+    """Rounds (round_id, enabled, degraded) with ``alert``: over the ratio for so many rounds in a row.
+
+    A run of high rounds is known by how many low ones came before it: a running sum in bands of round numbers.
+    """
     high = F.coalesce(F.col("degraded") > F.col("enabled") * F.lit(ratio), F.lit(False))
-    runs = F.sum((~high).cast("int")).over(Window.orderBy("round_id"))
-    return rounds.withColumn("_run", runs).withColumn("streak", F.sum(high.cast("int")).over(Window.partitionBy("_run").orderBy("round_id"))).withColumn("alert", F.col("streak") >= streak).drop("_run")
+    low = preceding(rounds.withColumn("_low", (~high).cast("int")).withColumn("_all", F.lit(0)), "_all", "round_id", "_low", [F.asc("round_id")])
+    return low.withColumn("_run", F.col("before") + F.col("_low")).drop("_low", "_all", "before").withColumn("streak", F.sum(high.cast("int")).over(Window.partitionBy("_run").orderBy("round_id"))).withColumn("alert", F.col("streak") >= streak).drop("_run")
 
 
 def channel_funnel(items: DataFrame, scores: DataFrame, reading: DataFrame, cited: DataFrame, sources: DataFrame) -> DataFrame:
@@ -146,9 +150,75 @@ def null_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def nearest_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """(share, value): sorted[min(int(n * p), n - 1)] by counts of distinct values, so no list of all rows is built."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    """(share, value): sorted[min(int(n * p), n - 1)] of a numeric column, from counts of distinct values.
+
+    Running sums are taken within bands of values and over one row a band, so no task sorts all values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.lit(0).alias("_all"))
+    total = counts.agg(F.sum("n").alias("total"))
+    upto = preceding(counts, "_all", value, "n", [F.asc(value)]).join(F.broadcast(total))
     at = F.explode(F.array(*[F.lit(float(p)) for p in shares]))
     place = F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1)
-    return upto.withColumn("share", at).where((F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)).select("share", F.col(value).alias("value"))
+    return upto.withColumn("share", at).where((F.col("before") + F.col("n") > place) & (F.col("before") <= place)).select("share", F.col(value).alias("value"))
+
+
+def usage_rows(calls: DataFrame, longest: int = 2000) -> DataFrame:
+    """Rows of the usage ledger from reported calls: missing counts are 0, a missing outcome is ok, errors are cut and
+    rid of what looks like a key."""
+    counts = ("prompt_tokens", "completion_tokens", "billing_units", "cache_hit_tokens", "reasoning_tokens", "latency_ms")
+    error = F.nullif(F.col("error"), F.lit(""))
+    return calls.select(
+        *[c for c in calls.columns if c not in (*counts, "ok", "error")], *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts], F.coalesce("ok", F.lit(True)).alias("ok"),
+        F.substring(F.replace(error, F.lit("sk-"), F.lit("sk-***")), 1, longest).alias("error"),
+    )
+
+
+def overview(tasks: DataFrame, scores: DataFrame, runs: DataFrame, since: Column) -> DataFrame:
+    """One row: failed fetches, failed scores, failed and skipped writing runs, and success rates of fetching and writing
+    in the window, to four places; no rate without tasks."""
+    rate = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 4)
+    t = tasks.where((F.col("kind") == "fetch") & (F.col("updated_at") >= since)).agg(F.count_if(F.col("status") == "FAILED").alias("fetch_failed"), F.count_if(F.col("status") == "DONE").alias("_done"), F.count("*").alias("_tasks"))
+    s = scores.where(F.col("created_at") >= since).agg(F.count_if(F.col("status") == "FAILED").alias("score_failed"))
+    r = runs.where(F.col("created_at") >= since).agg(F.count_if(F.col("status") == "FAILED").alias("write_failed"), F.count_if(F.col("decision") == "SKIP").alias("write_skipped"), F.count_if(F.col("status") == "OK").alias("_ok"), F.count("*").alias("_runs"))
+    one = t.join(F.broadcast(s)).join(F.broadcast(r))  # one row each
+    return one.select("fetch_failed", "score_failed", "write_failed", "write_skipped", rate("_done", "_tasks").alias("fetch_rate"), rate("_ok", "_runs").alias("write_rate"))
+
+
+def pipeline_stats(tasks: DataFrame, sources: DataFrame, items: DataFrame, scores: DataFrame, now: Column, stale_days: int = DEFAULTS.sentinel_stale_days) -> DataFrame:
+    """One row: waiting tasks, tasks reclaimed as stale, new items, scores and passed ones of 24 hours, and the degraded
+    of the enabled sources: suspect, dead but not for long, or limited now."""
+    day = now - F.expr("INTERVAL 24 HOURS")
+    t = tasks.agg(F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if((F.col("status") == "FAILED") & F.col("last_error").startswith("stale_reclaim:") & (F.col("updated_at") >= day)).alias("stale_24h"))
+    i = items.where(F.col("fetched_at") >= day).agg(F.count("*").alias("items_24h"))
+    s = scores.where((F.col("created_at") >= day) & (F.col("status") == "OK")).agg(F.count("*").alias("scored_24h"), F.count_if("passed").alias("passed_24h"))
+    long_dead = F.coalesce(now - F.expr(f"INTERVAL {stale_days} DAYS") > F.col("failure_since"), F.lit(False))
+    bad = (F.col("failure_level") == "suspect") | ((F.col("failure_level") == "hard_failed") & ~long_dead) | (F.col("rate_limited_until") > now)
+    src = sources.where("enabled").agg(F.count("*").alias("enabled_sources"), F.count_if(F.coalesce(bad, F.lit(False))).alias("degraded_sources"))
+    return t.join(F.broadcast(i)).join(F.broadcast(s)).join(F.broadcast(src))  # one row each
+
+
+def run_counts(runs: DataFrame) -> DataFrame:
+    """One row: finished, skipped and failed writing runs, and all of them."""
+    return runs.agg(F.count("*").alias("runs"), F.count_if((F.col("status") == "OK") & (F.col("decision") == "WRITE")).alias("written"), F.count_if(F.col("decision") == "SKIP").alias("skipped"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows) of every table."""
+    out = None
+    for name, rows in tables.items():
+        part = rows.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def brief_scores(items: DataFrame) -> DataFrame:
+    """Of the items (brief, score) of each brief: how many, how many scored, at least 60, at most 30, and the range and
+    mean to one place of the scores."""
+    s = F.col("score")
+    return items.groupBy("brief").agg(F.count("*").alias("items"), F.count(s).alias("scored"), F.count_if(s >= 60).alias("ge60"), F.count_if(s <= 30).alias("le30"), F.min(s).alias("score_min"), F.max(s).alias("score_max"), F.round(F.avg(s), 1).alias("score_mean"))
+
+
+def top_sources(sources: DataFrame, items: DataFrame, n: int = 20) -> DataFrame:
+    """The n sources with most items, ties by id; a source without items counts 0."""
+    counts = items.groupBy("source_id").agg(F.count("*").alias("items"))
+    return sources.join(counts, "source_id", "left").fillna(0, ["items"]).orderBy(F.desc("items"), "source_id").limit(n)

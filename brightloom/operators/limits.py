@@ -139,30 +139,47 @@ def valid_sessions(sessions: DataFrame, now: Column) -> DataFrame:
     return sessions.where(F.col("expires_at") > now)
 
 
-def notices(events: DataFrame, hours: int = DEFAULTS.notify_window_hours, cap: int = DEFAULTS.notify_queue_cap, gap_s: int = DEFAULTS.notify_gap_s) -> DataFrame:
-    """(account, event_id, outcome, sent_at) for notices (account, event_id, at, dedupe_key, rank).
+def notice_dedupe(notices: DataFrame, sent: DataFrame, queued: DataFrame, hours: int = DEFAULTS.notify_window_hours) -> DataFrame:
+    """Adds ``outcome`` to notices (category, dedupe_key, at): deduped if its key was delivered within the window or
+    waits in the queue, else queued. ``sent`` has (category, dedupe_key, sent_at), a row for each delivery."""
+    last = sent.groupBy("category", "dedupe_key").agg(F.max("sent_at").alias("_sent"))
+    waiting = queued.select("category", "dedupe_key", F.lit(True).alias("_waits")).distinct()
+    rows = notices.join(last, ["category", "dedupe_key"], "left").join(waiting, ["category", "dedupe_key"], "left")
+    again = F.coalesce((F.unix_timestamp("at") - F.unix_timestamp("_sent")) < hours * 3600, F.lit(False)) | F.coalesce("_waits", F.lit(False))
+    return rows.withColumn("outcome", F.when(again, "deduped").otherwise("queued")).drop("_sent", "_waits")
 
-    A key repeated within the window is dropped as duplicate; deliveries of an account are at least ``gap_s`` apart;
-    if more than ``cap`` wait, the waiting one of the largest rank number, and of those the oldest, is dropped.
+
+def queue_overflow(queue: DataFrame, cap: int = DEFAULTS.notify_queue_cap) -> DataFrame:
+    """Adds ``dropped`` to a queue (account, seq, family, priority): beyond the cap of an account digests go first, then
+    large priority numbers, then the newest."""
+    w = Window.partitionBy("account").orderBy((F.col("family") == "digest").cast("int"), "priority", "seq")
+    return queue.withColumn("dropped", F.row_number().over(w) > cap)
+
+
+def deliverable(queue: DataFrame, accounts: DataFrame, categories: DataFrame, now: Column, gap_s: int = DEFAULTS.notify_gap_s) -> DataFrame:
+    """(account, seq): the first notice of each account that both gaps let through now, in the order of the queue.
+
+    ``accounts`` has (account, last_sent), ``categories`` (category, last_sent, min_interval_s); what was never sent to
+    waits for nothing.
     """
+    age = lambda c: F.unix_timestamp(now) - F.unix_timestamp(c)
+    rows = queue.join(accounts.select("account", F.col("last_sent").alias("_a")), "account", "left").join(categories.select("category", F.col("last_sent").alias("_c"), "min_interval_s"), "category", "left")
+    free = F.coalesce(age("_a") >= gap_s, F.lit(True)) & ((F.coalesce("min_interval_s", F.lit(0)) <= 0) | F.coalesce(age("_c") >= F.col("min_interval_s"), F.lit(True)))
+    return rows.where(free).groupBy("account").agg(F.min("seq").alias("seq"))
 
-    def step(state, row):
-        seen, queue, free = state
-        now, out = row["at"], None
-        while queue and max(free, queue[0][0]) <= now:
-            free = max(free, queue.pop(0)[0]) + gap_s
-        last = seen.get(row["dedupe_key"])
-        if last is not None and now - last < hours * 3600:
-            out = "duplicate"
-        else:
-            seen[row["dedupe_key"]] = now
-            queue.append((now, row["rank"], row["event_id"]))
-            out = "queued"
-            if len(queue) > cap:
-                worst = max(range(len(queue)), key=lambda i: (queue[i][1], -i))
-                out = "dropped" if queue.pop(worst)[2] == row["event_id"] else "queued_other_dropped"
-        place = next((i for i, q in enumerate(queue) if q[2] == row["event_id"]), None)
-        sent = None if place is None else max(free, now) + gap_s * place
-        return (seen, queue, free), {"account": row["account"], "event_id": row["event_id"], "outcome": out, "sent_at": sent}
-
-    return ordered_fold(events, ["account"], ["at", "event_id"], lambda: ({}, [], 0.0), step, "account string, event_id long, outcome string, sent_at double")
+
+def request_interval(override: Column, default: Column, crawl_delay: Column) -> Column:
+    """Seconds between requests to a host: its own setting if it is a number, not below 0, else the default; the host's
+    crawl delay if that is longer."""
+    base = F.greatest(F.coalesce(override.try_cast("double"), default.cast("double")), F.lit(0.0))
+    return F.greatest(base, F.coalesce(crawl_delay.cast("double"), F.lit(0.0)))
+
+
+def busy_kinds(tasks: DataFrame) -> DataFrame:
+    """Kinds of rounds that may not start: one is waiting or running."""
+    return tasks.where(F.col("status").isin("RUNNING", "PENDING")).select("kind").distinct()
+
+
+def due_ticks(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs (job, every_s, last_run) whose interval has passed, or that never ran."""
+    return jobs.where(F.col("last_run").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_run") >= F.col("every_s")))

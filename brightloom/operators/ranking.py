@@ -88,16 +88,21 @@ def rank_requests(rows: DataFrame, limit: int = DEFAULTS.rank_max_candidates, ch
     return top.withColumn("chunk", F.ceil(F.col("_n") / chunk).cast("int")).withColumn("text", F.substring(F.concat_ws("\n", "title", "content_text"), 1, chars)).drop("_n")
 
 
+def seeded(item_id: str, seed: int) -> Column:
+    """A random order of ids that every engine can repeat: the MD5 of seed and id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(item_id).cast("string")))
+
+
 def stratified(rows: DataFrame, band: str, quotas: dict[str, int], seed: int, item_id: str = "item_id") -> DataFrame:
     """So many rows of each band, by a seeded hash of the id."""
-    w = Window.partitionBy(band).orderBy(F.xxhash64(F.col(item_id), F.lit(seed)), item_id)
+    w = Window.partitionBy(band).orderBy(seeded(item_id, seed), item_id)
     want = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= want[F.col(band)]).drop("_n")
 
 
 def quota_sample(rows: DataFrame, bucket: str, source: str, quotas: dict[str, int], seed: int, item_id: str = "item_id") -> DataFrame:
     """So many rows of each bucket: first one row of every source, then the others, by a seeded hash."""
-    h = F.xxhash64(F.col(item_id), F.lit(seed))
+    h = seeded(item_id, seed)
     rows = rows.withColumn("_s", F.row_number().over(Window.partitionBy(bucket, source).orderBy(h, item_id)))
     w = Window.partitionBy(bucket).orderBy((F.col("_s") > 1).cast("int"), h, item_id)
     want = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
 from brightloom.functions import vectors as V
+from brightloom.operators.evaluation import ranked
 
 #: Rows of a direction that one task compares with another such part.
 PART = 4096
@@ -39,9 +40,55 @@ def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 def hit_first(items: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = DEFAULTS.retrieval_top_k) -> DataFrame:
     """Adds (sim, position, is_hit): by direction the most similar first, then rows without a vector; no row is lost."""
-    rows = similarities(items.join(vectors.select("item_id", "vec"), "item_id", "left"), queries)
-    w = Window.partitionBy("direction").orderBy(F.desc_nulls_last("sim"), "item_id")
-    return rows.withColumn("position", F.row_number().over(w)).withColumn("is_hit", F.col("sim").isNotNull() & (F.col("position") <= top_k)).drop("vec")
+    rows = similarities(items.join(vectors.select("item_id", "vec"), "item_id", "left"), queries).drop("vec")
+    keep = [c for c in rows.columns if c not in ("direction", "sim", "item_id")]
+    # positions from counts per similarity: a direction of any size is many tasks
+    return ranked(rows, "direction", "sim", "item_id", *keep).withColumnRenamed("rank", "position").withColumn("is_hit", F.col("sim").isNotNull() & (F.col("position") <= top_k))
+
+
+def routed(items: DataFrame, vectors: DataFrame, queries: DataFrame, directions: DataFrame, threshold: float = DEFAULTS.semantic_dedup_threshold, top_k: int = DEFAULTS.retrieval_top_k) -> DataFrame:
+    """(item_id, direction, route, position, is_hit): candidates in the order of scoring; only semantic duplicates go.
+
+    ``directions`` has (direction, enabled, paused, prompt_version, query_vec_version). A direction that is paused (its
+    budget is used up), disabled or without a query vector of its prompt's version keeps its candidates in the order of
+    their ids, none of them a hit: a route is never a filter.
+    """
+    ready = (~F.col("paused")) & F.col("enabled") & (F.coalesce("query_vec_version", F.lit(0)) == F.col("prompt_version"))
+    state = directions.select("direction", F.when(F.col("paused"), "budget_paused").when(F.coalesce(ready, F.lit(False)), "routed").otherwise("disabled").alias("route"))
+    rows = items.select("item_id", "direction").join(state, "direction")
+    by_hand = rows.where("route <> 'routed'").withColumn("sim", F.lit(None).cast("double"))
+    go = rows.where("route = 'routed'")
+    mine = vectors.join(go.select("item_id"), "item_id", "left_semi")
+    go = go.join(semantic_duplicates(mine, vectors, threshold).select("item_id"), "item_id", "left_anti")
+    hits = hit_first(go, vectors, queries, top_k).select("item_id", "direction", "route", "position", "is_hit")
+    rest = ranked(by_hand, "direction", "sim", "item_id", "route").select("item_id", "direction", "route", F.col("rank").alias("position"), F.lit(False).alias("is_hit"))
+    return hits.unionByName(rest)
+
+
+def stale_queries(directions: DataFrame) -> DataFrame:
+    """Directions whose query vector is missing or of another version of the prompt: they need a new one."""
+    fresh = F.col("query_vec").isNotNull() & (F.coalesce("query_vec_version", F.lit(0)) == F.col("prompt_version"))
+    return directions.where(~F.coalesce(fresh, F.lit(False)))
+
+
+def cached_queries(directions: DataFrame, made: DataFrame) -> DataFrame:
+    """The cache (direction, prompt_version, query_vec, query_vec_version) after a round that made vectors (direction,
+    vec) for some stale directions; those it failed for stay as they were."""
+    new = made.where("vec IS NOT NULL").select("direction", F.col("vec").alias("_v"))
+    rows = directions.join(new, "direction", "left")
+    fresh = F.col("_v").isNotNull()
+    return rows.select("direction", "prompt_version", F.when(fresh, F.col("_v")).otherwise(F.col("query_vec")).alias("query_vec"), F.when(fresh, F.col("prompt_version")).otherwise(F.col("query_vec_version")).alias("query_vec_version"))
+
+
+def filled(numbered: DataFrame, answers: DataFrame, dims: int) -> DataFrame:
+    """(item_id, batch, vec): the vectors that may be kept of a filling in batches.
+
+    ``numbered`` has (item_id, batch), ``answers`` (item_id, vec). A batch failed if a vector is missing or of another
+    length than ``dims``; from the first failed batch on nothing counts, and the rest waits for the next round.
+    """
+    rows = numbered.join(answers, "item_id", "left")
+    bad = rows.where(F.coalesce(F.size("vec") != dims, F.lit(True))).agg(F.min("batch").alias("_failed"))
+    return rows.join(F.broadcast(bad)).where(F.col("_failed").isNull() | (F.col("batch") < F.col("_failed"))).select("item_id", "batch", "vec")
 
 
 def _origins(threshold: float):
@@ -128,11 +175,11 @@ def explore_settings(directions: DataFrame) -> DataFrame:
     return directions.select("direction", *[F.coalesce(F.col("explore_config")[k].try_cast("int"), T.or_default(F.col(f"site_{k}"), v)).alias(k) for k, v in own.items()])
 
 
-def injected(ranked: DataFrame, picks: DataFrame) -> DataFrame:
+def injected(listed: DataFrame, picks: DataFrame) -> DataFrame:
     """The ranked list, then the picks that it does not hold yet, flagged ``explore``; (item_id, place, flag)."""
-    last = ranked.agg(F.coalesce(F.max("place"), F.lit(0)).alias("_last"))
-    new = picks.join(ranked.select("item_id"), "item_id", "left_anti").join(F.broadcast(last))
-    return ranked.select("item_id", "place", F.lit(None).cast("string").alias("flag")).unionByName(new.select("item_id", (F.col("_last") + F.col("pick")).alias("place"), F.lit("explore").alias("flag")))
+    last = listed.agg(F.coalesce(F.max("place"), F.lit(0)).alias("_last"))
+    new = picks.join(listed.select("item_id"), "item_id", "left_anti").join(F.broadcast(last))
+    return listed.select("item_id", "place", F.lit(None).cast("string").alias("flag")).unionByName(new.select("item_id", (F.col("_last") + F.col("pick")).alias("place"), F.lit("explore").alias("flag")))
 
 
 def _norms(a: np.ndarray) -> np.ndarray:
@@ -210,7 +257,7 @@ def ranked_matches(queries: DataFrame, vectors: DataFrame, k: int, shard_rows: i
     side = lambda rows, name: rows.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("id"), dim, F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     left = side(vectors, "item_id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int")).withColumn("is_query", F.lit(0))
     right = side(queries, "query_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(1))
-    dealt = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", "is_query")
-    found = dealt.mapInPandas(_nearest(k), "query_id long, item_id long, sim double")
+    placed = left.unionByName(right).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query")
+    found = placed.mapInPandas(_nearest(k), "query_id long, item_id long, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "item_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

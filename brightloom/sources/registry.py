@@ -65,6 +65,6 @@ def overlap_scorer() -> Callable[[Column, Column], Column]:
     def of(prompt: Column, text: Column) -> Column:
         relevance = F.bround(F.lit(100.0) * T.bigram_dice(T.norm(prompt), T.norm(text)), 0).cast("int")
         band = F.when(relevance >= 75, "high").when(relevance >= 40, "mid").otherwise("low")
-        return F.to_json(F.struct(relevance.alias("relevance_score"), F.lit(50).alias("quality_score"), band.alias("band"), F.lit("overlap of bigrams").alias("reason")))
+        return F.to_json(F.struct(relevance.alias("relevance"), F.lit(50).alias("quality"), band.alias("band"), F.lit("overlap of bigrams").alias("reason")))
 
     return of

@@ -1,9 +1,9 @@
-"""Tables in and out: CSV, JSON lines with a table tag, SQL dumps, encoded text, vectors, retention, text and XML sinks."""
+"""Tables in and out: CSV, JSON lines with a table tag, SQL dumps, encoded text, vectors, retention, markdown files."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -107,8 +107,23 @@ def vector_cache(rows: DataFrame, path: str) -> None:
 
 def expired_snapshots(snapshots: DataFrame, keep: int) -> DataFrame:
     """Snapshots (path, modified_at) beyond the ``keep`` newest."""
-    w = Window.orderBy(F.desc("modified_at"), "path")
-    return snapshots.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > keep).drop("_n")
+    return snapshots.join(snapshots.orderBy(F.desc("modified_at"), "path").limit(keep).select("path"), "path", "left_anti")
+
+
+def markdown_documents(rows: DataFrame) -> DataFrame:
+    """(name, text) of drafts (run_id, author, title, created_at, kind, note, body): a head of plain facts, then the body.
+
+    The name tells author, day, run and kind, without blanks.
+    """
+    day = F.date_format("created_at", "yyyyMMdd")
+    name = F.replace(F.concat(F.concat_ws("_", "author", day, F.concat(F.lit("run"), F.col("run_id").cast("string")), "kind"), F.lit(".md")), F.lit(" "), F.lit(""))
+    head = F.concat(F.lit("---\nauthor: "), F.col("author"), F.lit("\nwrite_run: "), F.col("run_id").cast("string"), F.lit("\ndate: "), F.date_format("created_at", "yyyy-MM-dd"), F.lit("\nkind: "), F.col("kind"), F.lit("\nnote: "), F.substring(F.coalesce("note", F.lit("")), 1, 300), F.lit("\n---\n\n"))
+    return rows.select(name.alias("name"), F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n")).alias("text"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Every document as a text of its own: a folder for each name, written by the tasks."""
+    documents.write.mode("overwrite").partitionBy("name").option("lineSep", "\x1e\n").text(path)
 
 
 def corpus(items: DataFrame, second: DataFrame, second_min_chars: int = 200) -> DataFrame:
