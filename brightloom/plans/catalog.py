@@ -77,7 +77,7 @@ def rule_reasons(spark: SparkSession, d: str) -> DataFrame:
 SELECT item_id, CASE WHEN item_id > min(item_id) OVER (PARTITION BY direction, fp) THEN min(item_id) OVER (PARTITION BY direction, fp) END AS duplicate_of FROM k""")
 def exact_dup_origin(spark: SparkSession, d: str) -> DataFrame:
     rows = B.items(spark, d).select("item_id", "direction", F.sha2(T.norm(F.col("content_text")), 256).alias("fp"))
-    return ingest.exact_origins(rows, ["direction", "fp"]).select("item_id", "duplicate_of")
+    return ingest.exact_origins(rows, ["direction", "fp"]).select("item_id", "duplicate_of")  # only the stored keys read the texts
 
 
 @query(f"""WITH {B.ITEMS}, k AS (SELECT item_id, lower(regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')) AS title_key FROM items)
@@ -94,29 +94,27 @@ def _feed(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("fingerprint", F.sha2("content_text", 256))
 
 
-@query(f"""WITH {B.ITEMS}, f AS (
-  SELECT *, CASE WHEN item_id % 50 = 7 THEN '' ELSE 'g' || (item_id - CASE WHEN item_id % 10 = 3 THEN 1 ELSE 0 END) END AS guid FROM items
-), k AS (SELECT direction, sha256(content_text) AS fp, guid FROM f WHERE item_id % 20 = 0), c AS (
-  SELECT f.direction AS source_id, CASE WHEN f.guid = '' THEN 'failed'
-    WHEN row_number() OVER (PARTITION BY f.direction, f.guid ORDER BY f.item_id) > 1
-      OR EXISTS (SELECT 1 FROM k WHERE k.direction = f.direction AND (k.guid = f.guid OR k.fp = sha256(f.content_text))) THEN 'dup_blocked'
-    WHEN length(trim(content_text, ' ' || chr(9) || chr(10) || chr(13))) < 200 OR ({TS} - published_at) > INTERVAL 30 DAYS THEN 'rule_rejected'
-    ELSE 'inserted' END AS class
-  FROM f)
+def _classified_sql(guid: str, known: str, rule: str, archived: str) -> str:
+    """Counts by source of what a feed's entries become."""
+    return f"""WITH {B.ITEMS}, f AS (SELECT *, {guid} AS guid, sha256(content_text) AS fp FROM items), k AS (SELECT direction, fp, guid FROM f WHERE {known}), b AS (
+  SELECT *, guid <> '' AND (row_number() OVER (PARTITION BY direction, guid ORDER BY item_id) > 1 OR EXISTS (SELECT 1 FROM k WHERE k.direction = f.direction AND k.guid = f.guid)) AS blocked FROM f
+), o AS (SELECT direction, fp, min(item_id) AS origin FROM b WHERE guid <> '' AND NOT blocked GROUP BY ALL), c AS (
+  SELECT b.direction AS source_id, CASE WHEN b.guid = '' THEN 'failed' WHEN b.blocked THEN 'dup_blocked'
+    WHEN b.item_id > o.origin OR EXISTS (SELECT 1 FROM k WHERE k.direction = b.direction AND k.fp = b.fp) THEN 'inserted'
+    WHEN length(trim(content_text, ' ' || chr(9) || chr(10) || chr(13))) < 200 OR {rule} THEN 'rule_rejected' WHEN {archived} THEN 'archived' ELSE 'inserted' END AS class
+  FROM b LEFT JOIN o ON o.direction = b.direction AND o.fp = b.fp)
 SELECT source_id, count(*) AS feed_entries, count(*) FILTER (WHERE class = 'inserted') AS inserted, count(*) FILTER (WHERE class = 'dup_blocked') AS dup_blocked,
-  count(*) FILTER (WHERE class = 'rule_rejected') AS rule_rejected, count(*) FILTER (WHERE class = 'failed') AS failed, 0::BIGINT AS archived FROM c GROUP BY source_id""")
+  count(*) FILTER (WHERE class = 'rule_rejected') AS rule_rejected, count(*) FILTER (WHERE class = 'failed') AS failed, count(*) FILTER (WHERE class = 'archived') AS archived FROM c GROUP BY source_id"""
+
+
+@query(_classified_sql("CASE WHEN item_id % 50 = 7 THEN '' ELSE 'g' || (item_id - CASE WHEN item_id % 10 = 3 THEN 1 ELSE 0 END) END", "item_id % 20 = 0", f"({TS} - published_at) > INTERVAL 30 DAYS", "false"))
 def ingest_ledger(spark: SparkSession, d: str) -> DataFrame:
     feed = _feed(spark, d)
     known = feed.where(F.col("item_id") % 20 == 0).select("source_id", "direction", "guid", "fingerprint")
     return ingest.ingest_ledger(ingest.classified(feed, known, B.now()))
 
 
-@query(f"""WITH {B.ITEMS}, f AS (
-  SELECT *, 'g' || item_id AS guid FROM items), c AS (
-  SELECT direction AS source_id, CASE WHEN length(trim(content_text, ' ' || chr(9) || chr(10) || chr(13))) < 200 THEN 'rule_rejected'
-    WHEN ({TS} - published_at) > INTERVAL 7 DAYS THEN 'archived' ELSE 'inserted' END AS class FROM f)
-SELECT source_id, count(*) AS feed_entries, count(*) FILTER (WHERE class = 'inserted') AS inserted, 0::BIGINT AS dup_blocked,
-  count(*) FILTER (WHERE class = 'rule_rejected') AS rule_rejected, 0::BIGINT AS failed, count(*) FILTER (WHERE class = 'archived') AS archived FROM c GROUP BY source_id""")
+@query(_classified_sql("'g' || item_id", "false", "false", f"({TS} - published_at) > INTERVAL 7 DAYS"))
 def first_ingest_ledger(spark: SparkSession, d: str) -> DataFrame:
     feed = _feed(spark, d).withColumn("guid", F.concat(F.lit("g"), F.col("item_id").cast("string")))
     return ingest.ingest_ledger(ingest.classified(feed, feed.limit(0).select("source_id", "direction", "guid", "fingerprint"), B.now(), first_ingest=True))
@@ -315,9 +313,12 @@ def error_rate_24h(spark: SparkSession, d: str) -> DataFrame:
     return ledger.error_rate(B.usage(spark, d), B.now() - F.expr("INTERVAL 24 HOURS"))
 
 
-@query(f"""WITH {B.TASKS} SELECT kind, count(*) AS attempts, 0::BIGINT AS done FROM tasks WHERE updated_at >= {TS} - INTERVAL 24 HOURS - INTERVAL 40 MINUTES GROUP BY kind HAVING count(*) FILTER (WHERE status = 'DONE') = 0""")
+@query("""WITH t AS (SELECT 'k' || (event_id % 40) AS kind, CASE event_type WHEN 'purchase' THEN 'DONE' ELSE 'FAILED' END AS status, ts FROM events)
+SELECT kind, count(*) AS attempts, 0::BIGINT AS done FROM t WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 24 HOURS GROUP BY kind HAVING count(*) FILTER (WHERE status = 'DONE') = 0""")
 def degraded_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.degraded_kinds(B.tasks(spark, d), B.now() - F.expr("INTERVAL 40 MINUTES"))
+    kind = F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("kind")
+    tasks = B.table(spark, d, "events").select(kind, F.when(F.col("event_type") == "purchase", "DONE").otherwise("FAILED").alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
+    return ledger.degraded_kinds(tasks, F.lit("2024-01-15 00:00:00").cast("timestamp"))
 
 
 @query(f"""WITH {B.TASKS}, o AS (SELECT date_diff('second', max(updated_at) FILTER (WHERE kind = 'fetch' AND status = 'DONE'), {TS}) AS f, count(*) FILTER (WHERE status = 'PENDING') AS pending,
@@ -402,7 +403,7 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
 SELECT item_id, direction, position::INT AS position, position <= 5 AS is_hit FROM r""")
 def partition_hits(spark: SparkSession, d: str) -> DataFrame:
     v = B.vectors(spark, d)
-    return routing.hit_first(v.select("item_id", "direction"), v, B.query_vectors(spark, d)).select("item_id", "direction", "position", "is_hit")
+    return routing.hit_first(v.select("item_id", "direction"), v, B.query_vectors(spark, d)).select("item_id", "direction", F.col("position").cast("int").alias("position"), "is_hit")
 
 
 @query(f"""WITH {B.VECTORS}, s AS (SELECT q.item_id AS query_id, v.item_id, list_cosine_similarity(v.vec, q.vec) AS sim FROM vectors v, vectors q WHERE q.item_id < 10), r AS (
@@ -447,15 +448,25 @@ def explore_percentile_pool(spark: SparkSession, d: str) -> DataFrame:
     return routing.explore_pool(_scored_vectors(spark, d), percentile=30).select("item_id", "direction")
 
 
-@query()
+@query(f"""WITH {B.VECTORS}, {B.QUERY_VECTORS}, s AS (SELECT v.*, list_cosine_similarity(v.vec, q.vec) AS sim FROM vectors v JOIN query_vectors q USING (direction)), c AS (SELECT direction, quantile_cont(sim, 0.3) AS cut FROM s GROUP BY direction),
+pool AS (SELECT s.direction, s.item_id, s.sim, s.vec FROM s JOIN c USING (direction) WHERE s.item_id % 3 <> 0 AND s.item_id * 7 % 100 >= 50 AND s.sim <= c.cut),
+p1 AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY direction ORDER BY sim, item_id) = 1),
+p2 AS (SELECT pool.* FROM pool JOIN p1 USING (direction) WHERE pool.item_id <> p1.item_id QUALIFY row_number() OVER (PARTITION BY direction ORDER BY -0.3::DOUBLE * pool.sim - 0.7::DOUBLE * list_cosine_similarity(pool.vec, p1.vec) DESC, pool.sim, pool.item_id) = 1),
+p3 AS (SELECT pool.* FROM pool JOIN p1 USING (direction) JOIN p2 USING (direction) WHERE pool.item_id <> p1.item_id AND pool.item_id <> p2.item_id
+  QUALIFY row_number() OVER (PARTITION BY direction ORDER BY -0.3::DOUBLE * pool.sim - 0.7::DOUBLE * greatest(list_cosine_similarity(pool.vec, p1.vec), list_cosine_similarity(pool.vec, p2.vec)) DESC, pool.sim, pool.item_id) = 1)
+SELECT direction, item_id, 1 AS pick FROM p1 UNION ALL SELECT direction, item_id, 2 FROM p2 UNION ALL SELECT direction, item_id, 3 FROM p3""")
 def explore_mmr(spark: SparkSession, d: str) -> DataFrame:
     return routing.explore_picks(_scored_vectors(spark, d), direction_type="int", percentile=30)
 
 
-@query(f"""WITH {B.VECTORS} SELECT item_id, (sqrt(list_inner_product(vec[1:16], vec[1:16])) > 0) AS unit, 16 AS dims FROM vectors""")
+@query(f"""WITH {B.VECTORS}, t AS (SELECT item_id, vec[1:16] AS t, vec FROM vectors)
+SELECT item_id, round(t[1] / sqrt(list_inner_product(t, t)), 6) AS first, round(t[16] / sqrt(list_inner_product(t, t)), 6) AS last, round(list_sum(t) / sqrt(list_inner_product(t, t)), 6) AS total,
+  16 AS dims, round(list_sum(vec) / sqrt(list_inner_product(vec, vec)), 6) AS full_total FROM t""")
 def truncated_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The first components, normalized again, and the whole vector normalized: sums and single components."""
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x), 6)
     t = V.truncated(F.col("vec"), 16)
-    return B.vectors(spark, d).select("item_id", (F.abs(V.norm(t) - 1) < 1e-9).alias("unit"), F.size(t).alias("dims"))
+    return B.vectors(spark, d).select("item_id", F.round(F.get(t, 0), 6).alias("first"), F.round(F.get(t, 15), 6).alias("last"), total(t).alias("total"), F.size(t).alias("dims"), total(V.l2_normalize(F.col("vec"))).alias("full_total"))
 
 
 # ---- ranking ----
@@ -514,7 +525,8 @@ def recent_memory(spark: SparkSession, d: str) -> DataFrame:
     return ranking.recent(B.table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", 3)
 
 
-@query()
+@query(f"""WITH {B.SCORES}, b AS (SELECT item_id, CASE WHEN relevance >= 75 THEN 'high' WHEN relevance >= 25 THEN 'mid' ELSE 'low' END AS band FROM scores), k AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('7:' || item_id), item_id) AS k FROM b)
+SELECT item_id, band FROM k WHERE k <= CASE band WHEN 'high' THEN 15 WHEN 'mid' THEN 10 ELSE 5 END""")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = B.scores(spark, d).withColumn("band", lists.rank_band(F.col("relevance")))
     return ranking.stratified(rows, "band", {"high": 15, "mid": 10, "low": 5}, seed=7).select("item_id", "band")
@@ -569,11 +581,11 @@ def topic_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[。！？!?；;\\n]')) AS s FROM documents), l AS (SELECT doc_id, length(regexp_replace(s, '\\s+', '', 'g')) AS n FROM s WHERE length(trim(s, ' ' || chr(9) || chr(13))) > 1)
-SELECT doc_id AS draft_id, count(*)::INT AS sentences, sum(n)::BIGINT AS chars FROM l GROUP BY doc_id HAVING count(*) >= 5""")
+SELECT doc_id AS draft_id, count(*)::INT AS sentences, sum(n)::BIGINT AS chars, round(stddev_pop(n), 6) AS sigma FROM l GROUP BY doc_id HAVING count(*) >= 5""")
 def rhythm_sentences(spark: SparkSession, d: str) -> DataFrame:
     lengths = T.sentence_lengths(F.col("text"))
     rows = _drafts(spark, d).select("draft_id", lengths.alias("l"), T.rhythm_stddev(F.col("text")).alias("sigma"))
-    return rows.where("sigma IS NOT NULL").select("draft_id", F.size("l").alias("sentences"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"))
+    return rows.where("sigma IS NOT NULL").select("draft_id", F.size("l").alias("sentences"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"), F.round("sigma", 6).alias("sigma"))
 
 
 @query("""SELECT doc_id AS draft_id, length(regexp_replace(text, '\\s+', '', 'g'))::INT AS chars, length(regexp_replace(text, '\\s+', '', 'g')) NOT BETWEEN 100 AND 5000 AS bad,
@@ -628,22 +640,60 @@ def stale_tasks(spark: SparkSession, d: str) -> DataFrame:
     return limits.reclaimed(B.tasks(spark, d), B.now(), {"fetch": 30, "score": 60, "write": 120}).select("task_id", "status")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT 'h' || (user_id % 7) AS netloc, event_id AS request_id, epoch_us(ts) / 1e6::DOUBLE AS at, row_number() OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts), event_id) AS k FROM events),
+w(netloc, k, request_id, slot, wait, accepted) AS (
+  SELECT netloc, 0::BIGINT, NULL::BIGINT, -1e18::DOUBLE, 0.0::DOUBLE, false FROM e GROUP BY netloc UNION ALL
+  SELECT w.netloc, e.k, e.request_id, CASE WHEN greatest(w.slot + 2400, e.at) - e.at <= 9000 THEN greatest(w.slot + 2400, e.at) ELSE w.slot END, greatest(w.slot + 2400, e.at) - e.at, greatest(w.slot + 2400, e.at) - e.at <= 9000 FROM w JOIN e ON e.netloc = w.netloc AND e.k = w.k + 1)
+SELECT netloc, request_id, round(wait, 3) AS wait, accepted FROM w WHERE k > 0""")
 def throttle_slots(spark: SparkSession, d: str) -> DataFrame:
     rows = B.table(spark, d, "events").select(F.concat(F.lit("h"), (F.col("user_id") % 7).cast("string")).alias("netloc"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("request_id"))
-    return limits.throttled(rows, gap_s=2400.0, max_wait_s=9000.0)
+    return limits.throttled(rows, gap_s=2400.0, max_wait_s=9000.0).withColumn("wait", F.round("wait", 3))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 4 AS article_id, event_id AS feedback_id, 'v' || (event_id % 300) AS visitor, ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Shanghai')::DATE AS day, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS k FROM events),
+w(article_id, k, feedback_id, seen, day, used, outcome) AS (
+  SELECT article_id, 0::BIGINT, NULL::BIGINT, []::VARCHAR[], NULL::DATE, 0, NULL::VARCHAR FROM e GROUP BY article_id UNION ALL
+  SELECT article_id, k, feedback_id, CASE WHEN outcome = 'counted' THEN list_append(seen, visitor) ELSE seen END, day, CASE WHEN outcome = 'counted' THEN used + 1 ELSE used END, outcome FROM (
+    SELECT *, CASE WHEN list_contains(seen, visitor) THEN 'already_counted' WHEN used >= 5 THEN 'rate_limited' ELSE 'counted' END AS outcome FROM (
+      SELECT e.article_id, e.k, e.feedback_id, e.visitor, e.day, w.seen, CASE WHEN w.day = e.day THEN w.used ELSE 0 END AS used FROM w JOIN e ON e.article_id = w.article_id AND e.k = w.k + 1)))
+SELECT article_id, feedback_id, outcome FROM w WHERE k > 0""")
 def article_reactions(spark: SparkSession, d: str) -> DataFrame:
     rows = B.table(spark, d, "events").select((F.col("user_id") % 4).alias("article_id"), F.col("event_id").alias("feedback_id"), F.concat(F.lit("v"), (F.col("event_id") % 300).cast("string")).alias("visitor"), F.col("ts").cast("timestamp").alias("ts"))
     return limits.reactions(rows, daily=5)
 
 
-@query()
-def notice_queue(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.table(spark, d, "events").select(F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")).alias("account"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.concat_ws(":", "event_type", (F.col("user_id") % 50).cast("string")).alias("dedupe_key"), (F.col("user_id") % 5).alias("rank"))
-    return limits.notices(rows, gap_s=3600)
+_NOTICES = """n AS (SELECT event_id AS seq, 'a' || (user_id % 3) AS account, event_type AS category, 'k' || (user_id % 50) AS dedupe_key, ts AS happened, user_id % 3 AS priority,
+  CASE WHEN event_type = 'view' THEN 'digest' ELSE 'alert' END AS family FROM events)"""
+
+
+def _notices(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("user_id")
+    return B.table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("a"), (n % 3).cast("string")).alias("account"), F.col("event_type").alias("category"), F.concat(F.lit("k"), (n % 50).cast("string")).alias("dedupe_key"),
+        F.col("ts").cast("timestamp").alias("at"), (n % 3).alias("priority"), F.when(F.col("event_type") == "view", "digest").otherwise("alert").alias("family"),
+    )
+
+
+@query(f"""WITH {_NOTICES}, s AS (SELECT category, dedupe_key, max(happened) AS sent FROM n WHERE seq % 7 = 0 GROUP BY ALL), q AS (SELECT DISTINCT category, dedupe_key FROM n WHERE seq % 97 = 0)
+SELECT n.seq, CASE WHEN epoch(date_trunc('second', n.happened)) - epoch(date_trunc('second', s.sent)) < 86400 OR q.category IS NOT NULL THEN 'deduped' ELSE 'queued' END AS outcome
+FROM n LEFT JOIN s USING (category, dedupe_key) LEFT JOIN q USING (category, dedupe_key)""")
+def notice_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    n = _notices(spark, d)
+    sent = n.where("seq % 7 = 0").select("category", "dedupe_key", F.col("at").alias("sent_at"))
+    return limits.notice_dedupe(n, sent, n.where("seq % 97 = 0")).select("seq", "outcome")
+
+
+@query(f"""WITH {_NOTICES} SELECT seq, row_number() OVER (PARTITION BY account ORDER BY CASE WHEN family = 'digest' THEN 1 ELSE 0 END, priority, seq) > 10 AS dropped FROM n""")
+def notice_overflow(spark: SparkSession, d: str) -> DataFrame:
+    return limits.queue_overflow(_notices(spark, d)).select("seq", "dropped")
+
+
+@query(f"""WITH {_NOTICES} SELECT account, min(seq) AS seq FROM n WHERE account <> 'a1' AND category <> 'click' GROUP BY account""")
+def notice_deliverable(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda s: B.now() - F.expr(f"INTERVAL {s} SECONDS")
+    accounts = spark.range(1).select(F.explode(F.array(F.struct(F.lit("a1").alias("account"), at(59).alias("last_sent")), F.struct(F.lit("a2").alias("account"), at(60).alias("last_sent")))).alias("x")).select("x.*")
+    categories = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(c).alias("category"), at(s).alias("last_sent"), F.lit(i).alias("min_interval_s")) for c, s, i in (("click", 10, 3600), ("view", 10, 0), ("error", 3600, 3600))])).alias("x")).select("x.*")
+    return limits.deliverable(_notices(spark, d), accounts, categories, B.now())
 
 
 def _rounds(spark: SparkSession, d: str) -> DataFrame:
@@ -714,15 +764,16 @@ def auc_by_query(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.auc(_query_sims(spark, d).withColumn("positive", F.col("item_id") % 3 == 0), score="sim")
 
 
-@query()
+@query(f"""WITH {_RANKED} SELECT query_id, avg(1.0::DOUBLE / rank) AS mrr FROM ranked WHERE item_id % 3 = 0 GROUP BY query_id""")
 def mrr_by_query(spark: SparkSession, d: str) -> DataFrame:
     ranked = _ranked(spark, d)
     return evaluation.retrieval(ranked, ranked.where("item_id % 3 = 0").select("query_id", "item_id")).select("query_id", "mrr")
 
 
-@query()
+@query(f"""WITH {B.SCORES}, r AS (SELECT direction, row_number() OVER (PARTITION BY direction ORDER BY relevance, item_id)::DOUBLE AS x, row_number() OVER (PARTITION BY direction ORDER BY quality, item_id)::DOUBLE AS y FROM scores)
+SELECT direction, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(x, y), 9) END AS rho FROM r GROUP BY direction""")
 def spearman_by_direction(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.spearman(B.scores(spark, d), "relevance", "quality", "direction", "item_id")
+    return evaluation.spearman(B.scores(spark, d), "relevance", "quality", "direction", "item_id").withColumn("rho", F.round("rho", 9))
 
 
 @query(f"""WITH {B.SCORES}, b AS (SELECT direction, CASE WHEN relevance >= 75 THEN 'high' WHEN relevance >= 25 THEN 'mid' ELSE 'low' END AS x, CASE WHEN quality >= 75 THEN 'high' WHEN quality >= 25 THEN 'mid' ELSE 'low' END AS y FROM scores)

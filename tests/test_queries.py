@@ -2,6 +2,7 @@
 
 import pytest
 
+from brightloom.plans import intake, serving  # noqa: F401  each registers its queries
 from brightloom.plans.catalog import ORACLE_SQL, QUERIES
 from tests.oracle import duck, same
 
