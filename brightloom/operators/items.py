@@ -125,6 +125,12 @@ def task_list(tasks: DataFrame, authors: DataFrame, kind: str | None = None, lim
     return rows.join(authors.select("author_id", F.col("name").alias("author_name")), "author_id", "left")
 
 
+def memory_list(memory: DataFrame, author_id: int, module: str | None = None) -> DataFrame:
+    """An author's entries, of one module if named, newest first."""
+    rows = memory.where(F.col("author_id") == author_id)
+    return (rows if module is None else rows.where(F.col("module") == module)).orderBy(F.desc("entry_id"))
+
+
 def memory_counts(memory: DataFrame) -> DataFrame:
     """(author_id, module, n) of memory entries."""
     return memory.groupBy("author_id", "module").agg(F.count("*").alias("n"))

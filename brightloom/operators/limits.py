@@ -28,12 +28,17 @@ def retry_budget(attempts: DataFrame, limit: int = DEFAULTS.retry_budget_per_min
     """Adds (spent, allowed) to attempts (caller, ts, attempt_id): those of the last minute, rejected ones included.
 
     Rows of equal time count in the order of attempt_id: the range frame is corrected by the peers that come later.
+    Time is cut into spans of the window's length; a row is also shown to the span after its own, so that the windows
+    of a busy caller are as many tasks as there are spans.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = attempts.withColumn("_us", micros)
-    span = Window.partitionBy("caller").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    peers = Window.partitionBy("caller", "_us").orderBy(F.desc("attempt_id"))
-    return rows.withColumn("spent", F.count("*").over(span) - (F.row_number().over(peers) - 1)).withColumn("allowed", F.col("spent") <= limit).drop("_us")
+    length = seconds * 1_000_000
+    rows = attempts.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    shown = F.explode(F.array(*[F.struct((F.floor(F.col("_us") / length) + i).alias("span"), F.lit(i == 0).alias("own")) for i in (0, 1)]))
+    rows = rows.withColumn("_at", shown).withColumn("_span", F.col("_at.span")).withColumn("_own", F.col("_at.own"))
+    window = Window.partitionBy("caller", "_span").orderBy("_us").rangeBetween(-length, 0)
+    peers = Window.partitionBy("caller", "_span", "_own", "_us").orderBy(F.desc("attempt_id"))
+    counted = rows.withColumn("spent", F.count("*").over(window) - (F.row_number().over(peers) - 1)).where("_own")
+    return counted.withColumn("allowed", F.col("spent") <= limit).drop("_us", "_at", "_span", "_own")
 
 
 def platform_cooldown(calls: DataFrame, now: Column, streak: int = DEFAULTS.hot_cooldown_streak, minutes: int = DEFAULTS.hot_cooldown_minutes) -> DataFrame:
@@ -183,3 +188,26 @@ def busy_kinds(tasks: DataFrame) -> DataFrame:
 def due_ticks(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs (job, every_s, last_run) whose interval has passed, or that never ran."""
     return jobs.where(F.col("last_run").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_run") >= F.col("every_s")))
+
+
+def claimed(tasks: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """Tasks (task_id, status, attempts, updated_at, ...) after a worker asked for those in ``wanted`` (task_id): the
+    waiting ones run, with one attempt more; what another worker has taken stays as it is. ``won`` marks them."""
+    asked = wanted.select("task_id", F.lit(True).alias("_asked")).distinct()
+    won = F.coalesce(F.col("_asked") & (F.col("status") == "PENDING"), F.lit(False))
+    rows = tasks.join(asked, "task_id", "left").withColumn("won", won)
+    return rows.withColumn("status", F.when(F.col("won"), "RUNNING").otherwise(F.col("status"))).withColumn("attempts", F.coalesce("attempts", F.lit(0)) + F.col("won").cast("int")).withColumn("updated_at", F.when(F.col("won"), now).otherwise(F.col("updated_at"))).drop("_asked")
+
+
+def finished(tasks: DataFrame, results: DataFrame, now: Column, longest: int = 2000) -> DataFrame:
+    """Tasks after ``results`` (task_id, result, error): only running ones end; a result that comes late, for a task that
+    was taken back or has ended, is refused and changes nothing. ``late`` marks those."""
+    told = results.select("task_id", F.col("result").alias("_result"), F.substring("error", 1, longest).alias("_error"))
+    rows = tasks.join(told, "task_id", "left")
+    ends = F.coalesce(F.col("_result").isNotNull() & (F.col("status") == "RUNNING"), F.lit(False))
+    rows = rows.withColumn("late", F.col("_result").isNotNull() & (F.col("status") != "RUNNING")).withColumn("_ends", ends)
+    return (
+        rows.withColumn("status", F.when(F.col("_ends"), F.col("_result")).otherwise(F.col("status")))
+        .withColumn("last_error", F.when(F.col("_ends") & (F.coalesce("_error", F.lit("")) != ""), F.col("_error")).otherwise(F.col("last_error")))
+        .withColumn("updated_at", F.when(F.col("_ends"), now).otherwise(F.col("updated_at"))).drop("_result", "_error", "_ends")
+    )

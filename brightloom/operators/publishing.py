@@ -288,7 +288,18 @@ def document_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def alert_events(changes: DataFrame) -> DataFrame:
-    """(dedupe_key, category, at) for state changes of sources: failures by level, and recoveries from death."""
-    rows = changes.where("event IS NOT NULL")
-    category = F.when(F.col("event") == "recovered", "source_recovered").otherwise("source_failure")
-    return rows.select(F.concat_ws(":", category, F.col("source_id").cast("string"), F.col("event")).alias("dedupe_key"), category.alias("category"), F.col("round_id"))
+    """(category, dedupe_key, round_id) for state changes of sources (source_id, event, round_id): a source has one key,
+    so that a failure and the recovery after it are not both sent within a window."""
+    rows = changes.where(F.col("event").isin("hard_failed", "suspect", "recovered"))
+    category = F.when(F.col("event") == "hard_failed", "source_hard_fail").when(F.col("event") == "suspect", "source_suspect").otherwise("source_recovered")
+    return rows.select(category.alias("category"), F.concat(F.lit("source-"), F.col("source_id").cast("string")).alias("dedupe_key"), "round_id")
+
+
+def budget_alerts(days: DataFrame, budget: int) -> DataFrame:
+    """(category, dedupe_key) of the local days (day, tokens) that used up a budget over 0."""
+    return days.where(F.lit(budget > 0) & (F.col("tokens") >= budget)).select(F.lit("token_budget").alias("category"), F.concat(F.lit("daily-"), F.col("day")).alias("dedupe_key"))
+
+
+def reconcile_alerts(months: DataFrame) -> DataFrame:
+    """(category, dedupe_key) of the reconciled months (month, alert) that deviate too much."""
+    return months.where("alert").select(F.lit("reconcile").alias("category"), F.concat(F.lit("reconcile-"), F.col("month")).alias("dedupe_key"))

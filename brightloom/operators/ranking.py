@@ -46,6 +46,15 @@ def reranked(pool: DataFrame, ranks: DataFrame, k: int = DEFAULTS.reading_set_k,
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= k).drop("n", "kept")
 
 
+def rank_pool(pool: DataFrame, answers: DataFrame, directions: DataFrame, k: int = DEFAULTS.reading_set_k, exclude_below: float = 0.0) -> DataFrame:
+    """The reading set from a pool (item_id, direction, place) and a service's answers (direction, item_id, rank_score).
+
+    A service is asked once for each direction that is there, so an answer counts for its own direction only.
+    """
+    mine = pool.join(directions.select("direction"), "direction", "left_semi").select("direction", "item_id")
+    return reranked(pool, answers.join(mine, ["direction", "item_id"], "left_semi"), k, exclude_below)
+
+
 def draws(seed: int, n: int) -> list[float]:
     """The first n numbers of a seeded generator, one for each slot of a page."""
     rng = random.Random(seed)

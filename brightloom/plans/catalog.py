@@ -313,11 +313,11 @@ def error_rate_24h(spark: SparkSession, d: str) -> DataFrame:
     return ledger.error_rate(B.usage(spark, d), B.now() - F.expr("INTERVAL 24 HOURS"))
 
 
-@query("""WITH t AS (SELECT 'k' || (event_id % 40) AS kind, CASE event_type WHEN 'purchase' THEN 'DONE' ELSE 'FAILED' END AS status, ts FROM events)
+@query("""WITH t AS (SELECT 'k' || (event_id % 40) AS kind, CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'DONE' ELSE 'FAILED' END AS status, ts FROM events)
 SELECT kind, count(*) AS attempts, 0::BIGINT AS done FROM t WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 24 HOURS GROUP BY kind HAVING count(*) FILTER (WHERE status = 'DONE') = 0""")
 def degraded_kinds(spark: SparkSession, d: str) -> DataFrame:
     kind = F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("kind")
-    tasks = B.table(spark, d, "events").select(kind, F.when(F.col("event_type") == "purchase", "DONE").otherwise("FAILED").alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
+    tasks = B.table(spark, d, "events").select(kind, F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0), "DONE").otherwise("FAILED").alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
     return ledger.degraded_kinds(tasks, F.lit("2024-01-15 00:00:00").cast("timestamp"))
 
 

@@ -209,7 +209,7 @@ def gbk_decoded(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "nation").select("n_nationkey", tables.decoded(raw).alias("text"))
 
 
-@query(f"""WITH {B.VECTORS} SELECT item_id, 1.0::DOUBLE AS norm, round((list_sum(vec) / sqrt(list_inner_product(vec, vec)))::DOUBLE, 6) AS total, 64 * 4 * 3 AS bytes FROM vectors""")
+@query(f"""WITH {B.VECTORS} SELECT item_id, 1.0::DOUBLE AS norm, round((list_sum(vec) / sqrt(list_inner_product(vec, vec)))::DOUBLE, 6) AS total, (64 * 4 * 3)::BIGINT AS bytes FROM vectors""")
 def vector_cache(spark: SparkSession, d: str) -> DataFrame:
     """Vectors written as a cache of unit vectors and read back; three of a kind take so many bytes."""
     from brightloom.functions import vectors as V
@@ -300,8 +300,7 @@ def author_differences(spark: SparkSession, d: str) -> DataFrame:
     return publishing.document_differences(rows.select(F.col("n_name").alias("name"), before.alias("document")), rows.select(F.col("n_name").alias("name"), after.alias("document")))
 
 
-@query("""SELECT CASE user_id % 3 WHEN 0 THEN 'source_recovered' ELSE 'source_failure' END || ':' || (user_id % 20) || ':' || CASE user_id % 3 WHEN 0 THEN 'recovered' WHEN 1 THEN 'suspect' ELSE 'hard_failed' END AS dedupe_key,
-  CASE user_id % 3 WHEN 0 THEN 'source_recovered' ELSE 'source_failure' END AS category, event_id AS round_id FROM events WHERE event_type = 'error'""")
+@query("""SELECT 'source-' || (user_id % 20) AS dedupe_key, CASE user_id % 3 WHEN 0 THEN 'source_recovered' WHEN 1 THEN 'source_suspect' ELSE 'source_hard_fail' END AS category, event_id AS round_id FROM events WHERE event_type = 'error'""")
 def alert_events(spark: SparkSession, d: str) -> DataFrame:
     """Changes of sources that are worth a notice."""
     n = F.col("user_id")
@@ -309,6 +308,47 @@ def alert_events(spark: SparkSession, d: str) -> DataFrame:
     return publishing.alert_events(B.table(spark, d, "events").select((n % 20).alias("source_id"), F.col("event_id").alias("round_id"), event.alias("event")))
 
 
+@query(f"""WITH {B.USAGE}, d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, sum(prompt_tokens)::BIGINT AS tokens FROM usage GROUP BY 1)
+SELECT 'token_budget' AS category, 'daily-' || day AS dedupe_key FROM d WHERE tokens >= (SELECT floor(avg(tokens)) FROM d) UNION ALL SELECT 'reconcile', 'reconcile-' || d.day FROM d WHERE tokens % 3 = 0""")
+def budget_and_reconcile_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Days that used up the mean of all days, and periods whose bill deviates."""
+    days = B.usage(spark, d).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.sum("prompt_tokens").alias("tokens"))
+    budget = int(days.agg(F.floor(F.avg("tokens"))).first()[0] or 0)
+    return publishing.budget_alerts(days, budget).unionByName(publishing.reconcile_alerts(days.select(F.col("day").alias("month"), (F.col("tokens") % 3 == 0).alias("alert"))))
+
+
+@query("""SELECT n_name AS key, CASE WHEN n_nationkey IN (1, 3) THEN '' ELSE 'v' || n_nationkey END AS value FROM nation""")
+def backup_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings as a backup holds them."""
+    rows = B.table(spark, d, "nation").select(F.col("n_name").alias("key"), _joined("v", F.col("n_nationkey").cast("string")).alias("value"))
+    return tables.without_secrets(rows, ["NATION_1", "NATION_3", "none"])
+
+
+_CALLS = """c AS (SELECT event_id AS call_id, 'p' || (user_id % 5) AS provider, ts, event_type = 'error' AS bad FROM events), m AS (SELECT *, row_number() OVER (PARTITION BY provider, date_trunc('minute', ts) ORDER BY ts, call_id) <= 8 AS a FROM c),
+q AS (SELECT *, a AND row_number() OVER (PARTITION BY provider, date_trunc('day', ts), a ORDER BY ts, call_id) <= 200 AS allowed FROM m)"""
+
+
+def _search_round(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n, bad = F.col("event_id"), F.col("event_type") == "error"
+    e = B.table(spark, d, "events")
+    calls = e.select(n.alias("call_id"), _joined("p", (F.col("user_id") % 5).cast("string")).alias("provider"), F.col("ts").cast("timestamp").alias("ts"), F.lit("k").alias("keyword"), F.when(bad & (n % 2 == 0), 503).otherwise(F.when(~bad, 200)).alias("http_code"), F.when(bad, "ReadTimeout").alias("error"))
+    hit = lambda i: F.struct(F.lit(i).alias("position"), F.when(n % 3 == i, "").otherwise(_joined("https://s.example/", n.cast("string"), f"/{i}")).alias("url"))
+    results = e.select(n.alias("call_id"), F.lit("k").alias("keyword"), F.explode(F.array(hit(0), hit(1))).alias("h")).select("call_id", "keyword", "h.position", F.lit("t").alias("title"), "h.url", F.lit("s").alias("snippet"), F.lit("").alias("content"), F.lit(None).cast("timestamp").alias("published_at"))
+    return search.search_round(calls, results)
+
+
+@query(f"""WITH {_CALLS} SELECT 'https://s.example/' || call_id || '/' || i AS guid, 's' AS body FROM q, (SELECT unnest([0, 1]) AS i) WHERE allowed AND NOT bad AND call_id % 3 <> i""")
+def search_round_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the calls that the quotas let through."""
+    return _search_round(spark, d)[0].select("guid", F.col("content_text").alias("body"))
+
+
+@query(f"""WITH {_CALLS} SELECT call_id, allowed AND NOT bad AS ok, CASE WHEN NOT allowed THEN 'blocked' WHEN NOT bad THEN '200' WHEN call_id % 2 = 0 THEN '503' ELSE 'ReadTimeout' END AS status FROM q""")
+def search_round_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of all calls of a search round, made or blocked."""
+    return _search_round(spark, d)[1].select("call_id", "ok", "status")
+
+
 # ---- boards ----
 
 

@@ -89,6 +89,12 @@ def memory_counts(spark: SparkSession, d: str) -> DataFrame:
     return lists.memory_counts(B.table(spark, d, "conversations").select(F.col("conv_id").alias("author_id"), F.col("role").alias("module")))
 
 
+@query("""SELECT conv_id AS author_id, turn AS entry_id, role AS module FROM conversations WHERE conv_id = 3 AND role = 'user'""")
+def memory_list(spark: SparkSession, d: str) -> DataFrame:
+    """An author's entries of a module."""
+    return lists.memory_list(B.table(spark, d, "conversations").select(F.col("conv_id").alias("author_id"), F.col("turn").alias("entry_id"), F.col("role").alias("module")), 3, "user")
+
+
 @query("""SELECT s_suppkey AS source_id FROM supplier WHERE s_suppkey % 3 <> 0 AND s_nationkey % 2 = 0""")
 def fetchable_sources(spark: SparkSession, d: str) -> DataFrame:
     """Enabled sources of active directions."""
@@ -126,7 +132,7 @@ def explore_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT event_id AS item_id, event_id % 8 AS k, user_id % 101 AS r FROM events), s AS (SELECT *, CASE WHEN k IN (0, 1, 2, 3) THEN true ELSE false END AS ok FROM a)
-SELECT item_id, CASE WHEN ok THEN 'OK' ELSE 'FAILED' END AS status, CASE WHEN ok THEN r END AS relevance, CASE WHEN ok THEN 7 END AS quality, CASE WHEN ok THEN 'mid' END AS band, CASE WHEN ok THEN 'why' END AS reason, CASE WHEN ok THEN r >= 50 END AS passed FROM s""")
+SELECT item_id, CASE WHEN ok THEN 'OK' ELSE 'FAILED' END AS status, CASE WHEN ok THEN r END AS relevance, CASE WHEN ok THEN 7::BIGINT END AS quality, CASE WHEN ok THEN 'mid' END AS band, CASE WHEN ok THEN 'why' END AS reason, CASE WHEN ok THEN r >= 50 END AS passed FROM s""")
 def score_rows(spark: SparkSession, d: str) -> DataFrame:
     """Score rows of model answers: fenced JSON, numbers as text or with a fraction, bands in capitals, and five ways to fail."""
     n, r = F.col("event_id") % 8, (F.col("user_id") % 101).cast("string")
@@ -319,6 +325,26 @@ def reranked_set(spark: SparkSession, d: str) -> DataFrame:
     return ranking.reranked(pool, ranks, exclude_below=20).select("item_id", "rank")
 
 
+@query(f"""WITH {B.SCORES}, p AS (SELECT item_id, direction, row_number() OVER (ORDER BY relevance DESC, item_id) AS place FROM scores QUALIFY place <= 50), r AS (SELECT item_id, place, CASE WHEN direction IN ('en', 'de') AND item_id % 4 > 0 THEN item_id % 100 END AS s FROM p)
+SELECT item_id, row_number() OVER (ORDER BY s DESC, place)::INT AS rank FROM r WHERE s >= 10 QUALIFY rank <= 10""")
+def ranked_pool(spark: SparkSession, d: str) -> DataFrame:
+    """A pool ranked direction by direction: answers for a direction that is gone, or for another's item, do not count."""
+    pool = lists.top_per_group(B.scores(spark, d).withColumn("_g", F.lit(1)), ["_g"], [F.desc("relevance"), F.col("item_id")], 50).select("item_id", "direction", F.col("rank").alias("place"))
+    own = pool.where("item_id % 4 > 0").select("direction", "item_id", (F.col("item_id") % 100).alias("rank_score"))
+    stray = pool.where("item_id % 4 = 0").select(F.lit("en-other").alias("direction"), "item_id", F.lit(99).cast("long").alias("rank_score"))
+    return ranking.rank_pool(pool, own.unionByName(stray), _table(spark, "direction string", [("en",), ("de",)]), exclude_below=10).select("item_id", "rank")
+
+
+@query(f"""WITH {B.ITEMS}, k AS (SELECT item_id, direction AS lang, row_number() OVER (PARTITION BY direction ORDER BY md5('3:' || item_id), item_id) AS k FROM items WHERE length(content_text) > 300), l AS (
+  SELECT item_id, 'long' AS lang, row_number() OVER (ORDER BY md5('4:' || item_id), item_id) AS k FROM items WHERE length(content_text) >= 2200)
+SELECT item_id, lang FROM k WHERE k <= CASE lang WHEN 'en' THEN 15 WHEN 'de' THEN 15 ELSE 5 END UNION ALL SELECT item_id, lang FROM l WHERE k <= 36""")
+def evaluation_samples(spark: SparkSession, d: str) -> DataFrame:
+    """So many known items of each language, and long texts."""
+    rows = B.items(spark, d).select("item_id", F.coalesce("direction", F.lit("none")).alias("lang"), F.length("content_text").alias("n"))
+    known = ranking.stratified(rows.where("n > 300"), "lang", {"en": 15, "de": 15, "es": 5, "fr": 5}, seed=3)
+    return known.select("item_id", "lang").unionByName(ranking.stratified(rows.where("n >= 2200").withColumn("lang", F.lit("long")), "lang", {"long": 36}, seed=4).select("item_id", "lang"))
+
+
 @query(f"""WITH {B.ITEMS}, r AS (SELECT item_id, source_id, CASE WHEN n_chars >= 2000 THEN 'long' WHEN n_chars >= 500 THEN 'mid' ELSE 'short' END AS bucket, md5('7:' || item_id) AS h FROM items), s AS (
   SELECT *, row_number() OVER (PARTITION BY bucket, source_id ORDER BY h, item_id) > 1 AS later FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY later, h, item_id) AS k FROM s)
 SELECT item_id, bucket FROM k WHERE k <= CASE bucket WHEN 'long' THEN 15 WHEN 'mid' THEN 15 ELSE 20 END""")
@@ -470,6 +496,16 @@ def memory_caps(spark: SparkSession, d: str) -> DataFrame:
     return limits.memory_capped(rows, "Asia/Shanghai", daily=5).select("entry_id", "kept")
 
 
+@query(f"""WITH {B.TASKS}, c AS (SELECT task_id, CASE WHEN status = 'PENDING' AND task_id % 3 = 0 THEN 'RUNNING' ELSE status END AS status, CASE WHEN status = 'PENDING' AND task_id % 3 = 0 THEN 2 ELSE 1 END AS attempts, status = 'PENDING' AND task_id % 3 = 0 AS won FROM tasks)
+SELECT task_id, attempts, won, CASE WHEN status = 'RUNNING' AND task_id % 5 = 0 THEN 'DONE' WHEN status = 'RUNNING' AND task_id % 5 = 1 THEN 'FAILED' ELSE status END AS status, CASE WHEN status = 'RUNNING' AND task_id % 5 = 1 THEN 'boom' END AS last_error, status <> 'RUNNING' AND task_id % 5 <= 1 AS late FROM c""")
+def claimed_and_finished(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks that a worker claims and then ends: taken ones are not won, late results change nothing."""
+    n, rows = F.col("task_id"), B.tasks(spark, d).withColumn("attempts", F.lit(1)).withColumn("last_error", F.lit(None).cast("string"))
+    taken = limits.claimed(rows, rows.where("task_id % 3 = 0"), B.now())
+    results = rows.where("task_id % 5 <= 1").select(n, F.when(n % 5 == 0, "DONE").otherwise("FAILED").alias("result"), F.when(n % 5 == 1, "boom").alias("error"))
+    return limits.finished(taken, results, B.now()).select("task_id", "attempts", "won", "status", "last_error", "late")
+
+
 @query("""SELECT n_nationkey AS host, CASE n_nationkey % 4 WHEN 0 THEN greatest(n_nationkey, 6.0) WHEN 1 THEN 6.0 WHEN 2 THEN 3.0 ELSE 0.0 END::DOUBLE AS seconds, n_nationkey % 3 = 0 AS busy, n_nationkey % 5 >= 2 AS due FROM nation""")
 def request_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals between requests to a host, kinds of rounds that may not start, and jobs that are due."""
@@ -496,7 +532,7 @@ def login_lockouts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, strftime(timezone('UTC', timezone('America/New_York', date_trunc('day', timezone('America/New_York', timezone('UTC', o_orderdate))) + INTERVAL 40 DAYS)), '%Y-%m-%d %H:%M:%S') AS later,
   strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month_start, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH, '%Y-%m-%d') AS month_end,
-  CASE o_orderkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 60 WHEN 2 THEN 0 END AS retry_after, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 08:00:00' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS parsed,
+  CASE o_orderkey % 4 WHEN 0 THEN 7 WHEN 1 THEN 60 WHEN 2 THEN 0 END::BIGINT AS retry_after, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 08:00:00' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' END AS parsed,
   CASE o_orderkey % 3 WHEN 0 THEN 5000.0 WHEN 1 THEN 8000.0 ELSE 8000.0 END::DOUBLE AS delay_ms FROM orders""")
 def time_forms(spark: SparkSession, d: str) -> DataFrame:
     """Local midnights some days later over changes of the clock, months, Retry-After, tolerant ISO times and delays."""

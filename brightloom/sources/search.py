@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from brightloom.config import DEFAULTS
 from brightloom.functions import dates as D
 from brightloom.functions import text as T
+from brightloom.operators.hot import call_status
+from brightloom.operators.limits import search_quota
 
 PAGES = "code INT, data STRUCT<webPages: STRUCT<value: ARRAY<STRUCT<name: STRING, url: STRING, snippet: STRING, summary: STRING, datePublished: STRING>>>>"
 LIST = "Response STRUCT<Pages: ARRAY<STRING>>"
@@ -44,4 +46,16 @@ def search_entries(results: DataFrame) -> DataFrame:
     return rows.select("position", F.col("url").alias("guid"), "url", F.substring("title", 1, 500).alias("title"), body.alias("content_text"), "published_at", F.col("keyword").alias("source_keyword"))
 
 
+def search_round(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, call log) of a round. ``calls`` has (provider, ts, call_id, keyword, http_code, error), ``results``
+    (call_id, keyword, position, title, url, snippet, content, published_at).
+
+    Calls beyond a quota are not made: they are logged as blocked and give no entries; nor do those that failed.
+    """
+    asked = search_quota(calls)
+    ok = F.col("allowed") & F.col("error").isNull()
+    log = asked.select("call_id", "provider", "keyword", ok.alias("ok"), F.when(~F.col("allowed"), "blocked").otherwise(call_status(F.col("http_code"), F.col("error"))).alias("status"))
+    return search_entries(results.join(log.where("ok").select("call_id"), "call_id", "left_semi")), log
+
+
 MAX_AGE_DAYS = DEFAULTS.search_max_age_days

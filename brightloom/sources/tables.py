@@ -110,6 +110,11 @@ def expired_snapshots(snapshots: DataFrame, keep: int) -> DataFrame:
     return snapshots.join(snapshots.orderBy(F.desc("modified_at"), "path").limit(keep).select("path"), "path", "left_anti")
 
 
+def without_secrets(config: DataFrame, keys: list[str]) -> DataFrame:
+    """A copy of a table of settings (key, value) whose secret values are empty, as a backup holds it."""
+    return config.withColumn("value", F.when(F.col("key").isin(*keys), "").otherwise(F.col("value")))
+
+
 def markdown_documents(rows: DataFrame) -> DataFrame:
     """(name, text) of drafts (run_id, author, title, created_at, kind, note, body): a head of plain facts, then the body.
 

@@ -229,3 +229,101 @@ def test_closest_sentence(spark):
 
 def test_nfkc(spark):
     assert column(spark, ["ＡＢｃ　１", "ﬁ x", None], T.nfkc_norm) == ["abc1", "fix", ""]
+
+
+def test_retry_budget_as_loop(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.choice([0, 1, 59, 60, 61, 3599, 3600]) * 1_000_000 + rng.randint(0, 300) * 1_000_000 + rng.choice([0, 1]), i) for i in range(300)]
+    table = spark.createDataFrame(rows, "caller string, us long, attempt_id long").withColumn("ts", F.timestamp_micros("us"))
+    want = {i: sum(c == d and (u - 60_000_000 <= v < u or (v == u and j <= i)) for d, v, j in rows) for c, u, i in rows}
+    out = limits.retry_budget(table, limit=5).collect()
+    assert {r.attempt_id: r.spent for r in out} == want and all(r.allowed == (r.spent <= 5) for r in out) and len(out) == 300
+
+
+def test_slices_as_loop(spark):
+    from brightloom.operators import ranking
+
+    rng = random.Random(10)
+    words = ["the", "die", "plain", "word", "long" * 8]
+    texts = {f"f{i}": rng.choice(["\n\n", "\n \n\n"]).join(" ".join(rng.choices(words, k=rng.randint(0, 14))) for _ in range(rng.randint(1, 9))) for i in range(12)}
+    found = []
+    for file, text in texts.items():
+        parts = [p for p in (" ".join(x.split()) for x in re.split(r"\n\s*\n", text)) if p]
+        for i, n in itertools.product(range(len(parts)), range(1, 7)):
+            passage = "\n".join(parts[i : i + n])
+            if i + n <= len(parts) and 80 <= len(passage) <= 500:
+                found.append((-sum(passage.count(w) for w in ("the", "die")), file, i + 1, n, passage))
+    seen, count, want = set(), {}, []
+    for row in sorted(found):
+        if (row[1], row[4][:50]) in seen:
+            continue
+        seen.add((row[1], row[4][:50]))
+        count[row[1]] = count.get(row[1], 0) + 1
+        if count[row[1]] <= 3:
+            want.append(row)
+    got = ranking.slices(spark.createDataFrame(list(texts.items()), "file string, text string"), ["the", "die"])
+    assert [(-r.score, r.file, r.i, r.n, r.passage) for r in got.collect()] == want[:30] and len(want) > 10
+
+
+def test_exact_urls(spark):
+    from brightloom.functions import urls as U
+
+    rows = {
+        "https://a.com/p?q=a%20b&utm_source=x&z=%C3%A9#f": "https://a.com/p?q=a+b&z=%C3%A9", "https://a.com/?b=&c": "https://a.com/?b=&c=", " no scheme ": "no scheme", "": "",
+        "HTTPS://A.com/X?ref=1": "HTTPS://A.com/X".replace("HTTPS", "https"), "https://a.com/p?x=1;y=2&x=3": "https://a.com/p?x=1%3By%3D2&x=3", None: None,
+    }
+    assert column(spark, list(rows), U.normalize_url_exact) == list(rows.values())
+
+
+def round_of(**changed):
+    base = {"error": None, "http_status": None, "feed_entries": 3, "inserted": 1, "not_modified": False, "rate_limited": False, "retry_after": None, "skip_day": False, "quota_blocked": False, "kind": "rss", "now": 0.0}
+    return base | changed
+
+
+def test_health_rules():
+    from brightloom.operators.health import Health, advance
+
+    empty, gone = round_of(feed_entries=0, inserted=0), round_of(error="http 404", http_status=404, feed_entries=0, inserted=0)
+    broken = round_of(error="timeout", feed_entries=0, inserted=0)
+
+    def after(h, *rounds):
+        for r in rounds:
+            h = advance(h, r)
+        return h
+
+    h = after(Health(hard_failures=2, empty_rounds=2), round_of())
+    assert h.hard_failures == h.empty_rounds == 0
+    h = after(Health(), empty, empty, broken)
+    assert (h.failure_level, h.empty_rounds, h.backoff_failures) == ("none", 2, 1)
+    assert after(Health(), empty, empty, empty).failure_level == "suspect" and after(Health(), *[empty | {"skip_day": True}] * 5).failure_level == "none"
+    assert after(Health(), *[round_of(kind="search", feed_entries=0, inserted=0)] * 5).failure_level == "none"
+    assert after(Health(failure_level="hard_failed", failure_since=1.0), empty, empty, empty, empty).failure_level == "hard_failed"
+    for status in (404, 403, 410):
+        assert after(Health(), *[gone | {"http_status": status}] * 3).failure_level == "hard_failed"
+    assert after(Health(), gone, gone).failure_level == "none" and after(Health(), gone, gone, broken, gone, gone).failure_level == "none"
+    limited = round_of(rate_limited=True, feed_entries=0, inserted=0, now=1000.0)
+    h = after(Health(), limited, limited)
+    assert h.rate_level == 2 and h.rate_limited_until == 1000.0 + 3600  # 15 * 2^2 minutes
+    h = after(Health(rate_level=1, rate_ok_rounds=1, rate_limited_until=500.0), limited | {"retry_after": 0.0})
+    assert h.rate_level == 2 and h.rate_ok_rounds == 0 and h.rate_limited_until == 1000.0
+    h = after(Health(rate_level=1, rate_limited_until=500.0), round_of(now=500.0))
+    assert (h.rate_level, h.rate_ok_rounds) == (1, 1)
+    h = after(h, round_of(now=501.0))
+    assert (h.rate_level, h.rate_limited_until) == (0, None)
+    h = after(Health(rate_level=2, rate_ok_rounds=1, rate_limited_until=500.0), round_of(now=600.0))
+    assert (h.rate_level, h.rate_ok_rounds, h.rate_limited_until) == (1, 0, 600.0 + 1800)
+    h = after(Health(backoff_failures=2, backoff_skips=1), limited)
+    assert (h.backoff_failures, h.backoff_skips) == (2, 1)
+    h = after(Health(failure_level="suspect", failure_since=1.0, backoff_failures=3, backoff_skips=2), round_of())
+    assert (h.failure_level, h.failure_since, h.backoff_failures, h.backoff_skips, h.event) == ("none", None, 0, 0, None)
+    h = after(Health(backoff_failures=2), empty)
+    assert (h.backoff_failures, h.empty_rounds) == (0, 1)
+    h = after(Health(failure_level="suspect", failure_since=1.0, backoff_failures=3, backoff_skips=2), empty)
+    assert (h.failure_level, h.backoff_failures, h.backoff_skips) == ("suspect", 3, 2)
+    nothing = round_of(kind="search", inserted=0)
+    h = after(Health(), *[nothing] * 7)
+    assert (h.keyword_zero_rounds, h.keyword_rate_level, h.keyword_limited_until) == (7, 2, 3600.0)
+    assert after(h, round_of(kind="search")).keyword_limited_until is None and after(Health(), *[nothing | {"quota_blocked": True}] * 9).keyword_zero_rounds == 0
+    h = after(Health(), *[round_of(inserted=0)] * 12)
+    assert (h.zero_gain_rounds, h.zero_gain_level) == (0, 2) and after(h, round_of()).zero_gain_level == 0
+    assert after(Health(), *[round_of(inserted=0, not_modified=True)] * 12).zero_gain_level == 0
