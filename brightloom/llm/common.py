@@ -3,39 +3,19 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.storage import dealt, fresh_path, stored
+
+__all__ = ["dealt", "fresh_path", "stored", "Conflict", "Manifest", "ascii_lower", "ascii_strip", "only", "packed", "removed", "unpacked"]
+
 #: The characters of the class [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="brightloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, so a lost executor costs no earlier stage."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def file_system(spark: SparkSession, path: str):
     """The file system of a path, and the path as it takes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -116,15 +96,6 @@ def only(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*["`" + name.replace("`", "``") + "`" for name in columns])
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """docs over at least as many partitions as there are cores: a small file would else keep one core busy.
-
-    Tables of more partitions than cores, all large ones, stay as they are and are not shuffled.
-    """
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` where the text has no other capital letter, since it is much faster."""
     other = text.rlike(r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]")
