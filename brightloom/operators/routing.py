@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,25 +113,58 @@ def _origins(threshold: float):
     return run
 
 
-def semantic_duplicates(candidates: DataFrame, pool: DataFrame, threshold: float = DEFAULTS.semantic_dedup_threshold, part: int = PART) -> DataFrame:
+def hash_shape(n: int, threshold: float, recall: float, part: int) -> tuple[int, int]:
+    """(bits, tables) of sign hashes for n vectors: about ``part`` of them meet in a bucket, and a pair at the threshold
+    meets in some table with the probability ``recall``."""
+    bits = min(60, max(0, math.ceil(math.log2(max(1, n) / part))))
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    return bits, 1 if bits == 0 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def sign_keys(vec: Column, bits: int, tables: int, seed: int = 23) -> Column:
+    """A key for each table: the signs of the products with ``bits`` random hyperplanes."""
+    if bits == 0:
+        return F.array(*[F.lit(0).cast("long")] * tables)
+
+    @F.pandas_udf("array<long>")
+    def of(vectors: pd.Series) -> pd.Series:
+        keys: list = [None] * len(vectors)
+        for dim in {len(v) for v in vectors}:
+            planes = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+            at = [i for i, v in enumerate(vectors) if len(v) == dim]
+            signs = np.stack([vectors.iloc[i] for i in at]).astype(np.float64) @ planes > 0
+            for i, k in zip(at, signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)), strict=True):
+                keys[i] = k
+        return pd.Series(keys)
+
+    return of(vec)
+
+
+def semantic_duplicates(candidates: DataFrame, pool: DataFrame, threshold: float = DEFAULTS.semantic_dedup_threshold, part: int = PART, recall: float | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """(item_id, duplicate_of) of candidates that resemble another item of their direction.
 
     The origin is the smallest id j with cosine of at least the threshold, where j is no version of a page (guid with
     ``#v-``) and is either outside of the batch or an earlier candidate. A found duplicate can be an origin itself;
     nothing is closed transitively. Both tables have (item_id, direction, guid, vec). Directions are cut into parts
     of bounded size, and each task compares one part of candidates with one part of the pool as matrix products.
+
+    Without ``recall`` all parts of a direction meet, which is exact and quadratic. With it vectors meet only in equal
+    buckets of sign hashes (``hash_shape``, or the given ``shape``): cosines stay exact, and a pair at the threshold
+    is found with that probability, nearer ones more surely.
     """
+    bits, tables = (0, 1) if recall is None else shape or hash_shape(pool.groupBy("direction").count().agg(F.max("count")).first()[0] or 0, threshold, recall, part)
     batch = candidates.select("item_id", "direction", "vec")
     others = pool.join(candidates.select("item_id"), "item_id", "left_anti").withColumn("in_batch", F.lit(False))
     both = others.unionByName(candidates.withColumn("in_batch", F.lit(True)).select(*others.columns)).where(~F.contains(F.coalesce("guid", F.lit("")), F.lit("#v-")))
-    both = both.select("item_id", "direction", "vec", "in_batch").where("vec IS NOT NULL")
-    batch = batch.where("vec IS NOT NULL")
-    parts = lambda t, name: t.groupBy("direction").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
-    sizes = parts(batch, "na").join(parts(both, "nb"), "direction")
+    bucket = ["direction", "table", "key"]
+    keyed = lambda t, *more: t.where("vec IS NOT NULL").select("item_id", "direction", "vec", *more, F.posexplode(sign_keys(F.col("vec"), bits, tables)).alias("table", "key"))
+    both, batch = keyed(both, "in_batch"), keyed(batch)
+    parts = lambda t, name: t.groupBy(*bucket).agg(F.ceil(F.count("*") / part).cast("int").alias(name))
+    sizes = parts(batch, "na").join(parts(both, "nb"), bucket)
     place = lambda n: F.pmod(F.xxhash64("item_id"), F.col(n).cast("long")).cast("int")
-    left = batch.join(sizes, "direction").withColumn("a", place("na")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("item_id", "direction", "vec", "a", "b")
-    right = both.join(sizes, "direction").withColumn("b", place("nb")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).select("item_id", "direction", "vec", "in_batch", "a", "b")
-    keys = ["direction", "a", "b"]
+    left = batch.join(sizes, bucket).withColumn("a", place("na")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("item_id", *bucket, "vec", "a", "b")
+    right = both.join(sizes, bucket).withColumn("b", place("nb")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).select("item_id", *bucket, "vec", "in_batch", "a", "b")
+    keys = [*bucket, "a", "b"]
     right = right.select(*[F.col(c).alias(f"_{c}") for c in right.columns])  # the tables may be cut from one
     found = left.groupBy(*keys).cogroup(right.groupBy(*[f"_{c}" for c in keys])).applyInPandas(_origins(threshold), "item_id long, origin long")
     return found.groupBy("item_id").agg(F.min("origin").alias("duplicate_of"))

@@ -80,6 +80,20 @@ def test_semantic_duplicates_as_loop(spark):
     assert {r.item_id: r.duplicate_of for r in got.collect()} == want
 
 
+def test_semantic_duplicates_by_hashes(spark):
+    """With sign hashes, cut into small parts, nearly all of the exact result is found and nothing else."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((60, 16))
+    vectors = np.concatenate([base, *(base + rng.standard_normal(base.shape) * s for s in (0.05, 0.1, 0.2, 0.3))])
+    pool = spark.createDataFrame([(i, "d%d" % (i % 2), "g", v.tolist()) for i, v in enumerate(vectors)], "item_id long, direction string, guid string, vec array<double>")
+    exact = {r.item_id: r.duplicate_of for r in routing.semantic_duplicates(pool, pool).collect()}
+    got = {r.item_id: r.duplicate_of for r in routing.semantic_duplicates(pool, pool, part=9, recall=0.9999, shape=(4, 24)).collect()}
+    assert len(exact) > 100 and sum(got.get(i) == j for i, j in exact.items()) >= 0.99 * len(exact) and set(got) <= set(exact)
+    assert routing.hash_shape(100, 0.92, 0.9999, 4096) == (0, 1) and routing.hash_shape(4096 * 8, 0.92, 0.9999, 4096)[0] == 3
+
+
 def test_ranked_matches_as_loop(spark):
     rng = random.Random(4)
     vecs = [[rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(400)]
