@@ -233,8 +233,9 @@ def _nearest(k: int):
                 q = np.stack(rows["vec"].to_numpy()).astype(np.float64)
                 nq = _norms(q)
                 about = _units(q, nq) @ unit.T
-            others = ids if not len(at) else np.delete(ids, at) if len(at) < k else ids[:0]
-            for i, name in enumerate(rows["id"]):
+            others = np.sort(ids if not len(at) else np.delete(ids, at) if len(at) < k else ids[:0])
+            names, hits, all_sims = rows["id"].to_numpy(dtype=np.int64), [], []
+            for i in range(len(names)):
                 found, sims = np.zeros(0, dtype=np.int64), np.zeros(0)
                 if len(at):
                     # products of matrices differ in the last bits from sums in order: those near the k-th are summed again
@@ -243,9 +244,10 @@ def _nearest(k: int):
                     sims = np.divide(dots, norms, out=np.zeros(len(near)), where=norms > 0)
                     order = np.lexsort((ids[at[near]], -sims))[:k]
                     found, sims = ids[at[near]][order], sims[order]
-                rest = np.sort(others)[: k - len(found)]
-                sim = pd.Series([*sims, *[None] * len(rest)], dtype=object)
-                yield pd.DataFrame({"query_id": name, "item_id": np.concatenate((found, rest)), "sim": sim})
+                rest = others[: k - len(found)]
+                hits.append(np.concatenate((found, rest)))
+                all_sims.append(np.concatenate((sims, np.full(len(rest), np.nan))))  # becomes null
+            yield pd.DataFrame({"query_id": np.repeat(names, [len(x) for x in hits]), "item_id": np.concatenate(hits), "sim": np.concatenate(all_sims)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, parts, groups, ids = None, [], None, None
@@ -288,7 +290,7 @@ def ranked_matches(queries: DataFrame, vectors: DataFrame, k: int, shard_rows: i
     n = V.norm(F.col("vec"))
     dim = F.when(n < float("inf"), F.size("vec")).otherwise(-1).alias("dim")  # null and NaN are not below it
     shards = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // shard_rows))
-    side = lambda rows, name: rows.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("id"), dim, F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    side = lambda rows, name: rows.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("id"), dim, "vec")
     left = side(vectors, "item_id").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int")).withColumn("is_query", F.lit(0))
     right = side(queries, "query_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(1))
     placed = left.unionByName(right).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "is_query")
