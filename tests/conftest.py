@@ -19,7 +19,7 @@ def spark():
 
     where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC",
         "spark.sql.warehouse.dir": f"{where}/warehouse", "spark.local.dir": where, "spark.checkpoint.dir": f"file://{where}/shared",
     }
     session = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
