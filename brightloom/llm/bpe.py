@@ -15,7 +15,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,29 +202,34 @@ def with_token_ids(docs: DataFrame, path: str | None = None, pattern: str | None
     """
     shared = share(docs.sparkSession, path, pattern)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                ids = [codec.encode(x) for x in part["text"]]
-                decoded = [codec.decode(x) for x in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"], **{c: part[c] for c in keep}, "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": decoded})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = [codec.encode(x) for x in part.column("text").to_pylist()]
+                made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())]
+                own = ["doc_id", *keep]  # as Arrow columns: pandas would turn ids beside a null into floats
+                yield pa.RecordBatch.from_arrays([*map(part.column, own), *made], names=[*own, "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in keep])
-    return rows.mapInPandas(run, ", ".join(["doc_id long", *[f"{c} string" for c in keep], "n_tokens long, ids binary, decoded binary"]))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{c} string" for c in keep], "n_tokens long, ids binary, decoded binary"]))
 
 
 def decode_ids(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows with doc_id and ids; bytes that are no UTF-8 become the replacement character."""
+    """(doc_id, text) of rows with doc_id and ids; bytes that are no UTF-8 become the replacement character.
+
+    Defined cases: null ids give an empty text; a null doc_id stays null, and repeated ones stay apart.
+    """
     shared = share(rows.sparkSession, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [codec.decode(x or b"").decode("utf-8", "replace") for x in batch["ids"]]})
+            texts = [codec.decode(x or b"").decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -233,5 +238,6 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every text's ids, and the digest of what they decode to; cases as in ``with_token_ids``."""
     docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return with_token_ids(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
