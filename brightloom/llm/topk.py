@@ -7,7 +7,6 @@ k of the shard. The lists are merged in levels, FAN shards at a time, so no grou
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,32 +21,54 @@ K, SCALE, EVERY = 5, 256, 50
 SHARD_ROWS, QUERY_ROWS, FAN = 32_768, 512, 16
 #: Products of doubles are exact integers while sums stay below this.
 EXACT = float(2**53)
+#: Products of longs stay longs below this, with a margin for the rounding of the bound.
+LONGS = float(2**63 - 2**20)
 
 
 def quantised(vectors: pd.Series, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x) of every component, as long; cut to a size at which no inner product leaves the longs."""
-    rows = np.stack(vectors.to_numpy()).astype(np.float64)
-    most = float(math.isqrt((2**62) // rows.shape[1]))
-    return np.clip(np.floor(rows * float(scale)), -most, most).astype(np.int64)
+    """floor(scale * x) of every component, as doubles that hold whole numbers."""
+    return np.floor(np.stack(vectors.to_numpy()).astype(np.float64) * float(scale))
+
+
+def inner_products(block: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of the rows of both, as longs; one that leaves the longs is an error.
+
+    Doubles are exact while no sum can reach 2^53, longs while none can reach 2^63; other tiles use Python's integers.
+    """
+    most = float(np.abs(matrix).max(initial=0)) * float(np.abs(block).max(initial=0)) * matrix.shape[1]
+    if most < EXACT:
+        return (block @ matrix.T).astype(np.int64)
+    if most < LONGS:
+        return block.astype(np.int64) @ matrix.astype(np.int64).T
+    whole = [[[int(x) for x in row] for row in rows.tolist()] for rows in (block, matrix)]
+    scores = np.array(whole[0], dtype=object) @ np.array(whole[1], dtype=object).T
+    if scores.size and (scores.max() >= 2**63 or scores.min() < -(2**63)):
+        raise OverflowError("an inner product leaves the range of a long")
+    return scores.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, score) of the k best candidates of each row, ties to the smaller id; a row's own id is left out."""
-    rows, found_ids, found = [], [], []
+    """(row, id, score) of the k best candidates of each row, ties to the smaller id; a row's own id is left out.
+
+    ``ids`` ascend. The whole block is selected at once; only rows with more than k hits, by ties, are cut one by one.
+    """
     own = ids[None, :] == mine[:, None]
-    scores = np.where(own, np.iinfo(np.int64).min, scores)  # all rows of the own id, however many, go before the selection
-    for i in range(len(scores)):
-        line = scores[i]
-        if k < len(line):
-            floor = np.partition(line, len(line) - k)[len(line) - k]
-            at = np.flatnonzero((line >= floor) & ~own[i])
-        else:
-            at = np.flatnonzero(~own[i])
-        at = at[np.lexsort((ids[at], -line[at]))][:k]
-        rows.append(np.full(len(at), i))
-        found_ids.append(ids[at])
-        found.append(line[at])
-    return np.concatenate(rows), np.concatenate(found_ids), np.concatenate(found)
+    if own.any():  # all rows of the own id, however many, go before the selection
+        scores = np.where(own, np.iinfo(np.int64).min, scores)
+    if k < scores.shape[1]:
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    else:
+        floor = np.full(len(scores), np.iinfo(np.int64).min)
+    hits = (scores >= floor[:, None]) & ~own
+    for i in np.flatnonzero(hits.sum(axis=1) > k):
+        above = np.flatnonzero((scores[i] > floor[i]) & hits[i])
+        level = np.flatnonzero((scores[i] == floor[i]) & hits[i])[: k - len(above)]
+        hits[i] = False
+        hits[i, above] = hits[i, level] = True
+    row, at = np.nonzero(hits)
+    order = np.lexsort((ids[at], ~scores[row, at], row))
+    row, at = row[order], at[order]
+    return row, ids[at], scores[row, at]
 
 
 def _search(k: int, scale: int):
@@ -70,14 +91,12 @@ def _search(k: int, scale: int):
                     continue
                 if matrix is None:
                     ids, matrix = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    parts, top = [(ids, matrix)], float(np.abs(matrix).max(initial=0))
-                    doubles = matrix.astype(np.float64)
+                    order = np.argsort(ids, kind="stable")
+                    ids, matrix = ids[order], matrix[order]
+                    parts = [(ids, matrix)]
                 for at in range(0, len(numbers), QUERY_ROWS):
                     block, mine = numbers[at : at + QUERY_ROWS], rows["vec_id"].to_numpy(dtype=np.int64)[at : at + QUERY_ROWS]
-                    if top * float(np.abs(block).max(initial=0)) * dim < EXACT:
-                        scores = (block.astype(np.float64) @ doubles.T).astype(np.int64)
-                    else:
-                        scores = block @ matrix.T
+                    scores = inner_products(block, matrix)
                     row, vec, score = _best(scores, ids, mine, k)
                     yield pd.DataFrame({"query_id": mine[row], "shard": number, "vec_id": vec, "score": score})
 
@@ -90,16 +109,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     Both tables have (vec_id, embedding). Defined cases: rows with a null vec_id, and vectors that are null, empty or
     hold null or non-finite components, take no part on either side; a vector of another length is no candidate of a
     query. A row is no candidate of a query of its own vec_id. Rows that repeat a vec_id are candidates each; a
-    repeated query is answered once, for its smallest vector. Components beyond sqrt(2^62 / length) after scaling are
-    cut to that. Fewer than k candidates give fewer rows. Ties go to the smaller vec_id. Extra
-    columns are not read.
+    repeated query is answered once, for its smallest vector. Scores are exact to the ends of the long range; an inner
+    product beyond it is an error. Fewer than k candidates give fewer rows. Ties go to the smaller vec_id. Extra columns
+    are not read.
     """
     ok = F.col("vec_id").isNotNull() & finite(F.col("embedding"))
     pick = [F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.col("embedding").alias("q")]
     candidates = stored(vectors.where(ok).select(*pick), "candidates")
     n = candidates.count()
     shards = max(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-n // shard_rows))
-    left = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)).cast("int")).withColumn("is_query", F.lit(0))
+    left = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q", F.lit(3)), F.lit(shards)).cast("int")).withColumn("is_query", F.lit(0))
     asked = queries.where(ok).select(*pick).groupBy("vec_id").agg(F.min(F.struct("dim", "q")).alias("x")).select("vec_id", "x.dim", "x.q")
     right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("is_query", F.lit(1))
     placed = left.unionByName(right).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "is_query")
@@ -117,6 +136,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K best of every EVERY-th vector; cases as in ``top_k``."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(vectors, vectors.where(F.col("vec_id") % EVERY == 0))
 
