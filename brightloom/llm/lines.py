@@ -35,10 +35,20 @@ def line_hash(line: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, h1, h2): each distinct key of at least ``min_chars`` code points of each document."""
+    """(doc_id, mark, h1, h2, at, is_first): each line of each document whose key has at least ``min_chars`` code points,
+    by its place in the text. ``mark`` tells texts of one doc_id apart; of equal keys of a text one is the first.
+
+    A text's lines are sorted by hash, so that equal keys are neighbours: a long text costs n log n.
+    """
     lowered = F.split(F.coalesce(ascii_lower(F.col("text")), F.lit("")), "\n", -1)
-    long_enough = F.filter(lowered, lambda x: F.length(ascii_strip(x)) >= min_chars)
-    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(long_enough, line_hash))).alias("h")).select("doc_id", "h.h1", "h.h2")
+    placed = F.transform(lowered, lambda x, i: F.struct(F.when(F.length(ascii_strip(x)) >= min_chars, line_hash(x)).alias("h"), i.alias("at")))
+    rows = docs.select("doc_id", text_mark(F.col("text")), F.sort_array(F.filter(placed, lambda x: x["h"].isNotNull())).alias("lines"))
+    marked = F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), x["at"].alias("at"), (~x["h"].eqNullSafe(F.get("lines", i - 1)["h"])).alias("is_first")))
+    return rows.select("doc_id", "mark", F.explode(marked).alias("x")).select("doc_id", "mark", "x.h.h1", "x.h.h2", "x.at", "x.is_first")
+
+
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(text).alias("mark")
 
 
 class LineRuns:
@@ -166,7 +176,7 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, drops): for each document that loses lines, the hashes of the lines it loses.
+    """(doc_id, mark, drops): for each text that loses lines, the places of those lines in ascending order.
 
     A key of at least ``min_chars`` code points held by at least ``min_docs`` documents stays only in the largest
     doc_id that holds it. The lines of all documents go through ``LineRuns`` in ``batches`` batches.
@@ -175,18 +185,25 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     path = fresh_path(spark, "document-lines")
     document_lines(docs, min_chars).select("*", batch).write.partitionBy("batch").parquet(path)
-    lines = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
+    lines = spark.read.schema("doc_id long, mark long, h1 long, h2 long, at int, is_first boolean, batch int").parquet(path)
     runs = LineRuns(spark)
     for n in range(batches):
-        runs.add(f"batch-{n}", lines.where(F.col("batch") == n).drop("batch"))
+        runs.add(f"batch-{n}", lines.where((F.col("batch") == n) & F.col("is_first")).select("doc_id", "h1", "h2"))
     common = stored(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc"), "common-lines")
     runs.drop()
     lost = lines.join(common, ["h1", "h2"]).where("doc_id < max_doc")
-    drops = stored(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops")), "dropped-lines")
+    drops = stored(lost.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("at")).alias("drops")), "dropped-lines")
     removed(spark, path)
     return drops
 
 
+def without_lines(lines: Column, drops: Column) -> Column:
+    """``lines`` without those at the ascending places ``drops``: the stretches between them, one behind the other."""
+    start = lambda j: F.coalesce(F.get(drops, j - 1) + 1, F.lit(0))
+    stretch = lambda j: F.slice(lines, start(j) + 1, F.coalesce(F.get(drops, j), F.size(lines)) - start(j))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), stretch))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """The documents, with all their columns, without their repeated lines; text_n_lines and text_n_dropped are added.
 
@@ -199,18 +216,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     drops = dropped_lines(docs.select(own, F.col("text").cast("string").alias("text")), min_chars, min_docs, batches)
     text = F.col("row").getField("text").cast("string")  # not a column beside the row: the join would shuffle it twice
     lines, loses = text_lines(text), F.col("drops").isNotNull()
-    lowered = F.split(F.coalesce(ascii_lower(text), F.lit("")), "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("drops"), line_hash(F.get(F.col("lowered"), i))) | (F.length(ascii_strip(line)) < min_chars))
     # the same join at every size: a broadcast of few drops would spare the shuffle in small tables only
-    found = packed(docs, own).join(drops.hint("merge"), "doc_id", "left").withColumn("lowered", F.when(loses, lowered)).withColumn("kept", F.when(loses, kept))
+    found = packed(docs, own, text_mark(F.col("text").cast("string"))).join(drops.hint("merge"), ["doc_id", "mark"], "left")
+    found = found.withColumn("lines", F.when(loses, lines)).withColumn("kept", F.when(loses, without_lines(F.col("lines"), F.col("drops"))))
     n_lines = F.size(lines).cast("long")
     return unpacked(
         found, docs, text=F.when(loses, F.array_join("kept", "\n")).otherwise(text),
-        text_n_lines=n_lines, text_n_dropped=F.when(loses, n_lines - F.size("kept")).otherwise(F.lit(0)).cast("long"),
+        text_n_lines=n_lines, text_n_dropped=F.when(loses, F.size("drops")).otherwise(F.lit(0)).cast("long"),
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, lost lines and the digest of what stays of every text; cases as in ``dedup_lines``."""
     docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = dedup_lines(docs)
     return out.select("doc_id", F.col("text_n_lines").alias("n_lines"), F.col("text_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
