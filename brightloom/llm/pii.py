@@ -50,6 +50,11 @@ DAYS = 73_049
 FIRST_DAY = "1900-01-01"
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _noise(key: str, kind: str, turn: Column, value: Column) -> Column:
     """A number of 60 bits from the key, the kind, the round and the other half."""
     digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), turn.cast("string"), value.cast("string")), 256)
@@ -81,9 +86,9 @@ def feistel_text(text: Column, key: str, kind: str) -> Column:
 
     def step(acc: Column, turn: Column) -> Column:
         stream = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), turn.cast("string"), acc["r"]), 512)
-        number = lambda i: F.conv(F.substr(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        number = lambda s, i: F.conv(F.substr(s, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
         chars = F.filter(F.split(acc["l"], ""), lambda c: c != "")
-        added = F.array_join(F.transform(chars, lambda c, i: _shifted(c, number(i))), "")
+        added = F.array_join(_once(stream, lambda s: F.transform(chars, lambda c, i: _shifted(c, number(s, i)))), "")
         return F.struct(acc["r"].alias("l"), added.alias("r"))
 
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1).alias("r"))
@@ -115,14 +120,14 @@ def _refilled(shape: Column, chars: Column, slot: str) -> Column:
     pieces = F.filter(F.split(shape, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def step(acc: Column, c: Column) -> Column:
+    def step(made: Column, acc: Column, c: Column) -> Column:
         takes = c.rlike(slot)
         return F.struct(
-            F.concat(acc["out"], F.when(takes, F.substr(chars, acc["at"], F.lit(1))).otherwise(c)).alias("out"),
+            F.concat(acc["out"], F.when(takes, F.substr(made, acc["at"], F.lit(1))).otherwise(c)).alias("out"),
             (acc["at"] + takes.cast("int")).alias("at"),
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return _once(chars, lambda made: F.aggregate(pieces, start, lambda acc, c: step(made, acc, c), lambda acc: acc["out"]))
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
@@ -132,9 +137,9 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
 
 def _iban(m: Column, key: str) -> tuple[Column, Column]:
     plain = F.replace(m, F.lit(" "), F.lit(""))
-    account = feistel_text(F.substr(plain, F.lit(5)), key, "iban")
-    open_ = F.concat(F.substr(plain, F.lit(1), F.lit(2)), F.lit("00"), account)
-    made = F.concat(F.substr(plain, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(open_)).cast("string"), 2, "0"), account)
+    country = F.substr(plain, F.lit(1), F.lit(2))
+    checked = lambda account: F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
+    made = _once(feistel_text(F.substr(plain, F.lit(5)), key, "iban"), checked)
     return (F.length(plain).between(15, 34)) & (_mod97(plain) == 1), _refilled(m, made, "[A-Z0-9]")
 
 
@@ -142,18 +147,20 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
     digits = _digits(m)
     n = F.length(digits)
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel_text(F.substr(digits, F.lit(2), n - 2), key, "card"))
-    made = F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string"))
+    made = _once(body, lambda body: F.concat(body, ((10 - _luhn_sum(body, 0) % 10) % 10).cast("string")))
     return n.between(13, 19) & (_luhn_sum(digits, 1) % 10 == 0) & ~digits.rlike("^0+$"), _refilled(m, made, "[0-9]")
 
 
+def _area(p: Column) -> Column:
+    return F.floor(p["l"] / 99)
+
+
 def _ssn(m: Column, key: str) -> tuple[Column, Column]:
     area, group, serial = (F.split(m, "-")[i].cast("int") for i in range(3))
     ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = F.when(area > 666, area - 2).otherwise(area - 1)  # 0..897
     p = feistel_pair(place * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
-    new = F.floor(p["l"] / 99)
-    made = F.format_string("%03d-%02d-%04d", F.when(new >= 665, new + 2).otherwise(new + 1), p["l"] % 99 + 1, p["r"] + 1)
-    return ok, made
+    return ok, _once(p, lambda p: F.format_string("%03d-%02d-%04d", F.when(_area(p) >= 665, _area(p) + 2).otherwise(_area(p) + 1), p["l"] % 99 + 1, p["r"] + 1))
 
 
 def _date(m: Column, key: str) -> tuple[Column, Column]:
@@ -165,24 +172,27 @@ def _date(m: Column, key: str) -> tuple[Column, Column]:
     as_date = F.call_function("try_to_date", F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd"))
     number = F.datediff(as_date, F.lit(FIRST_DAY).cast("date"))
     p = feistel_pair(F.floor(number / 229), number % 229, 319, 229, key, "date")
-    made = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * 229 + p["r"]).cast("int")), "yyyy-MM-dd")
-    y, mo, d = F.substring(made, 1, 4), F.substring(made, 6, 2), F.substring(made, 9, 2)
-    shown = F.when(pattern == "yyyy-MM-dd", made).when(pattern == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
-    return F.coalesce(number.between(0, DAYS - 1), F.lit(False)), shown
+    made = _once(p, lambda p: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * 229 + p["r"]).cast("int")), "yyyy-MM-dd"))
+
+    def shown(made: Column) -> Column:
+        y, mo, d = F.substring(made, 1, 4), F.substring(made, 6, 2), F.substring(made, 9, 2)
+        return F.when(pattern == "yyyy-MM-dd", made).when(pattern == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
+
+    return F.coalesce(number.between(0, DAYS - 1), F.lit(False)), _once(made, shown)
 
 
 def _ipv4(m: Column, key: str) -> tuple[Column, Column]:
     o = [F.split(m, r"\.")[i].cast("int") for i in range(4)]
     p = feistel_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")
-    made = F.concat_ws(".", *[x.cast("string") for h in (p["l"], p["r"]) for x in (F.floor(h / 256), h % 256)])
-    return F.greatest(*o) <= 255, made
+    return F.greatest(*o) <= 255, _once(p, lambda p: F.concat_ws(".", *[x.cast("string") for h in (p["l"], p["r"]) for x in (F.floor(h / 256), h % 256)]))
 
 
 def _phone(m: Column, key: str) -> tuple[Column, Column]:
     digits = F.right(_digits(m), F.lit(10))
     area, exchange, line = F.substring(digits, 1, 3).cast("int"), F.substring(digits, 4, 3).cast("int"), F.substring(digits, 7, 4).cast("int")
     p = feistel_pair((area - 200) * 800 + exchange - 200, line, 640_000, 10_000, key, "phone")
-    made = F.concat(F.when(F.length(_digits(m)) == 11, "1").otherwise(""), F.format_string("%03d%03d%04d", F.floor(p["l"] / 800) + 200, p["l"] % 800 + 200, p["r"]))
+    plan = _once(p, lambda p: F.format_string("%03d%03d%04d", F.floor(p["l"] / 800) + 200, p["l"] % 800 + 200, p["r"]))
+    made = F.concat(F.when(F.length(_digits(m)) == 11, "1").otherwise(""), plan)
     return (area >= 200) & (exchange >= 200), _refilled(m, made, "[0-9]")
 
 
@@ -197,31 +207,61 @@ _RULES: dict[str, Callable[[Column, str], tuple[Column, Column]]] = {"email": _e
 
 def pseudonym(match: Column, key: str = KEY) -> Column:
     """struct(kind, made): kind is null, and made the match itself, if no validation holds."""
-    kind, made = F.lit(None).cast("string"), match
+    out = F.struct(F.lit(None).cast("string").alias("kind"), match.alias("made"))
     for name in reversed(list(_RULES)):
         ok, value = _RULES[name](match, key)
-        fits = match.rlike(f"^(?:{KINDS[name]})$")
-        kind, made = F.when(fits & ok, name).otherwise(kind), F.when(fits & ok, value).otherwise(made)
-    return F.struct(kind.alias("kind"), made.alias("made"))
+        out = F.when(match.rlike(f"^(?:{KINDS[name]})$") & ok, F.struct(F.lit(name).alias("kind"), value.alias("made"))).otherwise(out)
+    return out
+
+
+#: Where a value of any kind can begin.
+BEGINS = "|".join(f"(?:{STRETCHES.get(name, shape)})".replace("sep>", f"{name}>") for name, shape in KINDS.items())
+
 
+def _longest(stretch: Column, name: str, key: str) -> Column:
+    """The longest part of a stretch, up to a border of its groups, that validates; null if none does."""
+    good = lambda m: m.rlike(f"^(?:{KINDS[name]})$") & _RULES[name](m, key)[0]
+    if name not in STRETCHES:
+        return F.when(good(stretch), stretch)
+    ends = F.filter(F.sequence(F.length(stretch), F.lit(8), F.lit(-1)), lambda n: F.substr(stretch, n + 1, F.lit(1)).rlike("^[ .-]?$"))
+    return F.get(F.filter(F.transform(ends, lambda n: F.substr(stretch, F.lit(1), n)), good), 0)
+
+
+def _values(text: Column, key: str) -> Column:
+    """For each place of a text where a value of some kind can begin, in order: the value that counts there, or null.
+
+    One scan a kind; all scans stop at the same places, so that their results lie side by side.
+    """
+    at_place = lambda shape: F.regexp_extract_all(text, F.lit(f"(?=({shape})|)(?={BEGINS})"), F.lit(1))
+    found = F.arrays_zip(*[at_place(STRETCHES.get(name, shape)).alias(name) for name, shape in KINDS.items()])
+    valid = lambda m, name: F.when(m != "", m if name == "email" else _longest(m, name, key))
+    return F.transform(found, lambda x: F.coalesce(*[valid(x[name], name) for name in KINDS]))
+
+
+def _taken(pieces: Column, values: Column) -> Column:
+    """For each piece, a stretch of text from one such place to the next: whether its value is taken, which is so unless
+    an earlier taken one covers its place, and how many of the piece's characters are covered.
+
+    A recurrence along the text. It goes by blocks of the square root of the number of pieces, since adding to an array
+    copies it.
+    """
+    n = F.size(pieces)
+    block = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    none = F.array().cast("array<struct<taken:boolean,covered:int>>")
 
-def _valid(text: Column, name: str, key: str) -> Column:
-    """The distinct values of a kind that validate, wherever one begins, also within what fails; the longest first."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({STRETCHES.get(name, KINDS[name])}))"), F.lit(1)))
-    if name in STRETCHES:
-        ends = lambda m: F.filter(F.sequence(F.lit(8), F.length(m)), lambda n: F.substr(m, n + 1, F.lit(1)).rlike("^[ .-]?$"))
-        found = F.array_distinct(F.flatten(F.transform(found, lambda m: F.transform(ends(m), lambda n: F.substr(m, F.lit(1), n)))))
-    good = F.filter(found, lambda m: m.rlike(f"^(?:{KINDS[name]})$") & _RULES[name](m, key)[0])
-    return F.transform(F.array_sort(F.transform(good, lambda m: F.struct((-F.length(m)).alias("n"), m.alias("m")))), lambda x: x["m"])
+    def step(acc: Column, i: Column) -> Column:
+        size, own = F.length(F.get(pieces, i)), F.coalesce(F.length(F.get(values, i)), F.lit(0))
+        taken = (acc["open"] == 0) & (own > 0)
+        open_ = F.when(taken, own).otherwise(acc["open"])
+        return F.struct(F.greatest(open_ - size, F.lit(0)).alias("open"), F.concat(acc["out"], F.array(F.struct(taken.alias("taken"), F.least(open_, size).alias("covered")))).alias("out"))
 
+    def blocks(acc: Column, b: Column) -> Column:
+        places = F.sequence(b * block, F.least((b + 1) * block, n) - 1)
+        part = F.aggregate(places, F.struct(acc["open"].alias("open"), none.alias("out")), step)
+        return F.transform(F.array(part), lambda p: F.struct(p["open"].alias("open"), F.concat(acc["out"], p["out"]).alias("out")))[0]
 
-def _pattern(text: Column, key: str) -> Column:
-    """A pattern that finds the mail addresses and the valid values of a text, and nothing that fails its validation."""
-    kinds = [F.lit(EMAIL)]
-    for name, (before, after) in BORDERS.items():
-        quoted = F.transform(_valid(text, name, key), lambda v: F.concat(F.lit(r"\Q"), v, F.lit(r"\E")))
-        kinds.append(F.when(F.size(quoted) > 0, F.concat(F.lit(before + "(?:"), F.array_join(quoted, "|"), F.lit(")" + after))))
-    return F.concat_ws("|", *kinds)
+    start = F.struct(F.lit(0).alias("open"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), start, blocks, lambda acc: acc["out"])
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -234,14 +274,22 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     their names; a column named pii_kinds is replaced. An empty table gives an empty table.
     """
     text = F.col("text")
-    parts = packed(docs, text.cast("string").alias("text")).withColumn("any", F.when(text.rlike("[0-9@]"), _pattern(text, key)))
-    parts = parts.withColumn("found", F.transform(F.regexp_extract_all(text, F.col("any"), F.lit(0)), lambda m: pseudonym(m, key)))
-    between = F.split(text, F.col("any"), -1)
-    glued = F.array_join(F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("found"), i)["made"], F.lit("")))), "")
+    some = text.rlike("[0-9@]") & text.rlike(BEGINS)
+    parts = packed(docs, text.cast("string").alias("text")).withColumn("pieces", F.when(some, F.split(text, f"(?={BEGINS})", -1)))
+    parts = parts.withColumn("values", F.when(some, _values(text, key)))
+    # a text that begins with a value has no piece before the first place
+    ahead = F.when(F.size("pieces") > F.size("values"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    parts = parts.withColumn("values", F.concat(ahead, "values"))
+    parts = parts.withColumn("taken", F.when(F.exists("values", lambda v: v.isNotNull()), _taken(F.col("pieces"), F.col("values"))))
+    made = F.transform("values", lambda v, i: F.when(F.get("taken", i)["taken"], pseudonym(v, key)))
+    parts = parts.withColumn("found", F.when(F.col("taken").isNotNull(), made))
+    rest = lambda piece, i: F.substr(piece, F.get("taken", i)["covered"] + 1)
+    glued = F.array_join(F.transform("pieces", lambda piece, i: F.concat(F.coalesce(F.get("found", i)["made"], F.lit("")), rest(piece, i))), "")
     kinds = F.filter(F.transform("found", lambda x: x["kind"]), lambda x: x.isNotNull())
-    return unpacked(parts, docs, text=F.when(F.size("found") > 0, glued).otherwise(text), pii_kinds=F.coalesce(kinds, F.array().cast("array<string>")))
+    return unpacked(parts, docs, text=F.when(F.col("taken").isNotNull(), glued).otherwise(text), pii_kinds=F.coalesce(kinds, F.array().cast("array<string>")))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its values replaced, and the kinds found; cases as in ``pseudonymised``."""
     docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return pseudonymised(docs).select("doc_id", F.size("pii_kinds").cast("long").alias("n_pii"), F.array_join("pii_kinds", ",").alias("pii_kinds"), "text")
