@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -146,6 +147,83 @@ def test_bpe_repeated_ids(spark):
     assert sorted((str(r.doc_id), r.decoded.decode(), r.n_tokens) for r in out) == sorted((str(i), t or "", len(codec.encode_ordinary(t or ""))) for i, t in rows)
 
 
+def test_decode_ids_beside_nulls(spark):
+    rows = [(2**60 + 1, "Grüße, 世界"), (None, "no id"), (7, None), (2**60 + 1, "")]
+    coded = bpe.with_token_ids(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    out = bpe.decode_ids(coded.select("doc_id", F.when(F.col("doc_id") == 7, None).otherwise(F.col("ids")).alias("ids"))).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
+
+
+# ---- hot buckets and long texts ----
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins as in large tables: none broadcast, and skew found from a few kB on."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "20"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def final_plan(frame):
+    frame.write.format("noop").mode("overwrite").save()
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_hot_bucket_is_split(spark, no_broadcast):
+    """A bucket with half of the rows: the join with the bucket sizes is a skew join, and any two rows meet."""
+    from brightloom.llm.tiles import tiled
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id") % 5000).alias("key"), F.col("id").alias("spread"), F.sha2(F.col("id").cast("string"), 256).alias("load"))
+    out = tiled(rows.repartition(8), ["key"], "spread", 4000)
+    assert "SortMergeJoin(skew=true)" in final_plan(out)
+    hot = out.where("key = -1").groupBy("left_chunk", "right_chunk").count().collect()
+    chunks = 1 + max(r.right_chunk for r in hot)
+    assert chunks == 5 and len(hot) == chunks * (chunks + 1) // 2 and max(r["count"] for r in hot) < 9600
+
+
+def test_simhash_and_embeddings_without_broadcast(spark, no_broadcast):
+    texts = [f"some words of a text number {i % 3} that repeats" for i in range(60)] + [f"all other words {i} here {i * 7}" for i in range(20)]
+    prints = [slow_print(t) for t in texts]
+    root = groups(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if bin(prints[i] ^ prints[j]).count("1") <= 2])
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(docs_of(spark, texts)).where("doc_id IS NOT NULL").collect()} == dict(enumerate(root))
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([np.repeat(rng.standard_normal((1, 8)), 300, axis=0) + rng.standard_normal((300, 8)) * 0.03, rng.standard_normal((40, 8))])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    unit = vectors.astype(np.float32).astype(np.float64)
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    near = unit @ unit.T >= 0.93
+    assert {r.vec_id: r.n_links for r in embeddings.near_vectors(table).collect()} == {i: int(near[i].sum()) - 1 for i in range(len(vectors))}
+
+
+def test_lines_of_a_very_long_text(spark):
+    """100,000 lost lines in each of five texts, in linear time."""
+    common = [f"line number {i:07d} which five documents hold in common" for i in range(50_000)]
+    texts = ["\n".join(x for line in common for x in (line, line.upper(), f"own {d}"[: d % 2 * 9])) for d in range(5)]
+    began = time.monotonic()
+    out = {r.doc_id: r for r in lines.dedup_lines(docs_of(spark, texts)).where("doc_id IS NOT NULL").collect()}
+    assert time.monotonic() - began < 120
+    for d in range(5):
+        assert out[d].text_n_lines == 150_000 and out[d].text_n_dropped == (0 if d == 4 else 100_000)
+        assert out[d].text == (texts[d] if d == 4 else "\n".join(f"own {d}"[: d % 2 * 9] for _ in common))
+
+
+def test_pii_of_a_very_long_text(spark):
+    """100,000 values in one text, in linear time, equal to the same values in short texts."""
+    value = lambda i: f"card 4111 1111 1111 1111, born {1 + i % 28:02d}.{1 + i % 12:02d}.{1900 + i % 180}, host 10.{i % 256}.{i // 256 % 256}.7"
+    parts = [value(i) for i in range(33_400)]
+    began = time.monotonic()
+    whole = pii.pseudonymised(docs_of(spark, ["; ".join(parts)])).where("doc_id = 0").first()
+    assert time.monotonic() - began < 120
+    few = {r.doc_id: r.text for r in pii.pseudonymised(docs_of(spark, parts[:400])).where("doc_id IS NOT NULL").collect()}
+    assert len(whole.pii_kinds) == 100_200 and whole.text.split("; ")[:400] == [few[i] for i in range(400)]
+
+
 # ---- language ID ----
 
 
@@ -373,18 +451,43 @@ def test_embedding_recall(spark, monkeypatch, bits, tile):
     assert all(got[i] <= near[i].sum() for i in range(len(vectors))) and found >= 0.999 * all_links > 20000, (found, all_links)
 
 
+def best_of(rows, asked, mine, k=5):
+    """(score, vec_id) of the k best candidates, in Python's integers."""
+    q = [math.floor(256 * x) for x in asked]
+    scored = [(-sum(math.floor(256 * x) * b for x, b in zip(v, q, strict=True)), i) for i, v in rows if i is not None and i != mine and len(v) == len(q)]
+    return [(-s, i) for s, i in sorted(scored)[:k]]
+
+
 def test_topk_repeated_rows(spark):
     rng = np.random.default_rng(2)
     vectors = np.round(rng.standard_normal((80, 5)), 1)
-    rows = [(i % 40, v.tolist()) for i, v in enumerate(vectors)] + [(None, [1.0] * 5), (41, [1e30] * 5), (42, [1.0, 2.0])]
+    rows = [(i % 40, v.tolist()) for i, v in enumerate(vectors)] + [(None, [1.0] * 5), (42, [1.0, 2.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    most = math.isqrt(2**62 // 5)
-    q = [(i, [max(-most, min(most, math.floor(256 * x))) for x in v]) for i, v in rows if i is not None and len(v) == 5]
-    asked = min(v for i, v in rows if i == 3)
-    mine = [math.floor(256 * x) for x in asked]
-    want = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in q if i != 3)[:5]
     got = topk.top_k(table, table.where("vec_id = 3"), shard_rows=7).orderBy("rank").collect()
-    assert [(-r.score, r.vec_id) for r in got] == want and [r.rank for r in got] == [1, 2, 3, 4, 5]
+    assert [(r.score, r.vec_id) for r in got] == best_of(rows, min(v for i, v in rows if i == 3), 3) and [r.rank for r in got] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("size", [2e4, 2e5, 1.4e6])
+def test_topk_large_components(spark, size):
+    """Scores beyond the exact doubles, up to the end of the longs: 2^53 < 64 * (256 * size)^2 < 2^63, sums included."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.floor(v * size * 256) / 256 + 1 / 512).tolist()) for i, v in enumerate(rng.uniform(-1, 1, (60, 64)))] + [(90, [size] * 64), (91, [size - 1 / 256] * 64), (92, [size] * 63 + [-size])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(table, table.where("vec_id IN (3, 90)"), shard_rows=11).orderBy("query_id", "rank").collect()
+    for mine in (3, 90):
+        assert [(r.score, r.vec_id) for r in got if r.query_id == mine] == best_of(rows, dict(rows)[mine], mine)
+
+
+def test_topk_tiers():
+    exact = lambda a, b: [[sum(map(int.__mul__, map(int, x), map(int, y))) for y in b] for x in a]
+    big = [[2.0**40, 3.0, -(2.0**31)], [2.0**22, 2.0**22, 1.0], [1.0, -1.0, 2.0**31]]
+    small = [[2.0**22, 1.0, 5.0], [-(2.0**22), 7.0, 1.0]]
+    for a, b in ((small, small), (big, small), (small, big)):
+        assert topk.inner_products(np.array(a), np.array(b)).tolist() == exact(a, b)
+    edge = [[2.0**62, 2.0**62, 1.0]]
+    assert topk.inner_products(np.array(edge), np.array([[1.0, 0.0, -7.0], [-1.0, -1.0, 0.0]])).tolist() == [[2**62 - 7, -(2**63)]]
+    with pytest.raises(OverflowError):
+        topk.inner_products(np.array(edge), np.array([[1.0, 1.0, 0.0]]))
 
 
 def test_embeddings_repeated_ids(spark):
