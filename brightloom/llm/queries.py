@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from brightloom.llm import bpe, chat, embeddings, langid, lines, mixing, pii, simhash, token_counts, topk
+from brightloom.llm import bpe, chat, embeddings, langid, lines, merkle, mixing, periods, pii, simhash, token_counts, topk
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_topk": topk.op9_topk,
     "op10_chat": chat.op10_chat,
+    "op12_periods": periods.op12_periods,
+    "op13_merkle": merkle.op13_merkle,
     "llm_token_counts_words": token_counts.token_counts_words,
 }
 
@@ -23,5 +25,6 @@ ORACLE_SQL = {
     "op7_embedding_dedup": embeddings.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op13_merkle": merkle.OP13_SQL,
     "llm_token_counts_words": token_counts.WORDS_SQL,
 }
