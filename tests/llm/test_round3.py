@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.llm import merkle, periods
+from brightloom.llm import merkle, passages, periods
 from tests.llm.test_cases import clashing, kept_whole
 from tests.llm.test_llm import DOCS, docs_of
 from tests.oracle import duck, same
@@ -203,3 +203,107 @@ def test_manifest_is_numbered_over_ranges(spark):
     for g in "ab":
         mine = [r for r in got if r.group == g]
         assert [r.place for r in sorted(mine, key=lambda r: r.order)] == list(range(len(mine))) and {r.total for r in mine} == {len(mine)}
+
+
+# ---- repeated passages ----
+
+
+def slow_words(text):
+    return [w for w in (text or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]
+
+
+def slow_passages(rows, width=50):
+    """(n_words, n_removed, kept words) of each row."""
+    texts, origin = [slow_words(t) for _, t in rows], {}
+    for (doc, _), words in zip(rows, texts, strict=True):
+        for i in range(len(words) - width + 1) if doc is not None else ():
+            k = tuple(words[i : i + width])
+            origin[k] = min(origin.get(k, doc), doc)
+    out = []
+    for (doc, _), words in zip(rows, texts, strict=True):
+        gone = {j for i in range(len(words) - width + 1) if doc is not None and origin[tuple(words[i : i + width])] < doc for j in range(i, i + width)}
+        out.append((doc, len(words), len(gone), " ".join(w for j, w in enumerate(words) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def passage_rows(seed, width, n=60):
+    rng, texts = random.Random(seed), []
+    for _ in range(n):
+        k = rng.choice([1, 2, 3, 30, 5000])
+        words = [f"w{rng.randrange(k)}é" for _ in range(rng.randint(0, 4 * width))]
+        for _ in range(rng.randint(0, 3)):
+            other = rng.choice(texts) if texts else []
+            a = rng.randrange(len(other) + 1)
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = other[a : a + rng.randint(1, 3 * width)] if rng.random() < 0.8 else ["w0é"] * rng.randint(1, 2 * width)
+        texts.append(words if rng.random() < 0.8 or not texts else list(rng.choice(texts)))
+    return [(i, rng.choice([" ", "  ", "\n"]).join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("seed", "width"), [(1, 50), (2, 50), (3, 12), (4, 5), (5, 1)])
+def test_passages_as_brute_force(spark, seed, width):
+    rows = passage_rows(seed, width)
+    rng = random.Random(seed)
+    rng.shuffle(rows)
+    rows += [(None, rows[0][1]), (None, rows[1][1]), (7, rows[5][1]), (7, rows[5][1]), (2**60 + 1, rows[6][1]), (90, None), (91, ""), (92, " \n ")]
+    out = passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), width).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, " ".join(slow_words(r.text))) for r in out), key=str) == slow_passages(rows, width)
+    assert sum(r.n_removed > 0 for r in out) > 5
+    texts = {i: t for i, t in rows}
+    assert all(r.text == texts[r.doc_id] for r in out if r.n_removed == 0 and r.doc_id not in (None, 7))
+
+
+@pytest.mark.parametrize("width", [1, 7, 50])
+def test_anchors_follow_from_the_window(width):
+    """Equal windows have equal anchors, whatever surrounds them."""
+    for seed in range(40):
+        hashes = passages.WordHashes(1)
+        pieces = [p for p in (hashes.of(passages.words_of(t)) for _, t in passage_rows(seed, width, 8)) if len(p) >= width]
+        sizes = np.array([len(p) for p in pieces])
+        words, first, owner = np.concatenate(pieces), np.zeros(sizes.sum(), dtype=bool), np.repeat(np.arange(len(pieces)), sizes - width + 1)
+        first[np.cumsum(sizes) - sizes] = True
+        windows = np.arange(len(owner)) + owner * (width - 1)
+        keys, who = passages.anchors(words, first, windows, width)
+        seen = {}
+        assert (who >= 0).all() and all(seen.setdefault(words[w : w + width].tobytes(), k) == k for w, k in zip(windows.tolist(), keys.tolist(), strict=True))
+
+
+def test_passages_cut_texts(spark, monkeypatch):
+    """Texts that are looked at in several stretches; the small stretch is set in this process and tested in it."""
+    monkeypatch.setattr(passages, "STRETCH", 64)
+    import pyarrow as pa
+
+    rows = passage_rows(9, 20, 20)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "mark": [0] * len(rows), "text": [t for _, t in rows]})
+    found = [r for out in passages._anchor_rows(20)(iter([batch])) for r in out.to_pylist()]
+    for i, t in rows:
+        covered = sorted(w for r in found if r["doc_id"] == i for w in range(r["first"], r["last"] + 1))
+        assert covered == list(range(max(0, len(slow_words(t)) - 19)))
+    whole = {}
+    for r in found:
+        words = slow_words(rows[r["doc_id"]][1])
+        for w in range(r["first"], r["last"] + 1):
+            assert whole.setdefault(tuple(words[w : w + 20]), r["key"]) == r["key"]
+
+
+def test_passages_hot_passage_and_long_text(spark):
+    """A passage in half of the documents, copies by the thousand, and a text of 400,000 words that repeats itself and another."""
+    rng = random.Random(6)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, f"a{i} " * 3 + common + f" z{i}" * 3) for i in range(500)] + [(1000 + i, " ".join(f"k{j}" for j in range(90))) for i in range(1500)]
+    long_words = [f"q{rng.randrange(9000)}" for _ in range(399_000)]
+    rows += [(5000, " ".join(long_words)), (5001, " ".join([*long_words[100_000:300_000], *(["x"] * 1000), *long_words[:30]]))]
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in passages.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed").collect()}
+    assert out[0] == (66, 0) and all(out[i] == (66, 60) for i in range(1, 500))
+    assert out[1000] == (90, 0) and all(out[i] == (90, 90) for i in range(1001, 2500))
+    assert out[5000] == (399_000, 0) and out[5001] == (201_030, 200_000)
+
+
+def test_passages_odd_tables(spark):
+    docs = clashing(spark, ["one two three " * 30, None, "", "one two three " * 30])
+    kept_whole(passages.deduplicated(docs), docs)
+    assert passages.deduplicated(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_op11_sql(spark):
+    same(passages.op11_passages(spark, "/root/testdata/sf0.01"), duck("/root/testdata/sf0.01"), passages.OP11_SQL)
