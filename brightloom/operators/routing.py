@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
 from brightloom.functions import vectors as V
+from brightloom.operators import similarity
 from brightloom.operators.evaluation import ranked
 
 #: Rows of a direction that one task compares with another such part.
@@ -148,10 +149,16 @@ def semantic_duplicates(candidates: DataFrame, pool: DataFrame, threshold: float
     nothing is closed transitively. Both tables have (item_id, direction, guid, vec). Directions are cut into parts
     of bounded size, and each task compares one part of candidates with one part of the pool as matrix products.
 
-    Without ``recall`` all parts of a direction meet, which is exact and quadratic. With it vectors meet only in equal
-    buckets of sign hashes (``hash_shape``, or the given ``shape``): cosines stay exact, and a pair at the threshold
-    is found with that probability, nearer ones more surely.
+    Without ``recall`` the join is exact, and pivots keep apart what cannot reach the threshold (``similarity``); rows
+    without an id, and vectors that are null, zero or not finite, are duplicates of nothing. With ``recall`` vectors meet
+    only in equal buckets of sign hashes (``hash_shape``, or the given ``shape``): cosines stay exact, and a pair at the
+    threshold is found with that probability, nearer ones more surely.
     """
+    if recall is None and threshold > 0:
+        answers = ~F.contains(F.coalesce("guid", F.lit("")), F.lit("#v-"))
+        others = pool.join(candidates.select("item_id"), "item_id", "left_anti")
+        sides = [t.select(F.col("item_id").cast("long").alias("item_id"), "direction", "vec", F.lit(mine).alias("asks"), answers.alias("answers"), F.lit(mine).alias("in_batch")) for t, mine in ((candidates, True), (others.where(answers), False))]
+        return similarity.least_similar(sides[0].unionByName(sides[1]), threshold, part)
     bits, tables = (0, 1) if recall is None else shape or hash_shape(pool.groupBy("direction").count().agg(F.max("count")).first()[0] or 0, threshold, recall, part)
     batch = candidates.select("item_id", "direction", "vec")
     others = pool.join(candidates.select("item_id"), "item_id", "left_anti").withColumn("in_batch", F.lit(False))
