@@ -89,7 +89,8 @@ def exact_origins(items: DataFrame, key: list[str], item_id: str = "item_id") ->
     The keys, often hashes of whole texts, are computed once and stored; only the ids of duplicates meet the rows again.
     """
     keys = stored(items.where(F.col(key[-1]).isNotNull()).select(item_id, *key), "origin-keys")
-    first = keys.groupBy(*key).agg(F.min(item_id).alias("_origin"), F.count("*").alias("_n")).where("_n > 1")
+    # a table of its own: the join reads two plain shuffles, and a key of a third of all rows is split over tasks
+    first = stored(keys.groupBy(*key).agg(F.min(item_id).alias("_origin"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "origins")
     later = keys.join(first, key).where(F.col(item_id) > F.col("_origin")).groupBy(item_id).agg(F.min("_origin").alias("duplicate_of"))
     return items.join(later, item_id, "left")
 
@@ -110,15 +111,19 @@ def classified(entries: DataFrame, known: DataFrame, now: Column, *, first_inges
     before it (by source, then position), is written with fetch_status DUP, whatever the rules say, and counts as
     inserted. On a first import rules run without the age limit, and what is older than the first window is archived.
     """
-    guids = known.select("source_id", "guid", F.lit(True).alias("_old")).distinct()
-    prints = known.where("fingerprint IS NOT NULL").select("direction", "fingerprint", F.lit(True).alias("_dup")).distinct()
-    first_guid = entries.groupBy("source_id", "guid").agg(F.min("position").alias("_first"))
-    rows = entries.join(first_guid, ["source_id", "guid"], "left").join(guids, ["source_id", "guid"], "left").join(prints, ["direction", "fingerprint"], "left")
     blank = F.coalesce("guid", F.lit("")) == ""
-    rows = rows.withColumn("_blocked", ~blank & ((F.col("position") > F.col("_first")) | F.coalesce("_old", F.lit(False))))
     place = F.struct("source_id", "position")
-    written = rows.where(~blank & ~F.col("_blocked") & F.col("fingerprint").isNotNull()).groupBy("direction", "fingerprint").agg(F.min(place).alias("_origin"))
-    rows = rows.join(written, ["direction", "fingerprint"], "left")
+    # rows that lack a guid or fingerprint can match nothing; a key of their own keeps them from meeting in one task
+    own = lambda name, lacks: F.when(lacks, F.struct(F.lit(None).cast("string").alias("of"), F.col("source_id").cast("string").alias("s"), F.col("position").cast("string").alias("p"))).otherwise(F.struct(F.col(name).alias("of"), F.lit("").alias("s"), F.lit("").alias("p")))
+    key = lambda name: F.struct(F.col(name).alias("of"), F.lit("").alias("s"), F.lit("").alias("p"))
+    guids = stored(known.where("guid IS NOT NULL").select("source_id", key("guid").alias("_guid")).distinct().withColumn("_old", F.lit(True)), "known-guids")
+    prints = stored(known.where("fingerprint IS NOT NULL").select("direction", key("fingerprint").alias("_print")).distinct().withColumn("_dup", F.lit(True)), "known-fingerprints")
+    rows = entries.withColumn("_guid", own("guid", blank)).withColumn("_print", own("fingerprint", F.col("fingerprint").isNull()))
+    first_guid = stored(rows.where(~blank).groupBy("source_id", "_guid").agg(F.min("position").alias("_first")), "first-guids")
+    rows = rows.join(first_guid, ["source_id", "_guid"], "left").join(guids, ["source_id", "_guid"], "left").join(prints, ["direction", "_print"], "left")
+    rows = rows.withColumn("_blocked", ~blank & ((F.col("position") > F.col("_first")) | F.coalesce("_old", F.lit(False))))
+    written = rows.where(~blank & ~F.col("_blocked") & F.col("fingerprint").isNotNull()).groupBy("direction", "_print").agg(F.min(place).alias("_origin"))
+    rows = rows.join(stored(written, "written-fingerprints"), ["direction", "_print"], "left")
     copied = F.coalesce(F.col("_dup") | (place > F.col("_origin")), F.lit(False))
     reason = rule_reason(F.col("title"), F.col("content_text"), F.col("published_at"), now, blacklist=blacklist, max_age_days=max_age_days, ignore_expiry=first_ingest)
     age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("published_at").cast("timestamp"))
@@ -133,7 +138,7 @@ def classified(entries: DataFrame, known: DataFrame, now: Column, *, first_inges
     )
     status = F.when(F.col("class").isin("failed", "dup_blocked"), None).when(F.col("_copied"), "DUP").when(F.col("class") == "rule_rejected", "REJECTED_RULED").when(F.col("class") == "archived", "ARCHIVED").otherwise("FETCHED")
     marked = rows.withColumn("_reason", reason).withColumn("_copied", copied).withColumn("class", kind).withColumn("reason", F.when(F.col("class") == "rule_rejected", F.col("_reason")))
-    return marked.withColumn("fetch_status", status).drop("_first", "_old", "_dup", "_blocked", "_origin", "_copied", "_reason")
+    return marked.withColumn("fetch_status", status).drop("_guid", "_print", "_first", "_old", "_dup", "_blocked", "_origin", "_copied", "_reason")
 
 
 def ingest_ledger(entries: DataFrame, by: str = "source_id") -> DataFrame:
