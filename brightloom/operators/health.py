@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from brightloom.config import DEFAULTS, Settings
 
@@ -187,19 +189,22 @@ def advance(h: Health, r: dict, s: Settings = DEFAULTS) -> Health:
 
 
 def clean_round(row: dict) -> dict:
-    """Missing values of a pandas row as None."""
+    """Missing values of a row as None."""
     return {k: None if v is None or v != v else v for k, v in row.items()}
 
 
 def health_after(rounds: DataFrame, every: bool = False, s: Settings = DEFAULTS) -> DataFrame:
     """State of every source after its last round, or after each one. Rounds are ordered by (now, round_id)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, state, last = None, None, None
+    schema = f"source_id long, round_id long, {STATE}"
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, state, last = object(), None, None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                if source is None or row["source_id"] != source:
+            for row in batch.to_pylist():
+                if row["source_id"] != source:
                     if last is not None and not every:
                         out.append(last)
                     source, state = row["source_id"], Health()
@@ -207,10 +212,9 @@ def health_after(rounds: DataFrame, every: bool = False, s: Settings = DEFAULTS)
                 last = {"source_id": source, "round_id": row["round_id"], **asdict(state)}
                 if every:
                     out.append(last)
-            if out:
-                yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pylist(out, schema=wanted)
         if last is not None and not every:
-            yield pd.DataFrame([last])
+            yield pa.RecordBatch.from_pylist([last], schema=wanted)
 
     order = ["source_id", "now", "round_id"]
-    return rounds.repartition("source_id").sortWithinPartitions(*order).mapInPandas(run, f"source_id long, round_id long, {STATE}")
+    return rounds.repartition("source_id").sortWithinPartitions(*order).mapInArrow(run, schema)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from brightloom.config import DEFAULTS
 from brightloom.functions import dates as D
@@ -53,21 +55,24 @@ def ordered_fold(rows: DataFrame, key: list[str], order: list[str], start: Calla
     """A recurrence over the rows of each key in order, streamed through sorted partitions: one state in memory.
 
     ``step(state, row)`` gives the new state and the output row.
+
+    Rows are whole Python values, so that a null beside an id leaves the id as it is; rows of a null key are one key.
     """
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 mine = tuple(row[k] for k in key)
                 if mine != last:
                     last, state = mine, start()
                 state, made = step(state, row)
                 out.append(made)
-            yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pylist(out, schema=wanted)
 
-    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
 
 def throttled(requests: DataFrame, gap_s: float = DEFAULTS.throttle_gap_s, max_wait_s: float = DEFAULTS.throttle_max_wait_s) -> DataFrame:
