@@ -13,7 +13,10 @@ from brightloom.functions import urls as U
 from brightloom.functions import vectors as V
 from brightloom.operators import evaluation, gates, health, hot, ingest, ledger, limits, ranking, routing
 from brightloom.operators import items as lists
+from brightloom.operators.fingerprints import FingerprintIndex
+from brightloom.operators.vector_index import VectorIndex
 from brightloom.plans import base as B
+from brightloom.storage import stored
 from brightloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -436,6 +439,44 @@ def semantic_dup_all(spark: SparkSession, d: str) -> DataFrame:
     return routing.semantic_duplicates(v, v)
 
 
+_COPIES = f"""{B.VECTORS}, w AS (
+  SELECT item_id, direction, vec, guid FROM vectors UNION ALL
+  SELECT item_id + 1000000, direction, list_transform(vec, lambda x, i: x * 2 + 0.02 * (item_id % 5) * (i % 3 - 1)), guid FROM vectors WHERE item_id % 3 = 0)"""
+
+
+@query(f"""WITH {_COPIES} SELECT c.item_id, min(p.item_id) AS duplicate_of FROM w c JOIN w p ON p.direction = c.direction AND p.item_id < c.item_id AND NOT contains(p.guid, '#v-')
+  WHERE list_cosine_similarity(c.vec, p.vec) >= 0.92 GROUP BY c.item_id""")
+def semantic_dup_copies(spark: SparkSession, d: str) -> DataFrame:
+    """The duplicates of a table with copies of a third of its vectors, moved a little, at the production threshold."""
+    v = B.vectors(spark, d).withColumn("vec", F.col("vec").cast("array<double>"))
+    moved = F.transform("vec", lambda x, i: x * 2 + (F.col("item_id") % 5) * 0.02 * ((i + 1) % 3 - 1))
+    copies = v.where("item_id % 3 = 0").select((F.col("item_id") + 1_000_000).alias("item_id"), "direction", moved.alias("vec"), "guid")
+    rows = stored(v.unionByName(copies), "vectors-with-copies")
+    return routing.semantic_duplicates(rows, rows)
+
+
+@query(f"""WITH {B.VECTORS}, s AS (SELECT q.item_id AS query_id, v.item_id, list_cosine_similarity(v.vec, q.vec) AS sim FROM vectors v, vectors q WHERE q.item_id % 20 = 0), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM s) SELECT query_id, item_id, rank::INT AS rank FROM r WHERE rank <= 5""")
+def indexed_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The search of cosine_topk_every20 by a stored index of the vectors, which is written first."""
+    v = B.vectors(spark, d)
+    index = VectorIndex.build(v.select("item_id", "vec"))
+    return index.search(v.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec"), 5).select("query_id", "item_id", "rank")
+
+
+@query(f"""WITH {B.ITEMS}, k AS (SELECT item_id, direction, sha256(content_text) AS fp FROM items), o AS (SELECT direction, fp, min(item_id) AS first_id FROM k GROUP BY direction, fp)
+SELECT item_id, first_id AS duplicate_of FROM k JOIN o USING (direction, fp) WHERE item_id > first_id""")
+def fingerprint_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Exact duplicates by an index that three rounds of ingest have filled, one of them twice."""
+    rows = stored(B.items(spark, d).select("item_id", "direction", F.sha2("content_text", 256).alias("fingerprint")), "round-fingerprints")
+    index = FingerprintIndex(spark, fanout=2)
+    for n in (1, 0, 1, 2):
+        index.add(f"round-{n}", rows.where(F.col("item_id") % 3 == n))
+    found = stored(index.duplicates(rows), "round-duplicates")
+    index.drop()
+    return found
+
+
 def _scored_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = routing.similarities(B.vectors(spark, d), B.query_vectors(spark, d))
     return rows.withColumn("quality", (F.col("item_id") * 7 % 100).cast("int")).withColumn("passed", F.col("item_id") % 3 == 0)
