@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.storage import dealt, fresh_path, stored
+from brightloom.storage import Conflict, Manifest, dealt, fresh_path, removed, stored
 
 __all__ = ["dealt", "fresh_path", "stored", "Conflict", "Manifest", "ascii_lower", "ascii_strip", "only", "packed", "removed", "unpacked"]
 
@@ -16,67 +14,6 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def file_system(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it takes it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a table of the shared folder that no plan reads any more."""
-    files, where = file_system(spark, path)
-    files.delete(where, True)
-
-
-class Conflict(RuntimeError):
-    """Another writer has committed since the state was read."""
-
-
-class Manifest:
-    """The committed state of a folder of tables, as numbered JSON files of which the last one counts.
-
-    A number is taken by creating its file, which must not exist: of two writers that start from the same state one
-    gets a Conflict and has to read again. The file system must create exclusively (HDFS and local ones do). A file
-    cut short by a crash stops readers with an error that names it; it can be deleted, as nothing was committed.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, f"{root.rstrip('/')}/commits"
-
-    def read(self) -> tuple[int, dict]:
-        """(number, state) of the last commit; (0, {}) before the first."""
-        files, where = file_system(self.spark, self.root)
-        names = sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
-        names = [x for x in names if x.endswith(".json") and not x.startswith(".")]
-        if not names:
-            return 0, {}
-        stream = files.open(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{names[-1]}"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        try:
-            return int(names[-1].removesuffix(".json")), json.loads(text)
-        except ValueError as e:
-            raise RuntimeError(f"{self.root}/{names[-1]} is no whole commit") from e
-
-    def write(self, number: int, state: dict) -> None:
-        """Commits ``state`` as the successor of commit ``number``."""
-        from py4j.protocol import Py4JJavaError
-
-        files, where = file_system(self.spark, f"{self.root}/{number + 1:012d}.json")
-        try:
-            stream = files.create(where, False)
-        except Py4JJavaError as e:
-            if files.exists(where):
-                raise Conflict(f"commit {number + 1} of {self.root} is taken") from e
-            raise
-        try:
-            stream.write(bytearray(json.dumps(state).encode()))
-        finally:
-            stream.close()
-
-
 def packed(docs: DataFrame, *columns: Column) -> DataFrame:
     """(row, *columns): every row of docs as one struct, so that its names can't clash with an operator's own."""
     return docs.select(F.struct("*").alias("row"), *columns)
