@@ -149,17 +149,34 @@ def null_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls"), F.col(f"b_{c}").alias("blanks")) for c in columns])).alias("p")).select("p.column", "rows", "p.nulls", "p.blanks")
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """(share, value): sorted[min(int(n * p), n - 1)] of a numeric column, from counts of distinct values.
+def nearest_rank(rows: DataFrame, value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(share, value): sorted[min(int(n * p), n - 1)] of a numeric column; rows without a value are left out.
 
-    Running sums are taken within bands of values and over one row a band, so no task sorts all values.
+    Two passes. A quantile sketch, which is merged over the partitions, bounds each rank: the value lies between the
+    sketch's values two parts in ``accuracy`` below and above. Then the values below are counted, and only those within
+    the bounds, about four parts in ``accuracy`` of the rows, are shuffled, as counts of distinct values.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.lit(0).alias("_all"))
-    total = counts.agg(F.sum("n").alias("total"))
-    upto = preceding(counts, "_all", value, "n", [F.asc(value)]).join(F.broadcast(total))
-    at = F.explode(F.array(*[F.lit(float(p)) for p in shares]))
-    place = F.least(F.floor(F.col("total") * F.col("share")), F.col("total") - 1)
-    return upto.withColumn("share", at).where((F.col("before") + F.col("n") > place) & (F.col("before") <= place)).select("share", F.col(value).alias("value"))
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("value"))
+    room = 2 / accuracy
+    wanted = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-room, room)]
+    n, sketch, least, most = rows.agg(F.count("*"), F.percentile_approx("value", wanted, accuracy), F.min("value"), F.max("value")).first()
+    if not n:
+        return rows.select(F.lit(None).cast("double").alias("share"), "value").limit(0)
+    places = [min(int(n * p), n - 1) for p in shares]
+    bounds = [(least if p <= room else sketch[2 * i], most if p >= 1 - room else sketch[2 * i + 1]) for i, p in enumerate(shares)]
+    below = rows.agg(*[F.count_if(F.col("value") < F.lit(b)) for low, high in bounds for b in (low,)], *[F.count_if(F.col("value") <= F.lit(high)) for low, high in bounds]).first()
+    known = []
+    for i, (p, place, (low, high)) in enumerate(zip(shares, places, bounds, strict=True)):
+        if not below[i] <= place < below[len(shares) + i]:  # no sketch may err like this; all values then count as within
+            low, high, before = least, most, 0
+        else:
+            before = below[i]
+        known.append(F.struct(F.lit(float(p)).alias("share"), F.lit(place - before).cast("long").alias("place"), F.lit(low).alias("low"), F.lit(high).alias("high")))
+    within = rows.withColumn("at", F.explode(F.filter(F.array(*known), lambda x: F.col("value").between(x["low"], x["high"]))))
+    counts = within.groupBy("at.share", "at.place", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("share").orderBy("value")
+    upto = counts.withColumn("upto", F.sum("n").over(order))
+    return upto.where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("n") <= F.col("place"))).select("share", "value")
 
 
 def usage_rows(calls: DataFrame, longest: int = 2000) -> DataFrame:

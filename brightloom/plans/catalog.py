@@ -14,6 +14,7 @@ from brightloom.functions import vectors as V
 from brightloom.operators import evaluation, gates, health, hot, ingest, ledger, limits, ranking, routing
 from brightloom.operators import items as lists
 from brightloom.operators.fingerprints import FingerprintIndex
+from brightloom.operators.paging import PagedTable
 from brightloom.operators.vector_index import VectorIndex
 from brightloom.plans import base as B
 from brightloom.storage import stored
@@ -439,6 +440,13 @@ def semantic_dup_all(spark: SparkSession, d: str) -> DataFrame:
     return routing.semantic_duplicates(v, v)
 
 
+@query("""SELECT l_orderkey * 10 + l_linenumber AS item_id, l_quantity FROM lineitem ORDER BY 1 DESC LIMIT 20 OFFSET 40000""")
+def deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """Page 2,001 of the newest lines, twenty to a page, by the zone index of a table that is written in their order."""
+    rows = B.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), "l_quantity")
+    return PagedTable.build(rows, "item_id", files=16).page(40_000, 20)
+
+
 _COPIES = f"""{B.VECTORS}, w AS (
   SELECT item_id, direction, vec, guid FROM vectors UNION ALL
   SELECT item_id + 1000000, direction, list_transform(vec, lambda x, i: x * 2 + 0.02 * (item_id % 5) * (i % 3 - 1)), guid FROM vectors WHERE item_id % 3 = 0)"""

@@ -10,6 +10,7 @@ from brightloom.functions import text as T
 from brightloom.functions import vectors as V
 from brightloom.operators import evaluation, gates, health, ledger, limits, ranking, routing
 from brightloom.operators import items as lists
+from brightloom.operators.taskboard import TaskBoard
 from brightloom.plans import base as B
 from brightloom.plans.catalog import TS, query
 
@@ -506,6 +507,19 @@ def claimed_and_finished(spark: SparkSession, d: str) -> DataFrame:
     return limits.finished(taken, results, B.now()).select("task_id", "attempts", "won", "status", "last_error", "late")
 
 
+@query(f"""WITH {B.TASKS}, p AS (SELECT task_id, row_number() OVER (ORDER BY task_id) AS n FROM tasks WHERE kind = 'score')
+SELECT task_id, CASE WHEN n <= 80 THEN 'w' || ((n - 1) // 40)::VARCHAR END AS owner, CASE WHEN n <= 40 AND task_id % 2 = 0 THEN 'DONE' WHEN n <= 80 THEN 'RUNNING' ELSE 'PENDING' END AS status, CASE WHEN n <= 80 THEN 1 ELSE 0 END AS attempts FROM p""")
+def claimed_by_two(spark: SparkSession, d: str) -> DataFrame:
+    """Waiting tasks of a board of which two workers claim forty each; the first one ends some of its own, and tries to
+    end one that is not its own."""
+    board = TaskBoard(spark, compact_after=3)
+    board.put(B.tasks(spark, d).where("kind = 'score'").select("task_id", "kind"))
+    own = [board.claim(worker, 40, B.now()) for worker in ("w0", "w1")]
+    results = own[0].where("task_id % 2 = 0").unionByName(own[1].limit(1)).select("task_id", F.lit("DONE").alias("result"), F.lit(None).cast("string").alias("error"))
+    board.finish("w0", results, B.now())
+    return board.tasks().select("task_id", "owner", "status", "attempts")
+
+
 @query("""SELECT n_nationkey AS host, CASE n_nationkey % 4 WHEN 0 THEN greatest(n_nationkey, 6.0) WHEN 1 THEN 6.0 WHEN 2 THEN 3.0 ELSE 0.0 END::DOUBLE AS seconds, n_nationkey % 3 = 0 AS busy, n_nationkey % 5 >= 2 AS due FROM nation""")
 def request_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Intervals between requests to a host, kinds of rounds that may not start, and jobs that are due."""

@@ -2,13 +2,16 @@
 
 import datetime as dt
 import random
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.operators import health, ingest, limits, routing, similarity
+from brightloom.operators import health, ingest, ledger, limits, routing, similarity
 from brightloom.operators.fingerprints import FingerprintIndex
+from brightloom.operators.paging import PagedTable
+from brightloom.operators.taskboard import TaskBoard
 from brightloom.operators.vector_index import VectorIndex
 from brightloom.storage import KEPT, Conflict, Manifest
 
@@ -186,3 +189,68 @@ def test_folds_with_null_keys(spark):
     assert got == {(s, 2**60 + n): n + 1 for s in (None, 2**60 + 1) for n in range(3)}
     last = {r.source_id: (r.round_id, r.empty_rounds) for r in health.health_after(spark.createDataFrame(rounds, schema)).collect()}
     assert last == {None: (2**60 + 2, 3), 2**60 + 1: (2**60 + 2, 3)}
+
+
+# ---- tasks, pages, percentiles ----
+
+
+def test_two_workers_win_each_task_once(spark, tmp_path):
+    path, now = f"file://{tmp_path}/board", F.lit("2024-03-01 12:00:00").cast("timestamp")
+    TaskBoard(spark, path).put(spark.range(24).select(F.col("id").alias("task_id"), F.lit("score").alias("kind")))
+    won: dict[str, list[int]] = {"a": [], "b": []}
+    failed = []
+
+    def work(name):
+        try:
+            board = TaskBoard(spark, path, compact_after=3)
+            while mine := [r.task_id for r in board.claim(name, 4, now).collect()]:
+                won[name] += mine
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(x,)) for x in won]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed and sorted(won["a"] + won["b"]) == list(range(24))
+    rows = TaskBoard(spark, path).tasks().collect()
+    assert all(r.attempts == 1 and r.status == "RUNNING" and r.task_id in won[r.owner] for r in rows) and len(rows) == 24
+
+
+def test_board_ends_only_own_tasks(spark, tmp_path):
+    board, now = TaskBoard(spark, f"file://{tmp_path}/board", compact_after=2), F.lit("2024-03-01 12:00:00").cast("timestamp")
+    tasks = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, "x"), (None, "x")], "task_id long, kind string")
+    board.put(tasks)
+    assert board.put(tasks).count() == 0
+    assert [r.task_id for r in board.claim("a", 5, now, kind="x").orderBy("task_id").collect()] == [1, 3]
+    results = spark.createDataFrame([(1, "DONE", None), (2, "DONE", None), (3, "FAILED", "boom")], "task_id long, result string, error string")
+    assert board.finish("b", results, now).count() == 0
+    assert {r.task_id: r.status for r in board.finish("a", results, now).collect()} == {1: "DONE", 3: "FAILED"}
+    assert board.finish("a", results, now).count() == 0 and board.claim("b", 5, now, kind="z").count() == 0
+    assert {r.task_id: (r.status, r.owner, r.last_error) for r in board.tasks().collect()} == {1: ("DONE", "a", None), 2: ("PENDING", None, None), 3: ("FAILED", "a", "boom")}
+    assert len(board.manifest.read()[1]["folders"]) <= 2
+
+
+def test_deep_pages_read_their_files_only(spark, tmp_path):
+    ids = [3 * i for i in range(5000)]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "no id")], "id long, title string").repartition(7)
+    table = PagedTable.build(rows, "id", f"file://{tmp_path}/t", files=20)
+    want = sorted(ids, reverse=True)
+    for offset, limit in ((0, 20), (2480, 20), (4990, 20), (0, 5000), (777, 1), (5000, 20), (9000, 5), (10, 0)):
+        assert [r.id for r in table.page(offset, limit).collect()] == want[offset : offset + limit]
+    assert table.total() == 5000 and len(table.zones().collect()) >= 15 and len(table.files_of(2480, 20)) <= 2
+    page = PagedTable(spark, f"file://{tmp_path}/t", "id").page(2480, 20)
+    assert len(page.inputFiles()) == len(table.files_of(2480, 20))  # what the plan scans
+    empty = PagedTable.build(rows.limit(0), "id", f"file://{tmp_path}/e")
+    assert empty.total() == 0 and empty.page(0, 10).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["distinct", "ties", "one", "double", "small"])
+def test_percentiles_in_two_passes(spark, kind):
+    rng = random.Random(7)
+    values = {"distinct": rng.sample(range(10**9), 30_000), "ties": [rng.choice([1, 1, 1, 5, 9]) for _ in range(20_000)], "one": [7], "double": [rng.gauss(0, 1) for _ in range(20_000)], "small": [3, 1, 2]}[kind]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], f"v {'double' if kind == 'double' else 'long'}").repartition(6)
+    shares = [0.0, 0.001, 0.25, 0.5, 0.9, 0.99, 0.9999, 1.0]
+    for accuracy in (50, 10_000):
+        got = {r.share: r.value for r in ledger.nearest_rank(rows, "v", shares, accuracy).collect()}
+        assert got == {p: sorted(values)[min(int(len(values) * p), len(values) - 1)] for p in shares}
+    assert ledger.nearest_rank(rows.where("v IS NULL"), "v", shares).count() == 0
