@@ -12,11 +12,8 @@ Every text is a row of its own: tables are dealt by Spark, and a task sees one t
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from fractions import Fraction
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +23,8 @@ from pyspark.sql import functions as F
 from brightloom.llm.common import dealt, packed, unpacked
 
 LEAST, TIMES = 24, 3
+#: Texts whose results a Python worker holds at once.
+ROWS = 250
 #: Words that occur this often, in terms of the square root of a text's length, are counted by FFT.
 HEAVY = 2.5
 RUN = "start:bigint,length:bigint,period:bigint"
@@ -147,59 +146,48 @@ def with_runs(docs: DataFrame, least: int = LEAST, times: int = TIMES) -> DataFr
     @F.pandas_udf(f"struct<n_words:bigint,runs:array<struct<{RUN}>>,collapsed:string>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            rows = []
-            for text in batch:
-                words = words_of(text)
-                runs = runs_of(numbers(words), least, times)
-                kept = [words[i] for i in np.flatnonzero(kept_words(len(words), runs))] if runs else words
-                rows.append((len(words), [dict(zip(("start", "length", "period"), r, strict=True)) for r in runs], b" ".join(kept).decode("utf-8", "surrogatepass")))
-            yield pd.DataFrame(rows, columns=["n_words", "runs", "collapsed"])
+            for at in range(0, len(batch), ROWS):  # a batch of long texts is not held twice
+                yield pd.DataFrame([solved(text) for text in batch.iloc[at : at + ROWS]], columns=["n_words", "runs", "collapsed"])
+
+    def solved(text: str | None) -> tuple[int, list[dict], str]:
+        words = words_of(text)
+        runs = runs_of(numbers(words), least, times)
+        kept = [words[i] for i in np.flatnonzero(kept_words(len(words), runs))] if runs else words
+        return len(words), [dict(zip(("start", "length", "period"), r, strict=True)) for r in runs], b" ".join(kept).decode("utf-8", "surrogatepass")
 
     rows = packed(docs, of(F.col("text").cast("string")).alias("found"))
     return unpacked(rows, docs, n_words=F.col("found.n_words"), runs=F.col("found.runs"), collapsed=F.col("found.collapsed"))
 
 
-def strongest(runs: list) -> tuple[int, int, int] | None:
-    """The run of the greatest length / period, of the smallest start and period among equals."""
-    return min(((r["start"], r["length"], r["period"]) for r in runs), key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
-
+def strongest(runs: Column) -> Column:
+    """The run of the greatest length / period, of the smallest start and period among equals; null if there is none.
 
-def run_digest(runs: Column) -> Column:
-    """The strongest run, the thousandths of its exponent and the digest of all runs, one a line."""
+    Fractions are compared as products of whole numbers.
+    """
+    first = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]  # noqa: E731  above 0, if x is stronger
+    better = lambda x, y: (first(x, y) > 0) | ((first(x, y) == 0) & ((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["period"] < y["period"]))))
+    rest = F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0)))
+    return F.when(F.size(runs) > 0, F.aggregate(rest, F.get(runs, 0), lambda acc, x: F.when(better(x, acc), x).otherwise(acc)))
 
-    @F.pandas_udf(f"struct<{RUN},exponent_milli:bigint,runs_sha256:string>")
-    def of(batch: pd.Series) -> pd.DataFrame:
-        rows = []
-        for found in batch:
-            best = strongest(found)
-            lines = "".join(f"{r['start']},{r['length']},{r['period']}\n" for r in found)
-            rows.append((*(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, hashlib.sha256(lines.encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["start", "length", "period", "exponent_milli", "runs_sha256"]).astype({c: "Int64" for c in ("start", "length", "period", "exponent_milli")})
 
-    return of(runs)
+def runs_digest(runs: Column) -> Column:
+    """The digest of all runs, one a line."""
+    lines = F.transform(runs, lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    return F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256)
 
 
 def planted(text: Column, crc: Column) -> Column:
     """Texts of which the words behind a place repeat, where the CRC-32 beside them says so: the cases of op12_periods."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
-    @F.pandas_udf("string")
-    def of(texts: pd.Series, crcs: pd.Series) -> pd.Series:
-        return pd.Series([repeated(t, c) for t, c in zip(texts, crcs, strict=True)], dtype=object)
-
-    return of(text, crc.cast("double"))  # a double holds it whole, and NaN for null
-
+    def repeated(w: Column) -> Column:
+        g, n = F.floor(crc / 10).cast("long"), F.size(w)
+        a = (g % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        places = F.sequence(F.lit(0), n - 1)
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")).otherwise(text)
 
-def repeated(text: str | None, crc: float | None) -> str | None:
-    if text is None or crc is None or crc != crc or int(crc) % 10:
-        return text
-    words, g = words_of(text), int(crc) // 10
-    n = len(words)
-    if not n:
-        return text
-    a = g % n
-    p = 1 + (n - a) // (3 + g % 8)
-    tail = words[a : a + p]
-    return b" ".join(chain(words[:a], (tail[i % p] for i in range(n - a)))).decode("utf-8", "surrogatepass")
+    return F.when(crc % 10 == 0, F.get(F.transform(F.array(words), repeated), 0)).otherwise(text)
 
 
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,5 +195,10 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``with_runs``. A null doc_id has no CRC-32 and its text stays as it is."""
     docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    found = with_runs(docs.select("doc_id", planted(F.col("text").cast("string"), crc).alias("text"))).select("doc_id", "runs", "collapsed", run_digest("runs").alias("d"))
-    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "d.start", "d.length", "d.period", "d.exponent_milli", "d.runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    found = with_runs(docs.select("doc_id", planted(F.col("text").cast("string"), crc).alias("text"))).withColumn("best", strongest(F.col("runs")))
+    thousand = F.col("best.length") * 1000
+    milli = ((thousand - thousand % F.col("best.period")) / F.col("best.period")).cast("long")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
