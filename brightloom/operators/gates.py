@@ -138,6 +138,28 @@ def gate_verdicts(drafts: DataFrame, gates: list[tuple[str, DataFrame]]) -> Data
     return rows.select("draft_id", (F.size("issues") == 0).alias("passed"), "issues", "warns")
 
 
+def gate_run(drafts: DataFrame, reading: DataFrame, blocks: DataFrame, recent: DataFrame, *, low: int, high: int, words: list[str], min_hits: int, min_citations: int = 1, n: int = DEFAULTS.copyright_ngram, dice: float = DEFAULTS.topic_dice) -> DataFrame:
+    """(draft_id, passed, issues, warns): drafts (draft_id, author_id, title, text) through the gates for length, style
+    words, citations, reused blocks and repeated topics.
+
+    ``reading`` has (draft_id, item_id, content_text), ``blocks`` text, ``recent`` (author_id, recent_title, place). One
+    shared n-gram is a warning, more are an issue. Each gate is a table of its own, made by its operator; drafts that it
+    has nothing to say about are not in it.
+    """
+    texts = drafts.select("draft_id", length_issue(F.col("text"), low, high)["issue"].alias("length"), F.size(style_hits(F.col("text"), words)).alias("style"))
+    issue = lambda rows, message: rows.select("draft_id", F.lit("issue").alias("level"), message.alias("message"))
+    cited = citation_issues(drafts.select("draft_id", "text"), reading, min_citations).where(F.size("issues") > 0)
+    reused = shared_ngrams(drafts.select("draft_id", "text"), blocks, n).where("level <> 'pass'")
+    repeated = topic_repeats(drafts.select("author_id", "draft_id", "title"), recent, dice)
+    return gate_verdicts(drafts, [
+        ("length", issue(texts.where("length IS NOT NULL"), F.col("length"))),
+        ("style", issue(texts.where(F.col("style") < min_hits), F.concat(F.col("style").cast("string"), F.lit(f" of {min_hits}")))),
+        ("citation", issue(cited, F.array_join("issues", " "))),
+        ("copyright", reused.select("draft_id", "level", F.concat(F.col("hits").cast("string"), F.lit(" shared")).alias("message"))),
+        ("topic", issue(repeated, F.concat(F.lit("as "), F.col("recent_place").cast("string")))),
+    ])
+
+
 def decision_check(answer: Column) -> Column:
     """The decision of a writer's JSON, write or skip; null if it is neither."""
     said = F.lower(T.strip(F.try_variant_get(F.try_parse_json(T.json_block(answer)), "$.decision", "string")))

@@ -645,6 +645,47 @@ def length_and_style(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("draft_id", "g.chars", F.col("g.issue").isNotNull().alias("bad"), "hits")
 
 
+_NOTED = """noted AS (SELECT d.doc_id, d.lang, d.text, CASE WHEN d.doc_id % 4 = 0 THEN regexp_replace(coalesce(CASE WHEN d.doc_id % 8 = 4 THEN o.text ELSE d.text END, ''), '[\\[\\]\\s]+', '', 'g')[1:15] END AS quote
+  FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1)"""
+
+
+@query(f"""WITH {_NOTED}, bare AS (SELECT doc_id, lang, quote, regexp_replace(text, '\\s+', '', 'g') AS c, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM noted),
+style AS (SELECT *, contains(c, 'tion')::INT + contains(c, 'ung')::INT + contains(c, 'en')::INT AS hits FROM bare),
+low AS (SELECT lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM benchmark), b AS (SELECT DISTINCT substr(t, i::BIGINT, 40) AS s FROM (SELECT t, unnest(range(1, length(t) - 38)) AS i FROM low)),
+g AS (SELECT DISTINCT doc_id, substr(t, i::BIGINT, 40) AS s FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS i FROM bare)),
+shared AS (SELECT doc_id, count(*) AS n FROM g JOIN b USING (s) GROUP BY doc_id),
+heads AS (SELECT doc_id, lang, lower(regexp_replace(split_part(text, chr(10), 1), '\\s+', '', 'g')) AS t FROM documents), r AS (SELECT lang, doc_id AS place, t AS u FROM heads QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5),
+p AS (SELECT heads.doc_id, r.place, t, u, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS a, list_distinct(list_transform(range(1, length(u)), lambda i: substr(u, i, 2))) AS b FROM heads JOIN r USING (lang) WHERE t <> '' AND u <> '' AND r.place <> heads.doc_id),
+topics AS (SELECT doc_id, min(place) AS place FROM p WHERE t = u OR (length(t) >= 2 AND length(u) >= 2 AND 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) >= 0.55) GROUP BY doc_id),
+said AS (SELECT s.doc_id, CASE WHEN length(c) < 100 THEN 'length:' || length(c) || ' < 100' WHEN length(c) > 5000 THEN 'length:' || length(c) || ' > 5000' END AS i1, CASE WHEN hits < 2 THEN 'style:' || hits || ' of 2' END AS i2,
+  CASE WHEN quote IS NULL THEN 'citation:too_few:0' WHEN quote = '' THEN 'citation:empty_quote:1' WHEN NOT contains(t, lower(quote)) THEN 'citation:quote_not_found:1' END AS i3,
+  CASE WHEN n >= 2 THEN 'copyright:' || n || ' shared' END AS i4, CASE WHEN place IS NOT NULL THEN 'topic:as ' || place END AS i5, CASE WHEN n = 1 THEN 'copyright:1 shared' ELSE '' END AS warns
+  FROM style s LEFT JOIN shared USING (doc_id) LEFT JOIN topics USING (doc_id))
+SELECT doc_id AS draft_id, coalesce(i1, i2, i3, i4, i5) IS NULL AS passed, array_to_string(list_filter([i1, i2, i3, i4, i5], lambda x: x IS NOT NULL), ',') AS issues, warns FROM said""")
+def gate_run(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a draft through all gates: bounds of length, style words, notes of which some quote another
+    document, n-grams shared with the benchmark, and titles of the author's first five others."""
+    docs = B.table(spark, d, "documents").select("doc_id", "lang", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("_other"))
+    n = F.col("doc_id")
+    source = F.when(n % 8 == 4, F.coalesce("_other", F.lit(""))).otherwise(F.coalesce("text", F.lit("")))
+    quote = F.substring(F.regexp_replace(source, r"[\[\]\s]+", ""), 1, 15)
+    note = F.when(n % 4 == 0, F.concat(F.lit("[^1]\n[^1]: [条目 "), n.cast("string"), F.lit("] "), quote)).otherwise("")
+    drafts = stored(docs.join(after, "doc_id", "left").select(n.alias("draft_id"), F.col("lang").alias("author_id"), T.first_line(F.col("text")).alias("title"), F.concat(F.col("text"), note).alias("text")), "drafts")
+    reading = docs.select(n.alias("draft_id"), n.alias("item_id"), F.col("text").alias("content_text"))
+    titles = drafts.select("author_id", F.col("title").alias("recent_title"), (-F.col("draft_id")).alias("o"))
+    recent = ranking.recent(titles, "author_id", "o", 5).select("author_id", "recent_title", (-F.col("o")).alias("place"))
+    # a draft is no repeat of itself: those among the first five meet the others of them by author and place
+    own = drafts.join(recent.select("author_id", F.col("place").alias("draft_id")), ["author_id", "draft_id"], "left_semi")
+    args = {"low": 100, "high": 5000, "words": ["tion", "ung", "en"], "min_hits": 2, "n": 40}
+    blocks = B.table(spark, d, "benchmark").select("text")
+    rest = gates.gate_run(drafts.join(own.select("draft_id"), "draft_id", "left_anti"), reading, blocks, recent, **args)
+    own_key = F.concat_ws("/", "author_id", F.col("draft_id").cast("string"))
+    others = own.select("author_id", "draft_id").join(recent, "author_id").where("place <> draft_id").select(own_key.alias("author_id"), "recent_title", "place")
+    first = gates.gate_run(own.withColumn("author_id", own_key), reading, blocks, others, **args)
+    return rest.unionByName(first).select("draft_id", "passed", F.array_join("issues", ",").alias("issues"), F.array_join("warns", ",").alias("warns"))
+
+
 @query()
 def echo_lengths(spark: SparkSession, d: str) -> DataFrame:
     # the n-th conversation id modulo the number of anchors has the n-th anchor, so that each anchor is used; only ids are numbered in one task
