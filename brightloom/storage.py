@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,47 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths handed out while a scope is open, innermost last, and the folders that are swept when Python ends.
+_OPEN: list[list[str]] = []
+_SWEPT: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's folder, which is deleted with all tables in it when the application ends.
+
+    What is to outlive the application is given a path by its caller.
+    """
+    folder = f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+    if folder not in _SWEPT:
+        _SWEPT.add(folder)
+        atexit.register(_sweep, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN[-1:]:
+        made.append(path)
+    return path
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session's JVM may be gone, and the folder with it
+        removed(spark, folder)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The rows that ``make`` gives as a stored table, and its path; all tables that were stored on the way are deleted."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        rows = make()
+        path = fresh_path(spark, name)
+        rows.write.parquet(path)
+    finally:
+        _OPEN.remove(made)
+    for other in made:
+        if other != path:
+            removed(spark, other)
+    for outer in _OPEN[-1:]:
+        outer.append(path)
+    return spark.read.schema(rows.schema).parquet(path), path
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:

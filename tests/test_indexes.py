@@ -254,3 +254,19 @@ def test_percentiles_in_two_passes(spark, kind):
         got = {r.share: r.value for r in ledger.nearest_rank(rows, "v", shares, accuracy).collect()}
         assert got == {p: sorted(values)[min(int(len(values) * p), len(values) - 1)] for p in shares}
     assert ledger.nearest_rank(rows.where("v IS NULL"), "v", shares).count() == 0
+
+
+def test_settled_removes_what_was_stored_on_the_way(spark):
+    from pathlib import Path
+
+    from brightloom import storage
+
+    def make():
+        rows = storage.stored(spark.range(10), "inner")
+        deeper, _ = storage.settled(spark, lambda: storage.stored(rows.where("id > 3"), "inner"), "outer")
+        return deeper.where("id < 8")
+
+    rows, path = storage.settled(spark, make, "result")
+    assert sorted(r.id for r in rows.collect()) == [4, 5, 6, 7] and not storage._OPEN
+    folder = Path(path.removeprefix("file://")).parent
+    assert not list(folder.glob("inner-*")) and not list(folder.glob("outer-*")) and list(folder.glob("result-*"))
