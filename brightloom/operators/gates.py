@@ -7,7 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import StringType
 
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
@@ -40,58 +40,51 @@ def echoes(text: Column, anchor: Column, n: int = DEFAULTS.echo_min_chars) -> Co
     return F.arrays_overlap(F.array_distinct(T.ngrams(T.clean_text(text), n)), F.array_distinct(T.ngrams(echo_source(anchor), n)))
 
 
-def _longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring, by a suffix automaton of b: linear in both lengths."""
-    links, lengths, edges, last = [-1], [0], [{}], 0
-    for c in b:
-        links.append(0), lengths.append(lengths[last] + 1), edges.append({})
-        now, p = len(links) - 1, last
-        while p >= 0 and c not in edges[p]:
-            edges[p][c] = now
-            p = links[p]
-        if p >= 0:
-            q = edges[p][c]
-            if lengths[q] == lengths[p] + 1:
-                links[now] = q
-            else:
-                links.append(links[q]), lengths.append(lengths[p] + 1), edges.append(dict(edges[q]))
-                clone = len(links) - 1
-                while p >= 0 and edges[p].get(c) == q:
-                    edges[p][c] = clone
-                    p = links[p]
-                links[q] = links[now] = clone
-        last = now
-    state = size = best = 0
-    for c in a:
-        while state and c not in edges[state]:
-            state = links[state]
-            size = lengths[state]
-        if c in edges[state]:
-            state, size = edges[state][c], size + 1
-        else:
-            size = 0
-        best = max(best, size)
-    return best
-
-
-@F.pandas_udf(IntegerType())
-def longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Exact length of the longest common substring of two clean texts."""
-    return pd.Series([_longest_common(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common substring of two clean texts, by prefix doubling; JVM-side.
+
+    Every place of a text gets a name, a 64-bit hash, for the stretch of some length that begins there. The names of two
+    stretches that lie ``shift`` apart make the name of the stretch that is so much longer, as long as they touch or
+    overlap. Lengths double while the texts share a name; then each smaller power of two is added if they still do. So a
+    pair takes some 2 log2(n) passes over both texts, each a hash join of their names within the row.
+    """
+    names = lambda text: F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.xxhash64(c))
+    longer = lambda x, shift: F.transform(F.sequence(F.lit(0), F.size(x) - shift - 1), lambda i: F.xxhash64(F.get(x, i), F.get(x, i + shift)))
+    tried = lambda x, shift: F.when(F.size(x) > shift, longer(x, shift)).otherwise(F.array().cast("array<bigint>"))
+    state = lambda n, shift, up, x, y: F.struct(n.alias("n"), shift.alias("shift"), up.alias("up"), x.alias("x"), y.alias("y"))
+
+    def step(acc: Column, _: Column) -> Column:
+        half = F.floor(acc["shift"] / 2).cast("int")
+
+        def judged(t: Column) -> Column:
+            longer_ = acc["n"] + acc["shift"]
+            yes = state(longer_, F.when(acc["up"], longer_).otherwise(half), acc["up"], t["x"], t["y"])
+            return F.when(F.arrays_overlap(t["x"], t["y"]), yes).otherwise(state(acc["n"], half, F.lit(False), acc["x"], acc["y"]))
+
+        more = T.bound(F.struct(tried(acc["x"], acc["shift"]).alias("x"), tried(acc["y"], acc["shift"]).alias("y")), judged)
+        return F.when(acc["shift"] == 0, acc).otherwise(more)
+
+    def measured(p: Column) -> Column:
+        rounds = F.ceil(F.log2(F.least(F.size(p["x"]), F.size(p["y"])) + 1)).cast("int") * 2 + 1
+        start = state(F.lit(1), F.lit(1), F.lit(True), p["x"], p["y"])
+        found = F.aggregate(F.sequence(F.lit(1), rounds), start, step, lambda acc: acc["n"])
+        return F.when(F.arrays_overlap(p["x"], p["y"]), found).otherwise(F.lit(0))
+
+    return T.bound(F.struct(names(a).alias("x"), names(b).alias("y")), measured)
 
 
 def echo_hits(drafts: DataFrame, anchors: DataFrame, n: int = DEFAULTS.echo_min_chars) -> DataFrame:
     """(draft_id, anchor_id, echo_max_chars) of the drafts (draft_id, author_id, text) that repeat a run of at least n
     characters of an anchor (author_id, anchor_id, text) of their author.
 
-    Shared n-grams, cut from bounded parts and joined, find the pairs on the JVM; only those are measured in Python.
+    Shared n-grams, cut from bounded parts and joined, find the pairs; only those are measured.
     """
     parts = lambda t, text: F.explode(T.pieces(text, n)).alias("part")
     left = drafts.select("draft_id", "author_id", T.clean_text(F.col("text")).alias("t"))
     right = anchors.select("anchor_id", "author_id", echo_source(F.col("text")).alias("a"))
     grams = lambda t, key, text: t.select(*key, parts(t, F.col(text))).select(*key, F.explode(F.array_distinct(T.ngrams(F.col("part"), n))).alias("g")).distinct()
     pairs = grams(left, ["draft_id", "author_id"], "t").join(grams(right, ["anchor_id", "author_id"], "a"), ["author_id", "g"]).select("draft_id", "anchor_id").distinct()
-    return pairs.join(left.select("draft_id", "t"), "draft_id").join(right.select("anchor_id", "a"), "anchor_id").select("draft_id", "anchor_id", longest_common("t", "a").alias("echo_max_chars"))
+    return pairs.join(left.select("draft_id", "t"), "draft_id").join(right.select("anchor_id", "a"), "anchor_id").select("draft_id", "anchor_id", longest_common(F.col("t"), F.col("a")).alias("echo_max_chars"))
 
 
 def shared_ngrams(drafts: DataFrame, blocks: DataFrame, n: int = DEFAULTS.copyright_ngram) -> DataFrame:

@@ -686,15 +686,21 @@ def gate_run(spark: SparkSession, d: str) -> DataFrame:
     return rest.unionByName(first).select("draft_id", "passed", F.array_join("issues", ",").alias("issues"), F.array_join("warns", ",").alias("warns"))
 
 
-@query()
+@query("""WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '【') AND NOT starts_with(x, '（续') AND NOT starts_with(x, '(')) AS lines FROM benchmark),
+a AS (SELECT k, array_to_string(lines, '') AS a FROM b), c AS (SELECT conv_id, turn, regexp_replace(text, '\\s+', '', 'g') AS t, conv_id % (SELECT count(*) FROM a) AS k FROM conversations),
+p AS (SELECT conv_id, turn, k, unnest(string_split(t, '')) AS x, generate_subscripts(string_split(t, ''), 1) AS i FROM c), q AS (SELECT k, unnest(string_split(a, '')) AS x, generate_subscripts(string_split(a, ''), 1) AS j FROM a),
+m AS (SELECT conv_id, turn, i - j AS diagonal, i - row_number() OVER (PARTITION BY conv_id, turn, i - j ORDER BY i) AS island FROM p JOIN q USING (k, x)),
+n AS (SELECT conv_id, turn, count(*) AS n FROM m GROUP BY conv_id, turn, diagonal, island)
+SELECT c.conv_id, c.turn, coalesce(max(n.n), 0)::INT AS echo_max_chars FROM c LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn GROUP BY c.conv_id, c.turn""")
 def echo_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The longest stretch that a turn has in common with the anchor of its conversation."""
     # the n-th conversation id modulo the number of anchors has the n-th anchor, so that each anchor is used; only ids are numbered in one task
     items = B.table(spark, d, "benchmark")
     places = items.select("item_id").distinct().select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("k"))
     anchors = items.select("item_id", gates.echo_source(F.col("text")).alias("a")).join(places, "item_id")
     count = places.agg(F.count("*").alias("_n"))
     rows = B.table(spark, d, "conversations").select("conv_id", "turn", T.clean_text(F.col("text")).alias("t")).join(F.broadcast(count)).withColumn("k", F.pmod(F.col("conv_id").cast("long"), F.col("_n")))
-    return rows.join(anchors, "k").select("conv_id", "turn", gates.longest_common("t", "a").alias("echo_max_chars"))
+    return rows.join(anchors, "k").select("conv_id", "turn", gates.longest_common(F.col("t"), F.col("a")).alias("echo_max_chars"))
 
 
 # ---- limits and health ----

@@ -1,5 +1,6 @@
 """Behaviours of single operators, by literals and by plain Python."""
 
+import difflib
 import random
 
 from pyspark.sql import functions as F
@@ -224,7 +225,21 @@ def test_health_stream_as_batch(spark, tmp_path):
 
 def test_longest_common(spark):
     rows = spark.createDataFrame([("abcdefgh", "xxcdefyy"), ("", "a"), (None, "a"), ("same", "same")], "a string, b string")
-    assert [r[0] for r in rows.select(gates.longest_common("a", "b")).collect()] == [4, 0, 0, 4]
+    assert [r[0] for r in rows.select(gates.longest_common(F.col("a"), F.col("b"))).collect()] == [4, 0, 0, 4]
+
+
+def test_longest_common_as_loop(spark):
+    """Random texts with planted stretches, empty and null ones, repetitions, and characters of one to four bytes."""
+    rng, pairs = random.Random(9), [("", ""), ("a", "a"), ("a", "b"), (None, "x"), ("aaaa" * 40, "aaa" * 30), ("é中😀x" * 9, "中😀x" * 5), ("x" * 1000 + "needle", "needle" + "y" * 700)]
+    for _ in range(120):
+        k = rng.choice(["ab", "abcdefgh", "abé中😀"])
+        a, b = ("".join(rng.choices(k, k=rng.randint(0, 90))) for _ in range(2))
+        shared = "".join(rng.choices(k, k=rng.randint(0, 70)))
+        pairs.append((a + shared + a[:7], b[:9] + shared + b))
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string").select("i", gates.longest_common(F.col("a"), F.col("b")).alias("n"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = {i: difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).find_longest_match().size for i, (a, b) in enumerate(pairs)}
+    assert {r.i: r.n for r in got.collect()} == want and "Python" not in plan
 
 
 def test_echo_uses_every_anchor(spark, tmp_path):
