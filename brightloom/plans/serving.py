@@ -473,6 +473,20 @@ def echo_gate(spark: SparkSession, d: str) -> DataFrame:
     return gates.echo_hits(drafts, anchors).where("draft_id = anchor_id").select("draft_id", "anchor_id", (F.col("echo_max_chars") >= 20).alias("long"))
 
 
+@query("""WITH r AS (SELECT item_id, item_id % 3 AS author_id, regexp_replace(text, '\\s+', '', 'g') AS a, regexp_replace('pre ' || text[20:80] || text[1:25] || ' post', '\\s+', '', 'g') AS t FROM benchmark),
+p AS (SELECT item_id AS draft_id, author_id, unnest(string_split(t, '')) AS x, generate_subscripts(string_split(t, ''), 1) AS i FROM r), q AS (SELECT item_id AS anchor_id, author_id, unnest(string_split(a, '')) AS x, generate_subscripts(string_split(a, ''), 1) AS j FROM r),
+m AS (SELECT draft_id, anchor_id, i - j AS diagonal, i - row_number() OVER (PARTITION BY draft_id, anchor_id, i - j ORDER BY i) AS island FROM p JOIN q USING (author_id, x)),
+n AS (SELECT draft_id, anchor_id, count(*) AS n FROM m GROUP BY draft_id, anchor_id, diagonal, island)
+SELECT draft_id, anchor_id, max(n)::INT AS echo_max_chars FROM n GROUP BY draft_id, anchor_id HAVING max(n) >= 20""")
+def echo_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a draft and an anchor of its author with a stretch of twenty characters or more, and its length."""
+    bare = F.regexp_replace("text", r"(?U)\s+", "")
+    rows = B.table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 3).alias("author_id"), "text")
+    anchors = rows.select(F.col("item_id").alias("anchor_id"), "author_id", bare.alias("text"))
+    drafts = rows.select(F.col("item_id").alias("draft_id"), "author_id", _joined("pre ", F.substring("text", 20, 61), F.substring("text", 1, 25), " post").alias("text"))
+    return gates.echo_hits(drafts, anchors)
+
+
 # ---- limits and time ----
 
 
