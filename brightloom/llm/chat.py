@@ -276,4 +276,5 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its roles repaired at least cost; cases as in ``formatted``."""
     return formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

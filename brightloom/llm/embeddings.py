@@ -39,13 +39,19 @@ def shape_of(n: int, threshold: float, recall: float, bucket: int) -> tuple[int,
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
-def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.stack([np.frombuffer(x, dtype="<f4") for x in vectors]).astype(np.float64)
+def float_kind(rows: DataFrame) -> tuple[str, str]:
+    """(SQL type, bytes) in which the components of ``embedding`` are carried: single precision only if the table has no more."""
+    return ("array<float>", "<f4") if rows.schema["embedding"].dataType.simpleString() == "array<float>" else ("array<double>", "<f8")
+
+
+def _unit(vectors: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.stack([np.frombuffer(x, dtype=kind) for x in vectors]).astype(np.float64)
     return rows, np.sqrt((rows * rows).sum(axis=1))
 
 
 def hash_keys(classes: DataFrame, bits: int, tables: int, seed: int = SEED) -> DataFrame:
     """Adds ``keys``, one number per table, and the vector as bytes."""
+    kind = float_kind(classes)[1]
 
     @F.pandas_udf("keys array<long>, vector binary")
     def of(vectors: pd.Series) -> pd.DataFrame:
@@ -58,18 +64,18 @@ def hash_keys(classes: DataFrame, bits: int, tables: int, seed: int = SEED) -> D
             signs = (rows @ planes > 0).reshape(len(at), tables, bits)
             for i, k in zip(at, signs @ (1 << np.arange(bits, dtype=np.int64)), strict=True):
                 keys[i] = k
-        return pd.DataFrame({"keys": keys, "vector": [np.asarray(v, dtype="<f4").tobytes() for v in vectors]})
+        return pd.DataFrame({"keys": keys, "vector": [np.asarray(v, dtype=kind).tobytes() for v in vectors]})
 
     return classes.withColumn("hashed", of("embedding")).select("rep", "mark", "label", "weight", F.size("embedding").alias("dim"), "hashed.keys", "hashed.vector")
 
 
-def _tile_links(threshold: float):
+def _tile_links(threshold: float, kind: str):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, _, table, _, left, right = key
         own = rows["chunk"].to_numpy() == left
         rows = pd.concat([rows[own], rows[~own]], ignore_index=True)
         n_left, n = int(own.sum()), len(rows)
-        vectors, norms = _unit(rows["vector"])
+        vectors, norms = _unit(rows["vector"], kind)
         keys = np.stack(rows["keys"].to_numpy())[:, :table]
         reps, marks, weights = (rows[c].to_numpy(dtype=np.int64) for c in ("rep", "mark", "weight"))
         first_b = 0 if left == right else n_left
@@ -109,7 +115,7 @@ def link_tiles(classes: DataFrame, threshold: float = THRESHOLD, recall: float =
     ids = ["label", "dim", "table", "key"]
     with_vectors = tiled(keyed, ids, "mark", tile).join(hashed.select("rep", "mark", "weight", "keys", "vector"), ["rep", "mark"])
     groups = with_vectors.groupBy(*ids, "left_chunk", "right_chunk")
-    return groups.applyInPandas(_tile_links(threshold), "rep long, mark long, found long, root_rep long, root_mark long")
+    return groups.applyInPandas(_tile_links(threshold, float_kind(classes)[1]), "rep long, mark long, found long, root_rep long, root_mark long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -120,7 +126,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     count as vectors of their own. kept is null where vec_id is. Extra columns are not read; an empty table gives
     no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(float_kind(vectors)[0]).alias("embedding"))
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
     hashes = [F.xxhash64("embedding").alias("e1"), F.xxhash64(F.lit(9), "embedding").alias("e2")]
     mark = F.xxhash64("label", "e1", "e2").alias("mark")
@@ -139,6 +145,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector of embeddings; cases as in ``near_vectors``."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
 
 

@@ -91,6 +91,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents repeated to the default weights of their sources; cases as in ``mixed``."""
     docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text"))
     out = mixed(docs)
     return out.select("doc_id", "source", "mix_copy", "mix_key", "lang", "n_chars", "text")

@@ -201,6 +201,26 @@ def test_simhash_and_embeddings_without_broadcast(spark, no_broadcast):
     assert {r.vec_id: r.n_links for r in embeddings.near_vectors(table).collect()} == {i: int(near[i].sum()) - 1 for i in range(len(vectors))}
 
 
+def test_embeddings_in_double_precision(spark):
+    """Two vectors whose cosine reaches the threshold in double precision and not in single, and the other way round."""
+    rng, rows, want = np.random.default_rng(12), [], {}
+    while len(rows) < 80:
+        a = rng.standard_normal(8) * 1000
+        b = rng.standard_normal(8)
+        b -= a * (a @ b) / (a @ a)
+        turn = np.arccos(0.93) + rng.choice([-1, 1]) * 2e-8
+        b = a * np.cos(turn) + b / np.sqrt(b @ b) * np.sqrt(a @ a) * np.sin(turn)
+        cosine = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y))
+        single = cosine(a.astype(np.float32).astype(float), b.astype(np.float32).astype(float)) >= 0.93
+        if single == (cosine(a, b) >= 0.93) or abs(cosine(a, b) - 0.93) < 1e-12:
+            continue
+        n = len(rows)
+        rows += [(n, a.tolist(), n), (n + 1, b.tolist(), n)]
+        want |= {n: int(cosine(a, b) >= 0.93), n + 1: int(cosine(a, b) >= 0.93)}
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == want and set(want.values()) == {0, 1}
+
+
 def test_lines_of_a_very_long_text(spark):
     """100,000 lost lines in each of five texts, in linear time."""
     common = [f"line number {i:07d} which five documents hold in common" for i in range(50_000)]
