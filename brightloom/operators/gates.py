@@ -169,6 +169,20 @@ def score_message(direction: Column, item_id: Column, title: Column, body: Colum
     )
 
 
+def cited_quotes(drafts: DataFrame, reading: DataFrame) -> DataFrame:
+    """(draft_id, k, item_id, quote, content_text): every note of a draft beside the item of its reading set, if it is one."""
+    notes = drafts.select("draft_id", F.explode(T.footnote_defs(F.col("text"))).alias("d")).select("draft_id", "d.k", "d.item_id", "d.quote")
+    return notes.join(reading, ["draft_id", "item_id"], "left")
+
+
+def citation_hints(drafts: DataFrame, reading: DataFrame) -> DataFrame:
+    """(draft_id, k, hint): for each note whose quote its item does not hold, the item's sentence that comes closest to it,
+    or an empty text. Only such notes reach the Python function; the join has dealt them."""
+    held = F.contains(T.norm(F.col("content_text")), T.norm(F.col("quote")))
+    lost = cited_quotes(drafts, reading).where(F.col("content_text").isNotNull() & (F.col("quote") != "") & ~held)
+    return lost.select("draft_id", "k", closest_sentence("content_text", "quote").alias("hint"))
+
+
 def citation_issues(drafts: DataFrame, reading: DataFrame, minimum: int = 1) -> DataFrame:
     """(draft_id, issues): marks without definition, definitions without mark, unknown items, empty or wrong quotes.
 
@@ -180,7 +194,7 @@ def citation_issues(drafts: DataFrame, reading: DataFrame, minimum: int = 1) ->
     labelled = lambda values, label: F.transform(F.array_sort(values), lambda k: F.concat(F.lit(label + ":"), k.cast("string")))
     few = F.when(F.size("_defs") < minimum, F.array(F.concat(F.lit("too_few:"), F.size("_defs").cast("string")))).otherwise(F.array().cast("array<string>"))
     own = rows.select("draft_id", F.concat(few, labelled(F.array_except("_marks", numbers), "undefined"), labelled(F.array_except(numbers, F.col("_marks")), "unmarked")).alias("issues"))
-    quotes = rows.select("draft_id", F.explode("_defs").alias("d")).select("draft_id", "d.k", "d.item_id", "d.quote").join(reading, ["draft_id", "item_id"], "left")
+    quotes = cited_quotes(drafts, reading)
     wrong = F.when(F.col("content_text").isNull(), "not_in_reading_set").when(F.col("quote") == "", "empty_quote").when(~F.contains(T.norm(F.col("content_text")), T.norm(F.col("quote"))), "quote_not_found")
     bad = quotes.withColumn("w", wrong).where("w IS NOT NULL").groupBy("draft_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: F.concat(x["w"], F.lit(":"), x["k"].cast("string"))).alias("more"))
     return own.join(bad, "draft_id", "left").select("draft_id", F.concat("issues", F.coalesce("more", F.array().cast("array<string>"))).alias("issues"))

@@ -487,6 +487,18 @@ def echo_pairs(spark: SparkSession, d: str) -> DataFrame:
     return gates.echo_hits(drafts, anchors)
 
 
+@query()
+def citation_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a draft that quotes itself with letters changed, or truly, or another document; tested against a loop."""
+    docs = B.table(spark, d, "documents").select("doc_id", "text")
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    start = F.regexp_replace(F.substring(text, 1, 70), r"[\[\]\s]+", " ")
+    quote = F.when(n % 3 == 0, F.translate(start, "aeiou", "eeeuu")).when(n % 3 == 1, start).otherwise(F.reverse(start))
+    note = F.concat(F.lit("a[^1]\n[^1]: [条目 "), n.cast("string"), F.lit("] "), quote)
+    reading = docs.select(n.alias("draft_id"), n.alias("item_id"), F.col("text").alias("content_text"))
+    return gates.citation_hints(docs.select(n.alias("draft_id"), note.alias("text")), reading)
+
+
 # ---- limits and time ----
 
 

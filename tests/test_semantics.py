@@ -327,3 +327,25 @@ def test_health_rules():
     h = after(Health(), *[round_of(inserted=0)] * 12)
     assert (h.zero_gain_rounds, h.zero_gain_level) == (0, 2) and after(h, round_of()).zero_gain_level == 0
     assert after(Health(), *[round_of(inserted=0, not_modified=True)] * 12).zero_gain_level == 0
+
+
+def test_citation_hints_as_loop(spark, data):
+    """The closest sentence of every note whose quote is not in its item, over all documents."""
+    from brightloom.plans import serving
+
+    fold = lambda x: re.sub(r"\s+", "", x).lower()
+    want = {}
+    for row in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
+        text = row.text or ""
+        start = re.sub(r"[\[\]\s]+", " ", text[:70])
+        quote = (start.translate(str.maketrans("aeiou", "eeeuu")) if row.doc_id % 3 == 0 else start if row.doc_id % 3 == 1 else start[::-1]).strip()
+        if row.text is None or not quote or fold(quote) in fold(text):
+            continue
+        best = (0.5, "")
+        for sentence in re.split(r"(?<=[。！？!?.])\s+|\n+", text):
+            ratio = difflib.SequenceMatcher(None, fold(quote)[:80], fold(sentence)[:120]).ratio() if len(sentence.strip()) >= 12 else 0.0
+            if ratio > best[0]:
+                best = (ratio, sentence.strip())
+        want[row.doc_id] = best[1]
+    got = {r.draft_id: r.hint for r in serving.citation_hints(spark, data).collect()}
+    assert got == want and sum(x != "" for x in want.values()) > 20
