@@ -128,7 +128,7 @@ class VectorIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.dim = spark, path, None
 
     @staticmethod
     def _side(rows: DataFrame, name: str, most: int, kind: str) -> DataFrame:
@@ -158,10 +158,13 @@ class VectorIndex:
         SPREAD_BYTES are sent to the shards, which stay where they are; more are paired with the shards' numbers first.
         """
         kind, width = ("<f4", 4) if queries.schema["vec"].dataType.simpleString() == "array<float>" else ("<f8", 8)
-        n, dim = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
-        few = n * (dim or 0) * width <= SPREAD_BYTES
+        if self.dim is None:
+            self.dim = self.shards().agg(F.max("dim")).first()[0] or 0
+        n, dim = queries.count(), self.dim  # counting reads no vectors
+        queries = queries.where(F.size("vec") <= dim)  # longer ones find nothing
+        few = n * dim * width <= SPREAD_BYTES
         rows = queries.repartition(-(-n // BLOCK) or 1) if few else queries
-        blocks = self._side(rows, "query_id", BLOCK * max(dim or 0, 1) * width, kind).drop("shard")
+        blocks = self._side(rows, "query_id", BLOCK * max(dim, 1) * width, kind).drop("shard")
         blocks = blocks.select(*[F.col(c).alias(f"q_{c}") for c in blocks.columns])
         shards = self.shards().select(*[F.col(c).alias(f"s_{c}") for c in self.shards().columns])
         if few:
