@@ -223,10 +223,10 @@ def with_resemblance(pairs: DataFrame, items: DataFrame, least: float, item_id:
 
 def _fuzzy_tile(threshold: float, difference: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, left, right = key
-        rows = rows.sort_values("rep").drop_duplicates("rep")
+        _, token, left, right = key
+        rows = rows.sort_values("rep")
         names, reps, sizes = rows["key"].tolist(), rows["rep"].tolist(), rows["key"].str.len().to_numpy()
-        side = rows["chunk"].to_numpy()
+        side, prefixes = rows["chunk"].to_numpy(), [set(p) for p in rows["prefix"]]
         letters = np.zeros((len(names), 64), dtype=np.int16)
         for i, name in enumerate(names):
             np.add.at(letters[i], [ord(c) % 64 for c in name], 1)
@@ -238,6 +238,8 @@ def _fuzzy_tile(threshold: float, difference: int):
             if left != right:
                 near &= side[i + 1 :] != side[i]
             for j in np.flatnonzero(near) + i + 1:
+                if min(prefixes[i] & prefixes[j]) != token:
+                    continue  # the pair is compared where its first shared token is
                 ratio = difflib.SequenceMatcher(None, name, names[j]).ratio()
                 if ratio >= threshold:
                     found.append((reps[i], reps[j], ratio))
@@ -246,19 +248,47 @@ def _fuzzy_tile(threshold: float, difference: int):
     return run
 
 
+def title_prefixes(items: DataFrame, threshold: float = 0.82, width: int = 12, difference: int = 10, low: int = 8, high: int = 120, item_id: str = "item_id") -> DataFrame:
+    """(bucket, key, rep, prefix): the different titles with the rarest of their numbered letters ("e2" is a second e).
+
+    A ratio of ``threshold`` needs so many letters in common that two such titles share one of these: of n letters all
+    but the fewest that a partner in the bucket must share, less one. Rare is what few titles of the bucket hold.
+    """
+    keys = items.select(item_id, T.title_key(F.col("title")).alias("key")).where(F.length("key").between(low, high) & F.col(item_id).isNotNull())
+    rows = keys.groupBy("key").agg(F.min(item_id).alias("rep")).withColumn("bucket", F.floor(F.length("key") / width).cast("int"))
+    letters = F.filter(F.split("key", ""), lambda c: c != "")
+    numbered = T.bound(letters, lambda cs: F.transform(cs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda x: x == c)).cast("string"))))
+    tokens = rows.select("bucket", "key", "rep", F.explode(numbered).alias("token"))
+    # stored, so that the join with a token that most titles hold can be split
+    counts = stored(tokens.groupBy("bucket", "token").agg(F.count("*").alias("n")), "title-tokens")
+    rarest = tokens.join(counts, ["bucket", "token"]).groupBy("bucket", "key", "rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    n = F.length("key")
+    shortest = F.greatest(F.lit(low), F.col("bucket") * width, n - difference)
+    needed = F.ceil(F.lit(threshold) * (n + shortest) / 2 - 1e-9).cast("int")
+    return rarest.select("bucket", "key", "rep", F.transform(F.slice("t", F.lit(1), F.greatest(n - needed + 1, F.lit(0))), lambda x: x["token"]).alias("prefix"))
+
+
+def title_work(items: DataFrame, **limits) -> DataFrame:
+    """(compared, pairs): at most so many pairs of titles meet in ``fuzzy_title_pairs``, and all pairs of the buckets."""
+    rows = stored(title_prefixes(items, **limits), "title-prefixes")
+    pairs = lambda t, *by: t.groupBy(*by).agg(F.count("*").alias("n")).select(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("n"))
+    met = pairs(rows.select("bucket", F.explode("prefix").alias("token")), "bucket", "token")
+    return met.select(F.col("n").alias("compared")).crossJoin(pairs(rows, "bucket").select(F.col("n").alias("pairs")))  # a row each
+
+
 def fuzzy_title_pairs(items: DataFrame, threshold: float = 0.82, width: int = 12, difference: int = 10, low: int = 8, high: int = 120, tile: int = 512, item_id: str = "item_id") -> DataFrame:
     """(a, b, ratio): different titles of a length bucket that resemble each other; a title stands for its smallest id.
 
     Titles count without blanks and punctuation, those of ``low`` to ``high`` characters, and only pairs whose lengths
-    differ by ``difference`` at most. A bucket is cut into chunks; a task compares two chunks and gives matches only.
+    differ by ``difference`` at most. Titles meet in the lists of their rarest letters, once for each pair. A long list
+    is cut into chunks; a task compares two chunks and gives matches only. Rows without an id are left out.
     """
-    keys = items.select(item_id, T.title_key(F.col("title")).alias("key")).where(F.length("key").between(low, high))
-    rows = keys.groupBy("key").agg(F.min(item_id).alias("rep")).withColumn("bucket", F.floor(F.length("key") / width).cast("int"))
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
-    placed = rows.join(F.broadcast(sizes), "bucket")  # at most high / width buckets
+    rows = stored(title_prefixes(items, threshold, width, difference, low, high, item_id), "title-prefixes").withColumn("token", F.explode("prefix"))
+    sizes = stored(rows.groupBy("bucket", "token").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "token", F.ceil(F.col("n") / tile).cast("int").alias("chunks")), "title-lists")
+    placed = rows.join(sizes, ["bucket", "token"])
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("bucket", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "rep", "key")
-    return placed.groupBy("bucket", "left", "right").applyInPandas(_fuzzy_tile(threshold, difference), "a long, b long, ratio double")
+    placed = placed.select("bucket", "token", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "rep", "key", "prefix")
+    return placed.groupBy("bucket", "token", "left", "right").applyInPandas(_fuzzy_tile(threshold, difference), "a long, b long, ratio double")
 
 
 def title_pairs(items: DataFrame, max_df: int = 6, min_shared: int = 2, item_id: str = "item_id") -> DataFrame:

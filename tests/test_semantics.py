@@ -349,3 +349,20 @@ def test_citation_hints_as_loop(spark, data):
         want[row.doc_id] = best[1]
     got = {r.draft_id: r.hint for r in serving.citation_hints(spark, data).collect()}
     assert got == want and sum(x != "" for x in want.values()) > 20
+
+
+def test_fuzzy_titles_meet_by_rare_letters(spark):
+    rng = random.Random(11)
+    base = ["".join(chr(0x4E00 + min(int(rng.expovariate(1 / 250)), 2999)) for _ in range(rng.randint(8, 40))) for _ in range(400)]
+    near = [b[: len(b) // 2] + "新" + b[len(b) // 2 + 1 :] for b in base[:80]]
+    titles = base + near + ["𠮷" * 9 + "野家", "𠮷" * 9 + "野屋", "啊" * 20, "啊" * 19 + "呀"]
+    rows = spark.createDataFrame([*enumerate(titles), (None, base[0][:-1])], "item_id long, title string")
+    want = set()
+    for (i, a), (j, b) in itertools.combinations(enumerate(titles), 2):
+        if a != b and len(a) // 12 == len(b) // 12 and abs(len(a) - len(b)) <= 10 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.82:
+            want.add((i, j))
+    got = ingest.fuzzy_title_pairs(rows, tile=64).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == want and len(got) == len(want) > 60
+    work = ingest.title_work(rows).first()
+    assert work.compared * 4 < work.pairs
+    assert ingest.title_work(rows.limit(0)).first() == (0, 0) and ingest.fuzzy_title_pairs(rows.limit(0)).count() == 0
