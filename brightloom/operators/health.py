@@ -218,3 +218,64 @@ def health_after(rounds: DataFrame, every: bool = False, s: Settings = DEFAULTS)
 
     order = ["source_id", "now", "round_id"]
     return rounds.repartition("source_id").sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+#: A row of a timeline: a round of a source (round_id is set) or an alarm (notice is set), with the state after it.
+TIMELINE = f"source_id long, at double, round_id long, notice string, {STATE}"
+
+
+def alarms(h: Health, seen: float, expiry: float, s: Settings = DEFAULTS) -> list[tuple[float, str]]:
+    """(time, notice) of what comes due by itself after a source's last round at ``seen``: the ends of its limits, the
+    probe of a dead source, and that it counts as dropped after ``expiry`` seconds without a round."""
+    due = [(seen + expiry, "dropped"), (h.rate_limited_until, "rate_limit_over"), (h.keyword_limited_until, "keyword_limit_over")]
+    if h.failure_level == "hard_failed" and h.failure_since is not None:
+        due.append((max(h.failure_since, h.last_probe_at or h.failure_since) + 86400.0 * s.hard_fail_probe_days, "probe_due"))
+    return sorted((t, name) for t, name in due if t is not None)
+
+
+def timeline(h: Health | None, since: float, seen: float, rounds: list[dict], until: float, expiry: float, s: Settings = DEFAULTS) -> tuple[list[dict], Health | None, float, float]:
+    """(rows, state, since, seen) after a source's rounds, in order, and its alarms up to the time ``until``.
+
+    Alarms up to ``since`` have been told. One that is due when a round begins comes before it. A dropped source has no
+    state (None); its next round begins anew.
+    """
+    out: list[dict] = []
+    for r in [*rounds, None]:
+        end = until if r is None else r["now"]
+        for t, name in alarms(h, seen, expiry, s) if h is not None else ():
+            if since < t <= end and h is not None:
+                out.append({"at": t, "round_id": None, "notice": name, **asdict(h)})
+                h = None if name == "dropped" else h
+        since = max(since, end)
+        if r is not None:
+            h, seen = advance(Health() if h is None else h, r, s), end
+            out.append({"at": end, "round_id": r["round_id"], "notice": None, **asdict(h)})
+    return out, h, since, seen
+
+
+def health_timeline(rounds: DataFrame, until: float, expiry_days: float = 30.0, s: Settings = DEFAULTS) -> DataFrame:
+    """All rounds (up to ``until``) with the state after each, and the alarms between and after them.
+
+    Rounds are ordered by (now, round_id). A partition is read in order, a round of a source at a time, so what is held
+    does not grow with a source's rounds. Rows without a time take no part.
+    """
+    wanted = to_arrow_schema(StructType.fromDDL(TIMELINE))
+    expiry = expiry_days * 86400.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, held = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["source_id"] != source:
+                    if held:
+                        out += [{"source_id": source, **x} for x in timeline(*held, [], until, expiry, s)[0]]
+                    source, held = row["source_id"], (None, float("-inf"), float("-inf"))
+                rows, *held = timeline(*held, [clean_round(row)], row["now"], expiry, s)
+                out += [{"source_id": source, **x} for x in rows]
+            yield pa.RecordBatch.from_pylist(out, schema=wanted)
+        if held:
+            yield pa.RecordBatch.from_pylist([{"source_id": source, **x} for x in timeline(*held, [], until, expiry, s)[0]], schema=wanted)
+
+    known = rounds.where(F.col("now").isNotNull() & (F.col("now") <= until))
+    return known.repartition("source_id").sortWithinPartitions("source_id", "now", "round_id").mapInArrow(run, TIMELINE)

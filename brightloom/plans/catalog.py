@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -809,6 +810,12 @@ def health_machine(spark: SparkSession, d: str) -> DataFrame:
     return health.health_after(_rounds(spark, d))
 
 
+@query()
+def health_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Rounds and alarms of every source up to the moment of the queries; the stream is tested against it."""
+    return health.health_timeline(_rounds(spark, d), datetime.fromisoformat(B.NOW + "+00:00").timestamp()).select("source_id", "at", "round_id", "notice", "failure_level", "rate_limited_until")
+
+
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """supplier as sources of every state."""
     n = F.col("s_suppkey")
