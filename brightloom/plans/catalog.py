@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions import dates as D
+from brightloom.functions import tables
 from brightloom.functions import text as T
 from brightloom.functions import urls as U
 from brightloom.functions import vectors as V
@@ -588,6 +589,25 @@ def text_slices(spark: SparkSession, d: str) -> DataFrame:
     return ranking.slices(texts, ["the", "de", "die"])
 
 
+@query()
+def text_slices_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The same by SQL text, with the table function; tested against it."""
+    tables.register(spark)
+    texts = B.table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("file"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return spark.sql("SELECT * FROM slices(TABLE({texts}) PARTITION BY (file), array('the', 'de', 'die')) ORDER BY score DESC, file, i, n LIMIT 30", texts=texts)
+
+
+@query("""SELECT doc_id, 1 AS k, doc_id + 2 AS item_id, source || ' again' AS quote FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 1, doc_id, source FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 2, doc_id + 1, coalesce(lang, '') FROM documents""")
+def footnote_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The notes of a draft of every document by SQL text, with the lateral table function; the last of a number counts."""
+    tables.register(spark)
+    note = lambda k, more, quote: F.concat(F.lit(f"\n[^{k}]: [条目 "), (F.col("doc_id") + more).cast("string"), F.lit("] "), quote)
+    again = F.when(F.col("doc_id") % 2 == 0, note(1, 2, F.concat("source", F.lit(" again ")))).otherwise("")
+    drafts = B.table(spark, d, "documents").select("doc_id", F.concat(F.lit("a[^1] b[^2]"), note(1, 0, F.col("source")), note(2, 1, F.coalesce("lang", F.lit(""))), again).alias("text"))
+    return spark.sql("SELECT doc_id, n.* FROM {drafts}, LATERAL footnotes(text) AS n", drafts=drafts)
+
+
 # ---- hot topics and gates ----
 
 

@@ -30,9 +30,9 @@ def _text_file(rows: DataFrame, column: Column, name: str) -> str:
 
 
 def _xml_files(items: DataFrame, column: Column, root: tuple[str, str], name: str) -> str:
-    """The items as documents of a root element, a file each, as responses of seven sources would be."""
+    """The items as documents of a root element, a file for each block of 1,000 ids, as responses of sources would be."""
     path = fresh_path(items.sparkSession, name)
-    documents = items.groupBy(F.pmod(F.col("p_partkey"), F.lit(7))).agg(F.concat(F.lit(root[0]), F.array_join(F.collect_list(column), ""), F.lit(root[1])).alias("value"))
+    documents = items.groupBy(F.floor(F.col("p_partkey") / 1000)).agg(F.concat(F.lit(root[0]), F.array_join(F.collect_list(column), ""), F.lit(root[1])).alias("value"))
     documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from brightloom.functions import text as T
 from brightloom.operators.ingest import entry_body, entry_keys
@@ -38,18 +39,36 @@ def feed_time(value: Column) -> Column:
 
 def rss_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of RSS files: (position, id, link, title, published_at, content_text) with guid, url and fingerprint."""
-    rows = spark.read.format("xml").option("rowTag", "item").option("nullValue", "").schema(RSS_ITEM).load(path)
+    return _rss(spark.read, path)
+
+
+def rss_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the RSS files as they arrive: each file is read once, also after a restart from the checkpoint."""
+    return _rss(spark.readStream, path)
+
+
+def _rss(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    rows = reader.format("xml").option("rowTag", "item").option("nullValue", "").schema(RSS_ITEM).load(path)
     return _entries(rows.select(F.col("guid._VALUE").alias("id"), "link", F.col("link").alias("link_alt"), "title", F.col("pubDate").alias("published"), F.lit(None).cast("string").alias("updated"), F.col("description").alias("summary"), F.col("`content:encoded`").alias("content")))
 
 
 def atom_entries(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(ATOM_ENTRY).load(path)
+    return _atom(spark.read, path)
+
+
+def atom_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom files as they arrive."""
+    return _atom(spark.readStream, path)
+
+
+def _atom(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    rows = reader.format("xml").option("rowTag", "entry").schema(ATOM_ENTRY).load(path)
     link = F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"]
     return _entries(rows.select("id", link.alias("link"), F.get("link", 0)["_href"].alias("link_alt"), "title", "published", "updated", "summary", "content"))
 
 
 def _entries(rows: DataFrame) -> DataFrame:
-    keyed = entry_keys(rows.withColumn("title", T.fold(F.coalesce("title", F.lit("")))).withColumn("position", F.monotonically_increasing_id()))
+    keyed = entry_keys(rows.withColumn("title", T.fold(F.coalesce("title", F.lit("")))).withColumn("position", F.lit(None).cast("long") if rows.isStreaming else F.monotonically_increasing_id()))
     body = entry_body(F.col("content"), F.col("summary"), F.lit(None).cast("string"))
     return keyed.withColumn("content_text", body).withColumn("published_at", F.coalesce(feed_time(F.col("published")), feed_time(F.col("updated")))).where("guid <> ''")
 

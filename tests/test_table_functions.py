@@ -39,3 +39,11 @@ def test_footnotes_from_sql(spark):
     assert sorted(map(tuple, query.collect())) == sorted(map(tuple, want)) and len(want) == 3
     plan = query._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_sliced_query_by_sql(spark, data):
+    from brightloom.plans.catalog import QUERIES
+
+    got, want = QUERIES["text_slices_sql"](spark, data), QUERIES["text_slices"](spark, data)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert list(map(tuple, got.select(*want.columns).collect())) == list(map(tuple, want.collect()))
