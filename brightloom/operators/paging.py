@@ -1,7 +1,8 @@
 """Deep pages of a list by a zone index: a page reads the files that hold it, and no others.
 
 The table is written in the order of its id, newest first, in files of ranges; the index has the number of rows and the
-range of each file. A page of any depth finds its files by the sums of rows before them, one row a file.
+range of each file. A page of any depth finds its files by the sums of rows before them, one row a file. Rows of one
+key are ordered by their other columns, so that pages neither share rows nor lose any, however the rows were dealt.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from brightloom.storage import fresh_path
 
 
 class PagedTable:
-    """A table in a folder of the shared storage, ordered by ``key`` from the largest to the smallest."""
+    """A table in a folder of the shared storage, ordered by ``key`` from the largest to the smallest, then by the other
+    columns likewise (those that can be ordered)."""
 
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path, key
@@ -51,4 +53,6 @@ class PagedTable:
         if not files:
             return self.rows.limit(0)
         part = self.spark.read.schema(self.rows.schema).parquet(*[name for name, _ in files])
-        return part.orderBy(F.desc(self.key)).offset(offset - files[0][1]).limit(limit)
+        kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema if f.name != self.key}
+        ties = [F.desc(name) for name, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+        return part.orderBy(F.desc(self.key), *ties).offset(offset - files[0][1]).limit(limit)

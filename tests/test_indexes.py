@@ -244,6 +244,16 @@ def test_deep_pages_read_their_files_only(spark, tmp_path):
     assert empty.total() == 0 and empty.page(0, 10).count() == 0
 
 
+def test_pages_of_repeated_keys_do_not_depend_on_how_rows_were_dealt(spark, tmp_path):
+    want = sorted(((i // 5, i * 37 % 101) for i in range(1000)), reverse=True)
+    for n, seed in enumerate((3, 8)):
+        rows = list(want)
+        random.Random(seed).shuffle(rows)
+        table = PagedTable.build(spark.createDataFrame(rows, "id long, v long").repartition(n + 2), "id", f"file://{tmp_path}/t{n}", files=6)
+        for offset, limit in ((0, 7), (7, 7), (498, 3), (993, 7)):
+            assert [(r.id, r.v) for r in table.page(offset, limit).collect()] == want[offset : offset + limit]
+
+
 @pytest.mark.parametrize("kind", ["distinct", "ties", "one", "double", "small"])
 def test_percentiles_in_two_passes(spark, kind):
     rng = random.Random(7)
