@@ -25,8 +25,7 @@ def length_issue(text: Column, low: int = 0, high: int = 10**9) -> Column:
 
 def style_hits(text: Column, words: list[str]) -> Column:
     """The lexicon words that the clean text holds, in the lexicon's order."""
-    clean = T.clean_text(text)
-    return F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(clean, w))
+    return T.bound(T.clean_text(text), lambda clean: F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.contains(clean, w)))
 
 
 def echo_source(anchor: Column) -> Column:
@@ -90,13 +89,20 @@ def echo_hits(drafts: DataFrame, anchors: DataFrame, n: int = DEFAULTS.echo_min_
 def shared_ngrams(drafts: DataFrame, blocks: DataFrame, n: int = DEFAULTS.copyright_ngram) -> DataFrame:
     """(draft_id, hits, level): distinct n-grams of a draft found in any block; 2 are an issue, 1 is a warning.
 
-    n-grams are cut from bounded parts of the texts, exploded and joined, so no draft meets a block it shares nothing
-    with; only the n-grams that are found in a block are made distinct.
+    An n-gram holds a whole one of the pieces of half its length that a draft is cut into end to end. So pieces are joined
+    with what the blocks hold of that length, by hashes, and n-grams are cut only around those that are found; these are
+    joined with the blocks' n-grams as texts, which decides. No draft meets a block it shares nothing with.
     """
-    parts = lambda t, key: t.select(*key, F.explode(T.pieces(T.norm(T.clean_text(F.col("text"))), n)).alias("part"))
-    grams = lambda t, key: parts(t, key).select(*key, F.explode(F.array_distinct(T.ngrams(F.col("part"), n))).alias("g"))
-    block_grams = grams(blocks.where(F.length(T.norm(F.col("text"))) >= n), []).distinct()
-    hits = grams(drafts, ["draft_id"]).join(block_grams, "g", "left_semi").distinct().groupBy("draft_id").agg(F.count("*").alias("hits"))
+    half = (n + 1) // 2
+    bare = lambda t, *key: t.select(*key, F.lower(F.coalesce(T.clean_text(F.col("text")), F.lit(""))).alias("t"))
+    grams = lambda m: bare(blocks.where(F.length(T.norm(F.col("text"))) >= n)).select(F.explode(T.pieces(F.col("t"), m)).alias("part")).select(F.explode(F.array_distinct(T.ngrams(F.col("part"), m))).alias("g"))
+    seeds, block_grams = grams(half).select(F.xxhash64("g").alias("seed")).distinct(), grams(n).distinct()
+    beside = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    around = lambda c: F.transform(c, lambda x, i: F.struct(F.xxhash64(x).alias("seed"), F.concat(beside(c, i - 1), x, beside(c, i + 1)).alias("around")))
+    cut = T.bound(F.regexp_extract_all(F.col("t"), F.lit(f"(?s).{{1,{half}}}"), F.lit(0)), around)
+    found = bare(drafts, "draft_id").where(F.length("t") >= n).select("draft_id", F.inline(cut)).join(seeds, "seed", "left_semi")
+    own = found.select("draft_id", F.explode(T.ngrams(F.col("around"), n)).alias("g"))
+    hits = own.join(block_grams, "g", "left_semi").distinct().groupBy("draft_id").agg(F.count("*").alias("hits"))
     rows = drafts.select("draft_id").join(hits, "draft_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return rows.withColumn("level", F.when(F.col("hits") >= 2, "issue").when(F.col("hits") == 1, "warn").otherwise("pass"))
 

@@ -366,3 +366,43 @@ def test_fuzzy_titles_meet_by_rare_letters(spark):
     work = ingest.title_work(rows).first()
     assert work.compared * 4 < work.pairs
     assert ingest.title_work(rows.limit(0)).first() == (0, 0) and ingest.fuzzy_title_pairs(rows.limit(0)).count() == 0
+
+
+def generated_rows(rows):
+    """Rows that the explodes of a finished query gave."""
+    node, total, todo = None, 0, [rows._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "GenerateExec":
+            total += node.metrics().apply("numOutputRows").value()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 40])
+def test_shared_ngrams_of_any_length(spark, n):
+    rng = random.Random(n)
+    word = lambda size: "".join(rng.choice("abcdefgh" if n > 4 else "𠮷新啊bcdefghijklmnop") for _ in range(size))
+    blocks = [word(rng.randint(1, 3 * n)) for _ in range(12)] + [word(1200)]
+    drafts = [word(rng.randint(0, 120)) for _ in range(30)]
+    for size in (n - 1, n, n + 1, n + 3):
+        for at in range(12):
+            b = blocks[-1][at * 7 : at * 7 + size]
+            drafts.append(word(at) + b + "|" + " " * at + word(5) + b)
+    drafts += [None, "", blocks[-1]]
+    cut = lambda t: {t[i : i + n] for i in range(len(t) - n + 1)}
+    held = set().union(*map(cut, blocks))
+    want = {i: len(cut(re.sub(r"\s", "", t or "")) & held) for i, t in enumerate(drafts)}
+    found = gates.shared_ngrams(spark.createDataFrame([*enumerate(drafts)], "draft_id long, text string"), spark.createDataFrame([(b,) for b in blocks], "text string"), n=n)
+    assert {r.draft_id: r.hits for r in found.collect()} == want
+
+
+def test_shared_ngrams_are_cut_around_hits_only(spark):
+    """What is exploded is a small part of the drafts' n-grams."""
+    rng = random.Random(4)
+    drafts = ["".join(rng.choice("abcdefghij") for _ in range(4000)) for _ in range(20)]
+    found = gates.shared_ngrams(spark.createDataFrame([*enumerate(drafts)], "draft_id long, text string"), spark.createDataFrame([(drafts[3][100:160],)], "text string"), n=40)
+    assert {r.draft_id: r.hits for r in found.collect()} == {i: 21 if i == 3 else 0 for i in range(20)}
+    assert 0 < generated_rows(found) < 0.1 * sum(map(len, drafts))
