@@ -60,7 +60,7 @@ def norm(text: Column) -> Column:
 
 def strip_footnotes(text: Column) -> Column:
     """Without footnote definitions and footnote marks."""
-    return F.regexp_replace(F.regexp_replace(text, FOOTNOTE_LINE, ""), FOOTNOTE_MARK, "")
+    return F.when(F.contains(text, F.lit("[^")), F.regexp_replace(F.regexp_replace(text, FOOTNOTE_LINE, ""), FOOTNOTE_MARK, "")).otherwise(text)
 
 
 def clean_text(text: Column) -> Column:
@@ -148,7 +148,8 @@ def rhythm_stddev(text: Column, min_sentences: int = 5) -> Column:
 def footnote_marks(text: Column) -> Column:
     """Distinct numbers of footnote marks outside of the definition lines."""
     body = F.regexp_replace(text, FOOTNOTE_LINE, "")
-    return F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\[\^(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    marks = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"\[\^(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    return F.when(~F.contains(text, F.lit("[^")), F.array().cast("array<int>")).otherwise(marks)
 
 
 def footnote_defs(text: Column) -> Column:
@@ -158,7 +159,8 @@ def footnote_defs(text: Column) -> Column:
         F.arrays_zip(part(1).alias("k"), part(2).alias("item_id"), part(3).alias("quote")),
         lambda r: F.struct(r["k"].cast("int").alias("k"), r["item_id"].cast("long").alias("item_id"), strip(r["quote"]).alias("quote")),
     )
-    return F.filter(rows, lambda r, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda later: later["k"] == r["k"]))
+    last = bound(rows, lambda found: F.filter(found, lambda r, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["k"] == r["k"])))
+    return F.when(~F.contains(text, F.lit("[^")), F.array().cast("array<struct<k:int,item_id:bigint,quote:string>>")).otherwise(last)
 
 
 def break_delimiters(text: Column, tags: tuple[str, ...] = ("document",)) -> Column:

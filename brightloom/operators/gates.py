@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from brightloom.config import DEFAULTS
 from brightloom.functions import text as T
 from brightloom.functions import urls as U
+from brightloom.storage import stored
 
 # fixed value: what stands for a memory module without entries
 NO_MEMORY = "（暂无记录）"
@@ -19,8 +20,8 @@ NO_MEMORY = "（暂无记录）"
 
 def length_issue(text: Column, low: int = 0, high: int = 10**9) -> Column:
     """struct(chars, issue): characters without footnotes and blanks; an issue outside of the bounds."""
-    n = F.length(T.clean_text(text))
-    return F.struct(n.alias("chars"), F.when(n < low, F.concat(n.cast("string"), F.lit(f" < {low}"))).when(n > high, F.concat(n.cast("string"), F.lit(f" > {high}"))).alias("issue"))
+    issue = lambda n: F.when(n < low, F.concat(n.cast("string"), F.lit(f" < {low}"))).when(n > high, F.concat(n.cast("string"), F.lit(f" > {high}")))
+    return T.bound(F.length(T.clean_text(text)), lambda n: F.struct(n.alias("chars"), issue(n).alias("issue")))
 
 
 def style_hits(text: Column, words: list[str]) -> Column:
@@ -143,9 +144,9 @@ def gate_run(drafts: DataFrame, reading: DataFrame, blocks: DataFrame, recent: D
 
     ``reading`` has (draft_id, item_id, content_text), ``blocks`` text, ``recent`` (author_id, recent_title, place). One
     shared n-gram is a warning, more are an issue. Each gate is a table of its own, made by its operator; drafts that it
-    has nothing to say about are not in it.
+    has nothing to say about are not in it. Length and style are stored, so that texts are cleaned once for both.
     """
-    texts = drafts.select("draft_id", length_issue(F.col("text"), low, high)["issue"].alias("length"), F.size(style_hits(F.col("text"), words)).alias("style"))
+    texts = stored(drafts.select("draft_id", length_issue(F.col("text"), low, high)["issue"].alias("length"), F.size(style_hits(F.col("text"), words)).alias("style")), "text-gates")
     issue = lambda rows, message: rows.select("draft_id", F.lit("issue").alias("level"), message.alias("message"))
     cited = citation_issues(drafts.select("draft_id", "text"), reading, min_citations).where(F.size("issues") > 0)
     reused = shared_ngrams(drafts.select("draft_id", "text"), blocks, n).where("level <> 'pass'")

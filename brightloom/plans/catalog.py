@@ -695,16 +695,17 @@ def gate_run(spark: SparkSession, d: str) -> DataFrame:
     drafts = stored(docs.join(after, "doc_id", "left").select(n.alias("draft_id"), F.col("lang").alias("author_id"), T.first_line(F.col("text")).alias("title"), F.concat(F.col("text"), note).alias("text")), "drafts")
     reading = docs.select(n.alias("draft_id"), n.alias("item_id"), F.col("text").alias("content_text"))
     titles = drafts.select("author_id", F.col("title").alias("recent_title"), (-F.col("draft_id")).alias("o"))
-    recent = ranking.recent(titles, "author_id", "o", 5).select("author_id", "recent_title", (-F.col("o")).alias("place"))
+    recent = stored(ranking.recent(titles, "author_id", "o", 5).select("author_id", "recent_title", (-F.col("o")).alias("place")), "recent-titles")
     # a draft is no repeat of itself: those among the first five meet the others of them by author and place
-    own = drafts.join(recent.select("author_id", F.col("place").alias("draft_id")), ["author_id", "draft_id"], "left_semi")
+    places = recent.select("author_id", F.col("place").alias("draft_id")).distinct()
+    key = lambda own: F.when(F.col("author_id").isNotNull(), F.struct("author_id", own.cast("long").alias("own")))
+    others = places.join(recent, "author_id").where("place <> draft_id").withColumn("author_id", key(F.col("draft_id")))
+    known = recent.withColumn("author_id", key(F.lit(None))).unionByName(others.drop("draft_id"))
+    marked = drafts.join(places.withColumn("_own", F.col("draft_id")), ["author_id", "draft_id"], "left")
+    drafts = marked.select("draft_id", key(F.col("_own")).alias("author_id"), "title", "text")
     args = {"low": 100, "high": 5000, "words": ["tion", "ung", "en"], "min_hits": 2, "n": 40}
-    blocks = B.table(spark, d, "benchmark").select("text")
-    rest = gates.gate_run(drafts.join(own.select("draft_id"), "draft_id", "left_anti"), reading, blocks, recent, **args)
-    own_key = F.concat_ws("/", "author_id", F.col("draft_id").cast("string"))
-    others = own.select("author_id", "draft_id").join(recent, "author_id").where("place <> draft_id").select(own_key.alias("author_id"), "recent_title", "place")
-    first = gates.gate_run(own.withColumn("author_id", own_key), reading, blocks, others, **args)
-    return rest.unionByName(first).select("draft_id", "passed", F.array_join("issues", ",").alias("issues"), F.array_join("warns", ",").alias("warns"))
+    rows = gates.gate_run(drafts, reading, B.table(spark, d, "benchmark").select("text"), known, **args)
+    return rows.select("draft_id", "passed", F.array_join("issues", ",").alias("issues"), F.array_join("warns", ",").alias("warns"))
 
 
 @query("""WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '【') AND NOT starts_with(x, '（续') AND NOT starts_with(x, '(')) AS lines FROM benchmark),

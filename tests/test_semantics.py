@@ -406,3 +406,18 @@ def test_shared_ngrams_are_cut_around_hits_only(spark):
     found = gates.shared_ngrams(spark.createDataFrame([*enumerate(drafts)], "draft_id long, text string"), spark.createDataFrame([(drafts[3][100:160],)], "text string"), n=40)
     assert {r.draft_id: r.hits for r in found.collect()} == {i: 21 if i == 3 else 0 for i in range(20)}
     assert 0 < generated_rows(found) < 0.1 * sum(map(len, drafts))
+
+
+def test_gate_run_goes_over_drafts_once_a_gate(spark, data):
+    """One run for all drafts, those among an author's first titles too: its plan scans few tables."""
+    from brightloom.plans import catalog
+
+    plan = catalog.gate_run(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 16
+
+
+def test_texts_without_notes_have_no_marks_and_definitions(spark):
+    rows = spark.createDataFrame([(0, "plain [x] text"), (1, None), (2, "a[^1]\n[^1]: [条目 7] q\n[^1]: [条目 8] r\n[^2]: [条目 9] s")], "i long, t string")
+    got = {r.i: r for r in rows.select("i", T.footnote_marks(F.col("t")).alias("m"), T.footnote_defs(F.col("t")).alias("d"), T.clean_text(F.col("t")).alias("c")).collect()}
+    assert (got[0].m, got[0].d, got[0].c) == ([], [], "plain[x]text") and (got[1].m, got[1].d, got[1].c) == (None, None, None)
+    assert got[2].m == [1] and [tuple(x) for x in got[2].d] == [(1, 8, "r"), (2, 9, "s")] and got[2].c == "a"
