@@ -408,6 +408,37 @@ def test_shared_ngrams_are_cut_around_hits_only(spark):
     assert 0 < generated_rows(found) < 0.1 * sum(map(len, drafts))
 
 
+def test_matched_chars_as_difflib():
+    """Matching blocks as difflib's, on small and large alphabets; given up only if they are too few."""
+    rng = random.Random(23)
+    for n in range(1500):
+        letters = "ab" if n % 3 == 0 else "abcdefghijkl" if n % 3 == 1 else "𠮷新啊的是ab"
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(0, 120)))
+        if n % 4 == 0 and a:
+            at = rng.randint(0, 40)
+            b = (b[:at] + a[rng.randint(0, len(a)) :] + b[at:])[:120]
+        want = sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        assert gates.matched_chars(a, b, 0) == gates.matched_chars(a, b, want) == want
+        assert gates.matched_chars(a, b, want + 1) in (-1, want)
+
+
+def test_closest_sentence_gives_up_early():
+    """Windows are left out as soon as they can't matter: a long text costs a small part of difflib's time."""
+    import time
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(800)]
+    body = " ".join(" ".join(rng.choice(words) for _ in range(14)) + "." for _ in range(600))
+    quote = body[:70][::-1]
+    start = time.process_time()
+    fold = lambda x: re.sub(r"\s+", "", x).lower()
+    scored = [(difflib.SequenceMatcher(None, fold(quote)[:80], fold(s)[:120]).ratio(), -i, s.strip()) for i, s in enumerate(re.split(r"(?<=[.])\s+", body)) if len(s.strip()) >= 12]
+    slow, start = time.process_time() - start, time.process_time()
+    got = gates.closest(body, quote)
+    assert got == (max(scored)[2] if max(scored)[0] > 0.5 else "") and time.process_time() - start < slow / 2
+
+
 def test_gate_run_goes_over_drafts_once_a_gate(spark, data):
     """One run for all drafts, those among an author's first titles too: its plan scans few tables."""
     from brightloom.plans import catalog
