@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from brightloom.storage import fresh_path
 
 #: Bytes of a shard's matrix at most, and queries of a block.
-SHARD_BYTES, BLOCK = 64 << 20, 512
+SHARD_BYTES, BLOCK = 8 << 20, 2048
 SHARD = "shard long, dim int, n int, kind string, ids binary, norms binary, matrix binary"
 #: Bytes of queries that go to all executors at once; more of them meet the shards by a shuffle.
 SPREAD_BYTES = 64 << 20
 #: Room for the rounding of products in single precision, of unit vectors.
 SLACK = 1e-4
+#: Products of a block and a part of a shard that are held at once, and components that are multiplied again at once.
+TILE = 1 << 20
 
 
 def norms_of(matrix: np.ndarray) -> np.ndarray:
@@ -84,26 +86,50 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def best(shard: tuple, block: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, similarity) of the k best of a shard for each query of a block, ties to the smaller id."""
+    """(query id, id, similarity) of the k best of a shard for each query of a block, ties to the smaller id.
+
+    The shard is gone over in parts, so that what is held does not grow with it; the k best so far bound the next part.
+    """
     ids, norms, matrix = shard
     queries, query_norms, wanted = block
+    rows, at, sims = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    floor, wide = np.full(len(queries), -np.inf), max(1, TILE // max(len(queries), 1))
+    for begin in range(0, len(ids), wide):
+        part = slice(begin, begin + wide)
+        new_rows, new_at = _near(norms[part], matrix[part], query_norms, wanted, k, floor)
+        new_at += begin
+        rows, at, sims = np.concatenate([rows, new_rows]), np.concatenate([at, new_at]), np.concatenate([sims, _exact(shard, block, new_rows, new_at)])
+        order = np.lexsort((ids[at], -sims, rows))
+        rows, at, sims = rows[order], at[order], sims[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        full = rank == k - 1
+        floor[rows[full]] = sims[full] - SLACK
+        rows, at, sims = rows[rank < k], at[rank < k], sims[rank < k]
+    return queries[rows], ids[at], sims
+
+
+def _near(norms: np.ndarray, matrix: np.ndarray, query_norms: np.ndarray, wanted: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query's place, vector's place) of what may be among the k best of a part of a shard and reaches the floor of its query."""
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         about = (wanted @ matrix.T).astype(np.float64) / query_norms[:, None] / norms[None, :]
-    about = np.nan_to_num(about, nan=0.0, posinf=0.0, neginf=0.0)
+    about = np.nan_to_num(about, copy=False, nan=0.0, posinf=0.0, neginf=0.0)
     n = about.shape[1]
-    floor = np.partition(about, n - k, axis=1)[:, n - k] - SLACK if k < n else np.full(len(about), -np.inf)
-    row, at = np.nonzero(about >= floor[:, None])
-    sims = np.empty(len(row))
-    for begin in range(0, len(row), 1 << 14):
-        part = slice(begin, begin + (1 << 14))
-        products = matrix[at[part]].astype(np.float64) * wanted[row[part]].astype(np.float64)
-        dots, over = np.add.accumulate(products, axis=1)[:, -1], norms[at[part]] * query_norms[row[part]]
+    if k < n:
+        floor = np.maximum(floor, np.partition(about, n - k, axis=1)[:, n - k] - SLACK)
+    return np.nonzero(about >= floor[:, None])
+
+
+def _exact(shard: tuple, block: tuple, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Similarities in double precision, component by component in order."""
+    _, norms, matrix = shard
+    _, query_norms, wanted = block
+    sims, step = np.empty(len(rows)), max(1, TILE // matrix.shape[1])
+    for begin in range(0, len(rows), step):
+        part = slice(begin, begin + step)
+        products = matrix[at[part]].astype(np.float64) * wanted[rows[part]].astype(np.float64)
+        dots, over = np.add.accumulate(products, axis=1)[:, -1], norms[at[part]] * query_norms[rows[part]]
         sims[part] = np.divide(dots, over, out=np.zeros(len(dots)), where=over > 0)
-    order = np.lexsort((ids[at], -sims, row))
-    row, at, sims = row[order], at[order], sims[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    kept = rank < k
-    return queries[row[kept]], ids[at[kept]], sims[kept]
+    return sims
 
 
 def _search(k: int):

@@ -280,3 +280,27 @@ def test_settled_removes_what_was_stored_on_the_way(spark):
     assert sorted(r.id for r in rows.collect()) == [4, 5, 6, 7] and not storage._OPEN
     folder = Path(path.removeprefix("file://")).parent
     assert not list(folder.glob("inner-*")) and not list(folder.glob("outer-*")) and list(folder.glob("result-*"))
+
+
+@pytest.mark.parametrize("k", [1, 5, 700])
+def test_products_of_a_block_and_a_shard_are_held_in_parts(k):
+    import tracemalloc
+
+    from brightloom.operators import vector_index
+
+    rng = np.random.default_rng(3)
+    matrix, wanted = rng.integers(-3, 4, (60_000, 6)).astype("<f4"), rng.integers(-3, 4, (512, 6)).astype("<f4")
+    matrix[7], wanted[3] = 0, 0
+    shard = (np.arange(60_000) * 2, vector_index.norms_of(matrix), matrix)
+    block = (np.arange(512), vector_index.norms_of(wanted), wanted)
+    tracemalloc.start()
+    queries, ids, sims = vector_index.best(shard, block, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(queries) == 512 * k and peak < (200 << 20)
+    for q in (0, 3, 11):
+        dots = np.add.accumulate(matrix.astype(float) * wanted[q].astype(float), axis=1)[:, -1]
+        over = shard[1] * block[1][q]
+        all_sims = np.divide(dots, over, out=np.zeros(len(dots)), where=over > 0)
+        want = np.lexsort((shard[0], -all_sims))[:k]
+        assert ids[queries == q].tolist() == shard[0][want].tolist() and sims[queries == q].tolist() == all_sims[want].tolist()
