@@ -19,13 +19,15 @@ from brightloom.operators.fingerprints import FingerprintIndex
 from brightloom.operators.paging import PagedTable
 from brightloom.operators.vector_index import VectorIndex
 from brightloom.plans import base as B
-from brightloom.storage import stored
+from brightloom.storage import parts_of, stored
 from brightloom.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 TS = "TIMESTAMP '2024-02-01 00:00:00'"
+#: Lines that a task of citation_rows holds, on average.
+LINES_A_TASK = 500_000
 WS = "[ \\t\\n\\r\\f\\v]"
 
 
@@ -266,10 +268,12 @@ def unscored_entries(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT o_orderkey AS article_id, l_linenumber AS k, l_partkey AS item_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT a.article_id, a.item_id, p.p_name AS title, count(*) AS n FROM a LEFT JOIN part p ON p.p_partkey = a.item_id GROUP BY ALL""")
 def citation_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of an order as the citations of an article; lines are counted, so that a task's share does not grow."""
     o, line, p = (B.table(spark, d, t) for t in ("orders", "lineitem", "part"))
-    cited = line.groupBy(F.col("l_orderkey").alias("article_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("item_id"), F.lit("").alias("quote")))).alias("citations"))
-    articles = o.select(F.col("o_orderkey").alias("article_id")).join(cited, "article_id")
-    things = p.select(F.col("p_partkey").alias("item_id"), F.lit("").alias("url"), F.col("p_name").alias("title"))
+    parts = parts_of(line, LINES_A_TASK)
+    cited = line.select("l_orderkey", "l_partkey").repartition(parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("article_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("item_id"), F.lit("").alias("quote")))).alias("citations"))
+    articles = o.select(F.col("o_orderkey").alias("article_id")).repartition(parts, "article_id").join(cited, "article_id")
+    things = p.select(F.col("p_partkey").alias("item_id"), F.lit("").alias("url"), F.col("p_name").alias("title")).repartition(parts, "item_id")
     return lists.citation_rows(articles, things).groupBy("article_id", "item_id", "title").agg(F.count("*").alias("n"))
 
 

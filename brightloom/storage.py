@@ -82,6 +82,11 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def parts_of(rows: DataFrame, each: int) -> int:
+    """Number of partitions of about ``each`` rows, one a core at least: so what one task holds does not grow with the table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def file_system(spark: SparkSession, path: str):
     """The file system of a path, and the path as it takes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

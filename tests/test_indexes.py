@@ -304,3 +304,13 @@ def test_products_of_a_block_and_a_shard_are_held_in_parts(k):
         all_sims = np.divide(dots, over, out=np.zeros(len(dots)), where=over > 0)
         want = np.lexsort((shard[0], -all_sims))[:k]
         assert ids[queries == q].tolist() == shard[0][want].tolist() and sims[queries == q].tolist() == all_sims[want].tolist()
+
+
+def test_citation_rows_deal_lines_by_their_number(spark, data, monkeypatch):
+    from brightloom.plans import catalog
+
+    monkeypatch.setattr(catalog, "LINES_A_TASK", 100, raising=False)
+    rows = catalog.citation_rows(spark, data)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    assert rows.rdd.getNumPartitions() >= lines / 100 > 10
+    assert rows.agg(F.sum("n")).first()[0] == lines
