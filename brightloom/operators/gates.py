@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from brightloom.storage import stored
 
 # fixed value: what stands for a memory module without entries
 NO_MEMORY = "（暂无记录）"
+# fixed value: pairs of characters up to which two texts are compared on one grid of bits (128 KB)
+GRID_CELLS = 1 << 20
 
 
 def length_issue(text: Column, low: int = 0, high: int = 10**9) -> Column:
@@ -208,13 +212,40 @@ def citation_issues(drafts: DataFrame, reading: DataFrame, minimum: int = 1) ->
     return own.join(bad, "draft_id", "left").select("draft_id", F.concat("issues", F.coalesce("more", F.array().cast("array<string>"))).alias("issues"))
 
 
-def matched_chars(a: str, b: str, need: int) -> int:
-    """Characters in the matching blocks of ``difflib.SequenceMatcher(None, a, b)`` for b under 200 characters; -1 as soon
-    as there are surely fewer than ``need``.
+def longest_run(a: str, b: str) -> tuple[int, int, int]:
+    """(i, j, k): the longest run of characters that both texts hold, first in a and then in b; k is 0 if they share none.
+
+    Every place has a number for the stretch of some length that begins there. Two stretches that touch or overlap number
+    the longer one they make: lengths double while the texts share one, then each smaller power of two is tried.
+    """
+
+    def numbered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+        x, y = numbers[: len(x)], numbers[len(x) :]
+        return x, y, np.bincount(y, minlength=int(numbers.max(initial=0)) + 1)[x] > 0
+
+    x, y, shared = numbered(*(np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b)))
+    if not shared.any():
+        return 0, 0, 0
+    k, shift, doubling = 1, 1, True
+    while shift:
+        if fits := min(len(x), len(y)) > shift:
+            many = max(int(x.max()), int(y.max())) + 1
+            u, v, both = numbered(*(t[:-shift] * many + t[shift:] for t in (x, y)))
+            fits = bool(both.any())
+        if fits:
+            x, y, shared, k = u, v, both, k + shift
+        doubling = doubling and fits
+        shift = k if doubling else shift // 2
+    i = int(shared.argmax())
+    return i, int((y == x[i]).argmax()), k
+
+
+def grid_runs(a: str, b: str) -> Callable[[int, int, int, int], tuple[int, int, int]]:
+    """A function that gives ``longest_run`` of windows a[alo:ahi] and b[blo:bhi] of two short texts, as places in these.
 
     Equal characters are the bits of a grid, a row for each of a; anding it with itself, moved along the diagonal, leaves
-    where longer runs begin. The longest one, first in a and then in b, cuts a window into two, as difflib does. What the
-    windows that are left can hold at most tells when to stop.
+    where longer runs begin.
     """
     places: dict[str, int] = {}
     for j, c in enumerate(b):
@@ -223,19 +254,44 @@ def matched_chars(a: str, b: str, need: int) -> int:
     wide, none = 8 * size, bytes(size)
     rows = {c: x.to_bytes(size, "little") for c, x in places.items()}
     grid = int.from_bytes(b"".join([rows.get(c, none) for c in a]), "little")
+
+    def longest(alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        columns = ((1 << bhi) - (1 << blo)).to_bytes(size, "little") * (ahi - alo)
+        runs, first, k = (grid >> alo * wide) & int.from_bytes(columns, "little"), 1, 0
+        while runs:
+            first, k = runs, k + 1
+            runs &= runs >> wide + 1
+        i, j = divmod((first & -first).bit_length() - 1, wide)
+        return i + alo, j, k
+
+    return longest
+
+
+def matched_chars(a: str, b: str, need: int) -> int:
+    """Characters in the matching blocks of ``difflib.SequenceMatcher(None, a, b, autojunk=False)``, so that frequent ones
+    count in long texts too; -1 as soon as there are surely fewer than ``need``.
+
+    The longest run, first in a and then in b, cuts a window into two, as difflib does. What the windows that are left can
+    hold at most tells when to stop. Runs of short texts are found on a grid; long ones are cut until their windows are short.
+    """
+    longest = grid_runs(a, b) if len(a) * len(b) <= GRID_CELLS else None
     done, most = 0, min(len(a), len(b))
     left = [(-most, 0, len(a), 0, len(b))]
     while left and done + most >= need:
         room, alo, ahi, blo, bhi = heapq.heappop(left)
         most += room
-        columns = ((1 << bhi) - (1 << blo)).to_bytes(size, "little") * (ahi - alo)
-        runs, k = (grid >> alo * wide) & int.from_bytes(columns, "little"), 0
-        while runs:
-            first, k = runs, k + 1
-            runs &= runs >> wide + 1
+        if longest:
+            i, j, k = longest(alo, ahi, blo, bhi)
+        elif (ahi - alo) * (bhi - blo) <= GRID_CELLS:
+            if (n := matched_chars(a[alo:ahi], b[blo:bhi], need - done - most)) < 0:
+                return -1
+            done += n
+            continue
+        else:
+            i, j, k = longest_run(a[alo:ahi], b[blo:bhi])
+            i, j = i + alo, j + blo
         if k:
-            i, j = divmod((first & -first).bit_length() - 1, wide)
-            i, done = i + alo, done + k
+            done += k
             for window in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
                 if (n := min(window[1] - window[0], window[3] - window[2])) > 0:
                     heapq.heappush(left, (-n, *window))
@@ -245,13 +301,13 @@ def matched_chars(a: str, b: str, need: int) -> int:
 
 def closest(body: str | None, quote: str | None) -> str:
     """The sentence of at least 12 characters that resembles a quote most, the first of equal ones, if by over one half;
-    else empty. Both are compared as ``SequenceMatcher.ratio`` does, without blanks and in lower case."""
+    else empty. Both are compared from beginning to end as ``SequenceMatcher.ratio`` does, without blanks and in lower case."""
     fold = lambda x: "".join(x.split()).lower()
-    wanted, best, sentence = fold(quote or "")[:80], 0.5, ""
+    wanted, best, sentence = fold(quote or ""), 0.5, ""
     for s in re.split(r"(?<=[。！？!?.])\s+|\n+", body or ""):
         if len(s.strip()) < 12:
             continue
-        folded = fold(s)[:120]
+        folded = fold(s)
         total = len(wanted) + len(folded)
         need = max(int(best * total / 2) - 1, 0)
         while 2.0 * need / total <= best:

@@ -439,6 +439,61 @@ def test_closest_sentence_gives_up_early():
     assert got == (max(scored)[2] if max(scored)[0] > 0.5 else "") and time.process_time() - start < slow / 2
 
 
+def test_closest_sentence_reads_to_the_end():
+    """Sentences that begin alike, and quotes that do, are told apart by their ends; a sentence that only begins like its quote isn't close."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    begin, ends = word(130), [word(90) for _ in range(3)]
+    body = " ".join(f"{begin}{e}." for e in ends)
+    for e in ends:
+        assert gates.closest(body, begin + e[:40] + "#" + e[41:]) == f"{begin}{e}."
+    assert gates.closest(f"{begin}. {begin[:100]}{ends[0]}.", begin[:90] + ends[0] + "#") == f"{begin[:100]}{ends[0]}."
+    assert gates.closest(f"{begin}{word(400)}.", begin[:80]) == ""
+    assert gates.closest("e" * 300 + "f.", "e" * 299 + "g") == "e" * 300 + "f."
+
+
+def test_citation_hints_as_loop_over_whole_sentences(spark, data):
+    """As the loop above, but quotes and sentences are compared from beginning to end."""
+    from brightloom.plans import serving
+
+    fold = lambda x: re.sub(r"\s+", "", x).lower()
+    want, cut = {}, {}
+    for row in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
+        text = row.text or ""
+        start = re.sub(r"[\[\]\s]+", " ", text[:70])
+        quote = (start.translate(str.maketrans("aeiou", "eeeuu")) if row.doc_id % 3 == 0 else start if row.doc_id % 3 == 1 else start[::-1]).strip()
+        if row.text is None or not quote or fold(quote) in fold(text):
+            continue
+        for hints, most in ((want, None), (cut, 120)):
+            best = (0.5, "")
+            for sentence in re.split(r"(?<=[。！？!?.])\s+|\n+", text):
+                ratio = difflib.SequenceMatcher(None, fold(quote), fold(sentence)[:most], autojunk=False).ratio() if len(sentence.strip()) >= 12 else 0.0
+                if ratio > best[0]:
+                    best = (ratio, sentence.strip())
+            hints[row.doc_id] = best[1]
+    got = {r.draft_id: r.hint for r in serving.citation_hints(spark, data).collect()}
+    assert got == want != cut and sum(x != "" for x in want.values()) > 20
+
+
+def test_matched_chars_of_long_texts(monkeypatch):
+    """As difflib's without its list of popular characters, also where texts are cut before they fit on a grid."""
+    rng = random.Random(29)
+    for n in range(120):
+        letters = "a" if n % 8 == 0 else "ab" if n % 4 == 1 else "abcdefghijkl" if n % 4 == 2 else "𠮷新啊的是ab"
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, 260))) for _ in range(2))
+        if n % 3 == 0:
+            at = rng.randint(0, len(b))
+            b = b[:at] + a[len(a) // 3 :] + b[at:]
+        matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        want, run = sum(x.size for x in matcher.get_matching_blocks()), matcher.find_longest_match(0, len(a), 0, len(b))
+        found = gates.longest_run(a, b)
+        assert found == tuple(run) or found[2] == run.size == 0
+        for cells in (0, 60, 3000, 1 << 20):
+            monkeypatch.setattr(gates, "GRID_CELLS", cells)
+            assert gates.matched_chars(a, b, 0) == gates.matched_chars(a, b, want) == want
+            assert gates.matched_chars(a, b, want + 1) in (-1, want)
+
+
 def test_gate_run_goes_over_drafts_once_a_gate(spark, data):
     """One run for all drafts, those among an author's first titles too: its plan scans few tables."""
     from brightloom.plans import catalog
